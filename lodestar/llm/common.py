@@ -45,7 +45,13 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def drop_all(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

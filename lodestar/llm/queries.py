@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, quality, toxicity
+from .common import fold
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -20,8 +22,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, k = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), k != 1)
+    return toxicity.score(docs, model, held_out=k == 1, threshold=0.7)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, k = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), k != 0)
+    return quality.score(docs.select("doc_id", "text"), model, held_out=k == 0, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe,)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op8_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
