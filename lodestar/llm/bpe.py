@@ -5,7 +5,7 @@ trie with suffix links) names every token that ends at a prefix; the first of th
 what stands before it is stored, and following the stored tokens back from the end gives the exact ids. Two tokens agree
 if byte-pair merging of their joined symbols would leave them as they are, which a walk down both merge trees tells.
 
-Words recur, so a worker keeps what it has encoded by white-space-delimited chunk, in a table of bounded size.
+Words recur, so a worker keeps what it has encoded by pre-token, in two generations of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
-KEPT_CHUNKS = 300_000
+KEPT_PIECES = 250_000
 KEPT_PAIRS = 1_000_000
 #: Longer words go through the same tables without being kept.
 KEPT_LENGTH = 64
@@ -72,7 +72,8 @@ class WordBpe:
                 self.automaton.add_word(word, (r, len(word)))
         self.automaton.make_automaton()
         self.agree: dict[int, bool] = {}
-        self.kept: dict[str, tuple[int, str, str]] = {}
+        self.kept: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def single(self, token: str) -> str:
         """One character a symbol: the last one of a word has its own."""
@@ -126,48 +127,47 @@ class WordBpe:
         out.reverse()
         return out
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of text without white space."""
-        if chunk.isascii() and chunk.isalpha():
-            return self.word(chunk.lower())
-        out: list[int] = []
-        for part in self.at_special.split(chunk) if "<|" in chunk else (chunk,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for piece in self.split.findall(part):
-                    out += self.word(piece)
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens and special tokens of a whole text, in order; pieces never cross white space."""
+        if "<|" not in text:
+            return self._split(text)
+        out: list[str] = []
+        for part in self.at_special.split(text):
+            out += [part] if part in self.special else self._split(part)
         return out
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(number of ids, ids, tokens) of a chunk; both texts begin with a space unless empty."""
-        if (got := self.kept.get(chunk)) is None:
-            ids = self.chunk_ids(chunk)
-            got = (len(ids), "".join(f" {i}" for i in ids), "".join(f" {self.text[i]}" for i in ids))
-            if len(chunk) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_CHUNKS:
-                    self.kept.clear()
-                self.kept[chunk] = got
+    def _split(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.split.findall(text.lower())
+
+    def ids_of(self, piece: str) -> list[int]:
+        return [self.special[piece]] if piece in self.special else self.word(piece)
+
+    def _miss(self, piece: str) -> tuple[str, str]:
+        """Both generations of kept pieces are bounded; frequent pieces move on from one to the next."""
+        if (got := self.older.get(piece)) is None:
+            ids = self.ids_of(piece)
+            got = ("".join([f" {i}" for i in ids]), "".join([f" {self.text[i]}" for i in ids]))
+        if len(piece) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT_PIECES:
+                self.older, self.kept = self.kept, {}
+            self.kept[piece] = got
         return got
 
-    def chunks(self, text: str) -> list[str]:
-        """Split at Unicode white space; U+001C to U+001F, at which str.split() also splits, are none."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [x for x in regex.split(r"[\p{White_Space}]+", text) if x]
-        return text.split()
-
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.chunks(text or "") for i in self.chunk_ids(c)]
+        return [i for p in self.pieces(text or "") for i in self.ids_of(p)]
 
     def decode(self, ids: list[int]) -> str:
         """As a tokenizer without a decoder does: tokens joined by a space; ids out of the vocabulary give nothing."""
         return " ".join(self.text[i] for i in ids if i in self.text)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        got = [*map(self.chunk, self.chunks(text or ""))]
-        ids, tokens = "".join([x[1] for x in got])[1:], "".join([x[2] for x in got])[1:]
-        return sum([x[0] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+        """(number of ids, digest of the ids, digest of the decoded text)."""
+        get, miss = self.kept.get, self._miss
+        got = [get(p) or miss(p) for p in self.pieces(text or "")]
+        ids, tokens = "".join([x[0] for x in got]), "".join([x[1] for x in got])
+        return ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(tokens[1:].encode()).hexdigest()
 
 
 @cache
