@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality, toxicity
+from . import bpe, embed_dedup, minhash, mixing, quality, toxicity
 from .common import fold
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, held_out=k == 1, threshold=0.7)
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
 
@@ -44,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_minhash, op8_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_embeddings, op4_minhash, op8_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
