@@ -61,7 +61,8 @@ class WordBpe:
         # Ranks order the tokens: base symbols first, then merges as listed.
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         made = [a + b for a, b in merges]
-        base = [t for t in self.vocab if t not in set(made)]
+        merged = set(made)
+        base = [t for t in self.vocab if t not in merged]
         self.rank = {t: r for r, t in enumerate([*base, *made])}
         self.vocab_id = [self.vocab[t] for t in [*base, *made]]
         self.parts = [(r, r) for r in range(len(base))] + [(self.rank[a], self.rank[b]) for a, b in merges]

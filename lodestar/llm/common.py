@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,26 @@ ARROW_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (not the results)."""
+    """Bound the Arrow batches of this session (not the results) and see that its executors can import this package."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def _ship(spark: SparkSession) -> None:
+    """Once a context, send the package to the executors, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestar_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(to))
+    sc._lodestar_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
