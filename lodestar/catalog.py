@@ -1,11 +1,53 @@
-"""All queries of the analytics operators and their SQL oracles."""
+"""All queries of the analytics operators over the driver tables, and their SQL oracles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import search
+from .plans import search_sql
+from .sources.derived import AS_OF, search_analytics
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _fact(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(search_analytics(spark, sf_dir))
+
+
+def _impact(f: DataFrame) -> DataFrame:
+    halves = [search.shown(search.metrics(search.window(f, AS_OF, a, b), "page"), "page") for a, b in ((28, 15), (14, 1))]
+    return search.rewrite_impact(*halves)
+
+
+SEARCH: dict[str, Query] = {
+    "gsc_page_metrics": _fact(lambda f: search.baseline(f, AS_OF)),
+    "gsc_query_metrics": _fact(lambda f: search.shown(search.metrics(search.window(f, AS_OF, 28, 1), "query"), "query")),
+    "gsc_sitewide_weeks": _fact(lambda f: search.weekly_summary(f, AS_OF)),
+    "weekly_top_pages": _fact(lambda f: search.shown(search.weekly_top_pages(f, AS_OF), "page")),
+    "weekly_trending": _fact(lambda f: search.weekly_trending(f, AS_OF)),
+    "weekly_dropping": _fact(lambda f: search.weekly_dropping(f, AS_OF)),
+    "weekly_ctr_triage": _fact(lambda f: search.weekly_ctr_triage(f, AS_OF)),
+    "weekly_monopolies": _fact(lambda f: search.weekly_monopolies(f, AS_OF)),
+    "query_intent_counts": _fact(lambda f: search.query_intents(f).groupBy("intent").agg(F.count("*").alias("queries"), F.count_if("machine").alias("machine"))),
+    "rewrite_candidates": _fact(lambda f: search.rewrite_candidates(f, AS_OF)),
+    "cannibal_clusters": _fact(lambda f: search.cannibal_clusters(f, AS_OF)),
+    "cannibal_losers": _fact(lambda f: search.cannibal_losers(f, AS_OF)),
+    "striking_distance": _fact(lambda f: search.striking_distance(f, AS_OF).drop("actions")),
+    "striking_actions": _fact(lambda f: search.striking_distance(f, AS_OF).select("page", "actions")),
+    "query_gaps": _fact(lambda f: search.query_gaps(f, None, AS_OF)),
+    "query_gaps_by_type": _fact(lambda f: search.query_gaps(f, None, AS_OF).groupBy("type").agg(F.count("*").alias("gaps"))),
+    "rewrite_impact": _fact(_impact),
+    "rewrite_impact_summary": _fact(lambda f: search.impact_summary(_impact(f))),
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(SEARCH)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return search_sql.oracles()
