@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import search
-from .plans import search_sql
-from .sources.derived import AS_OF, search_analytics
+from .functions.num import ctr_pct, pos1
+from .operators import corpus, search
+from .plans import corpus_sql, search_sql
+from .sources.derived import AS_OF, content, search_analytics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,9 +46,46 @@ SEARCH: dict[str, Query] = {
 }
 
 
+def _docs(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(content(spark, sf_dir))
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = search.metrics(search.window(search_analytics(spark, sf_dir), AS_OF, 28, 1), "page")
+    return corpus.content_audit(corpus.content_features(content(spark, sf_dir)), pages)
+
+
+def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus.file_dates(content(spark, sf_dir).withColumn("file_ord", F.col("doc_id")), AS_OF)
+    return corpus.refresh_status(search.baseline(search_analytics(spark, sf_dir), AS_OF), files).withColumn("last_updated", F.col("last_updated").cast("string"))
+
+
+CORPUS: dict[str, Query] = {
+    "content_features": _docs(corpus.content_features),
+    "content_audit": lambda s, d: _audit(s, d).select("path", "slug", "bucket", "clicks", "impressions", ctr_pct(F.col("ctr")).alias("ctr_pct"), pos1(F.col("position")).alias("position"), "word_count", "template_count"),
+    "content_audit_reasons": lambda s, d: _audit(s, d).select("path", "bucket", F.array_join("reasons", " | ").alias("reasons")),
+    "audit_bucket_counts": lambda s, d: _audit(s, d).groupBy("bucket").agg(F.count("*").alias("files")),
+    "refresh_candidates": _refresh,
+    "template_pattern_hits": _docs(lambda c: corpus.pattern_hits(corpus.extracted(c))),
+    "template_summary": _docs(lambda c: corpus.template_summary(corpus.extracted(c))),
+    "repeated_ngrams": _docs(lambda c: corpus.repeated_ngrams(corpus.extracted(c))),
+    "shared_closers": _docs(lambda c: corpus.shared_closers(corpus.extracted(c))),
+    "factual_density": _docs(corpus.factual_density),
+    "density_grades": _docs(lambda c: corpus.density_summary(corpus.factual_density(c))),
+    "link_edges": _docs(corpus.link_edges),
+    "link_degrees": _docs(corpus.link_degrees),
+    "orphan_pages": _docs(lambda c: corpus.link_degrees(c).where("class = 'orphan'").select("slug", "outbound")),
+    "link_summary": _docs(lambda c: corpus.link_summary(corpus.link_degrees(c))),
+    "outbound_links": _docs(corpus.outbound_links),
+    "insert_links": _docs(lambda c: corpus.insert_links(c, LINK_TARGETS).select("path", F.sha2(F.col("linked").cast("binary"), 256).alias("linked_sha256"))),
+}
+#: Targets of the insert_links query: phrases in order, and the url.
+LINK_TARGETS = [(["revenue", "filing"], "/blog/revenue"), (["users", "teams"], "/blog/users"), (["people"], "/blog/people")]
+
+
 def queries() -> dict[str, Query]:
-    return dict(SEARCH)
+    return SEARCH | CORPUS
 
 
 def oracle_sql() -> dict[str, str]:
-    return search_sql.oracles()
+    return search_sql.oracles() | corpus_sql.oracles()

@@ -60,4 +60,4 @@ def search_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, slug, ext, path, raw) from documents."""
-    return spark.sql(CONTENT.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return spark.sql(CONTENT.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
