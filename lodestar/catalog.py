@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.num import ctr_pct, pos1
-from .operators import corpus, search
-from .plans import corpus_sql, search_sql
-from .sources.derived import AS_OF, content, search_analytics
+from .operators import corpus, gates, jsonld, network, search
+from .plans import corpus_sql, rules_sql, search_sql
+from .sources import derived
+from .sources.derived import AS_OF, content, search_analytics, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,9 +85,68 @@ CORPUS: dict[str, Query] = {
 LINK_TARGETS = [(["revenue", "filing"], "/blog/revenue"), (["users", "teams"], "/blog/users"), (["people"], "/blog/people")]
 
 
+def _posts(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(derived.view(spark, sf_dir, derived.POSTS, "documents"))
+
+
+def _pages(sql: str) -> Query:
+    return lambda spark, sf_dir: derived.view(spark, sf_dir, sql, "pages")
+
+
+_status, _sitemaps, _hops, _answers = map(_pages, (derived.URL_STATUS, derived.SITEMAPS, derived.HOPS, derived.ANSWERS))
+
+
+def _redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.redirect_report(network.sitemap_urls(_sitemaps(spark, sf_dir)).select("url").distinct(), _status(spark, sf_dir))
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "pages").where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("files"))
+    return network.broken_links(links, _status(spark, sf_dir), base_url="https://")
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _answers(spark, sf_dir)
+    return network.citations(answers.select("query"), answers, "site.example")
+
+
+def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = spark.createDataFrame([(p,) for p in ("{company} IPO", "{company} IPO date {year}", "{company} revenue {year}")], "pattern string")
+    return gates.expand_keywords(patterns, table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity")), [2025, 2026])
+
+
+RULES: dict[str, Query] = {
+    "jsonld_items": _docs(lambda c: jsonld.items(c).drop("v")),
+    "jsonld_issues": _docs(lambda c: jsonld.issues(jsonld.items(c))),
+    "jsonld_summary": _docs(jsonld.summary),
+    "sitemap_urls": lambda s, d: network.sitemap_urls(_sitemaps(s, d)),
+    "redirect_report": _redirects,
+    "redirect_histogram": lambda s, d: network.status_histogram(_redirects(s, d)),
+    "broken_links": _broken,
+    "broken_link_histogram": lambda s, d: _broken(s, d).groupBy("class").agg(F.count("*").alias("urls")),
+    "citations": _cited,
+    "citation_rate": lambda s, d: network.citation_rate(_cited(s, d)),
+    "submission_batch": lambda s, d: network.submission_batch(table(s, d, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("ord"), "url")),
+    "redirect_chains": lambda s, d: network.redirect_chains(_hops(s, d)),
+    "blocklist_hits": _docs(gates.blocklist_hits),
+    "closer_gate": _posts(gates.closer_gate),
+    "format_gate": _posts(gates.format_gate),
+    "health_checks": _docs(gates.health_checks),
+    "title_rules": _posts(lambda p: gates.title_rules(p.select("slug", F.col("headline").alias("title")))),
+    "keyword_expansion": _keywords,
+    "slug_jitter": _posts(gates.slug_jitter),
+    "position_drop": _fact(lambda f: gates.position_drop(f, AS_OF)),
+    "publish_gaps": _posts(gates.publish_gaps),
+    "hourly_budget": _posts(gates.hourly_budget),
+    "sitemap_entries": _posts(lambda p: gates.sitemap_entries(p, "https://example.com", AS_OF).withColumn("last_modified", F.col("last_modified").cast("string"))),
+    "news_window": _posts(lambda p: gates.news_window(p, datetime(2024, 1, 31))),
+    "related_posts": _posts(lambda p: corpus.related_posts(p.select("slug", "date", F.array("tag1", "tag2").alias("tags")))),
+}
+
+
 def queries() -> dict[str, Query]:
-    return SEARCH | CORPUS
+    return SEARCH | CORPUS | RULES
 
 
 def oracle_sql() -> dict[str, str]:
-    return search_sql.oracles() | corpus_sql.oracles()
+    return search_sql.oracles() | corpus_sql.oracles() | rules_sql.oracles()

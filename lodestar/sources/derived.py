@@ -61,3 +61,38 @@ def search_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, slug, ext, path, raw) from documents."""
     return spark.sql(CONTENT.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+#: Crawl snapshots and posts for the network and gate operators; the same SQL in both engines.
+URL_STATUS = """
+SELECT url, status, CASE WHEN status = 301 THEN 'https://final.example/' || cast(page_id % 7 AS varchar(20)) WHEN status = 302 THEN 'https://hop.example/' || cast(page_id % 5 AS varchar(20)) END AS location,
+ page_id % 6 = 5 AND status = 200 AS redirected, CASE WHEN page_id % 6 = 5 THEN url || '/final' END AS final_url, CASE WHEN status = 0 THEN 'TIMEOUT' END AS error
+FROM (SELECT page_id, url, CASE page_id % 9 WHEN 1 THEN 404 WHEN 2 THEN 301 WHEN 3 THEN 0 WHEN 4 THEN 302 WHEN 5 THEN 500 ELSE 200 END AS status FROM (SELECT min(page_id) AS page_id, url FROM pages WHERE url IS NOT NULL GROUP BY url) u) s
+"""
+
+SITEMAPS = """
+SELECT 'https://site.example/sitemap-' || cast(page_id % 10 AS varchar(20)) || '.xml' AS sitemap_url, '<urlset><url><loc>' || url || '</loc></url><url><loc>https://site.example/p/' || cast(page_id % 50 AS varchar(20)) || '</loc></url></urlset>' AS xml FROM pages WHERE url IS NOT NULL
+"""
+
+HOPS = """
+SELECT 'https://r.example/' || cast(page_id AS varchar(20)) AS url, CASE WHEN page_id % 4 = 3 THEN 200 ELSE 301 END AS status, 'https://r.example/' || cast(page_id + 1 AS varchar(20)) AS location FROM pages
+"""
+
+ANSWERS = """
+SELECT 'query ' || cast(page_id AS varchar(20)) AS query, CASE WHEN page_id % 3 = 0 THEN html || '<a href="https://site.example/x">s</a>' WHEN page_id % 3 = 1 THEN 'site.example is named' END AS html FROM pages
+"""
+
+POSTS = """
+SELECT 'post-' || cast(doc_id AS varchar(20)) AS slug, source AS channel, doc_id AS ord, 'Acme & <topic> "' || cast(doc_id % 50 AS varchar(20)) || '"' AS title,
+ CASE doc_id % 6 WHEN 0 THEN '42% of teams — Acme' WHEN 1 THEN '$347B in Q1 — Acme' WHEN 2 THEN '14 tools — the ultimate guide' WHEN 3 THEN '20x return — Acme' WHEN 4 THEN 'A closer look at Acme' ELSE 'Acme 2026 ' || lang || ' and many more words that make this title longer than sixty letters' END AS headline,
+ cast(timestamp '2024-01-01 00:00:00' AS timestamp) + (doc_id * 37 % 720) * interval '1' hour AS published_at, DATE '2024-01-01' + cast(doc_id % 30 AS int) AS date, CASE WHEN doc_id % 4 = 0 THEN DATE '2024-01-20' + cast(doc_id % 9 AS int) END AS last_updated,
+ 'g' || cast(cast(floor(doc_id / 10) AS bigint) AS varchar(20)) AS tag1, 'h' || cast(cast(floor(doc_id / 4) AS bigint) AS varchar(20)) AS tag2,
+ CASE WHEN doc_id % 5 < 3 THEN 'only time will tell' ELSE 'closer ' || cast(doc_id % 3 AS varchar(20)) END AS closer, CASE WHEN doc_id % 3 = 0 THEN 'explainer' ELSE 'ranked-list' END AS format
+FROM documents
+"""
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """One of the views above over the table `name`."""
+    escaped = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", "FROM {source}")
+    return spark.sql(escaped, source=table(spark, sf_dir, name))
