@@ -4,10 +4,12 @@ Two permutations of D positions make a whole signature: a shingle's hash falls o
 coordinate k is the least value of the second permutation, shifted round by k, over a document's positions. Bands of
 coordinates are bucket keys; a pair that shares a bucket is confirmed on its full shingle sets with exact integers.
 
-Documents with equal sets are one class, of which only the smallest id goes on. Within a bucket each member is compared
-with one leader, not with all others; verified links merge classes, other leaders are tried, and only members of a bucket
-that still belong to different classes are compared with each other at the end. So no link is lost but to the bands
-themselves (below one in a million at the threshold), and a group of copies costs about one comparison a member.
+Documents with equal sets are one class, of which only the smallest id goes on. In a bucket signatures are compared, in
+blocks of bounded size, and what is alike by a wide margin below the threshold joins a cluster. Each cluster's best
+connected document leads it; what its exact comparison with the leader links needs no other comparison, and the rest is
+compared with the whole cluster, again in pairs of blocks, each a task that counts shared shingles for all its pairs at
+once and sends one row a document. So no link is lost but to the signatures (about one in a million at the threshold), a
+group of copies costs about one comparison a member, and no table of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ POSITIONS = 1 << 20
 #: Coordinates of one band; bands for a threshold are chosen so that a pair at it is missed less often than MISS.
 BAND = 5
 MISS = 1e-6
-LEADERS = 3
+#: Standard deviations below the threshold at which signatures still count as alike.
+DEVIATIONS = 5.5
+#: Documents of one block, and shingles counted at a time.
+BLOCK, COLUMNS = 256, 8192
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -72,20 +77,21 @@ def signature(s: np.ndarray, k: int) -> np.ndarray:
 def _sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, keys, sig = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, k)
                 n.append(len(s))
                 if not len(s):
-                    h1.append(None), h2.append(None), keys.append(None)
+                    h1.append(None), h2.append(None), keys.append(None), sig.append(None)
                     continue
                 d = xxhash.xxh128_intdigest(s.tobytes())
                 h1.append((d >> 64) - (1 << 63)), h2.append((d & (1 << 64) - 1) - (1 << 63))
                 g = signature(s, bands * BAND).reshape(bands, BAND)
+                sig.append(g.astype(np.uint8).tobytes())
                 keys.append([xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(g)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "keys", "sig"])
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, keys array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -96,6 +102,85 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s binary")
 
 
+def _blocks(rows: DataFrame, group: str, least: int = 2) -> DataFrame:
+    """rows with own, x, y: groups of at least `least` rows cut into blocks of bounded size, each pair of blocks (x <= y) a task.
+
+    rows has id and free (boolean): blocks without a free row are not paired with each other or with themselves.
+    """
+    block = F.struct(F.col("free"), F.pmod(F.xxhash64("id"), F.ceil(F.col("_m") / BLOCK)).alias("i"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_m"), F.count_if("free").alias("_f")).where((F.col("_m") >= least) & (F.col("_f") > 0))
+    own = rows.join(sizes, group).withColumn("_n", F.ceil(F.col("_m") / BLOCK)).withColumn("own", block)
+    other = lambda free: F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.struct(F.lit(free).alias("free"), i.alias("i")))
+    free, bound = other(True), F.when(F.col("_f") < F.col("_m"), other(False)).otherwise(F.array())
+    own = own.withColumn("_o", F.explode(F.when(F.col("free"), F.concat(free, bound)).otherwise(free)))
+    return own.withColumn("x", F.least("own", "_o")).withColumn("y", F.greatest("own", "_o")).drop("_o", "_m", "_n", "_f")
+
+
+def _lowest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each of n rows reaches over the links (i, j)."""
+    low = ids.copy()
+    while len(i):
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        if (before == low).all():
+            break
+    return low
+
+
+def _alike(members: DataFrame, share: int, coordinates: int) -> DataFrame:
+    """(id, low, degree) in each bucket: links by signatures, far enough below the threshold to miss nothing (DEVIATIONS)."""
+    s = share / 100
+    least = max(0.0, s - DEVIATIONS * (s * (1 - s) / coordinates) ** 0.5) * coordinates
+
+    def run(key, t):
+        t = t.sort_by("id")
+        ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
+        own = np.array([f"{o['free']}{o['i']}" for o in t.column("own").to_pylist()])
+        one = key[1].as_py() == key[2].as_py()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        pairs = []
+        for a in range(0, len(ids), 64):
+            equal = (sig[a : a + 64, None, :] == sig[None, :, :]).sum(2)
+            i, j = np.nonzero(equal >= least)
+            i = i + a
+            ok = (i < j) & (one | (own[i] != own[j])) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]))
+            pairs.append((i[ok], j[ok]))
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        degree = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        some = degree > 0
+        return pa.table({"id": ids[some], "low": _lowest(len(ids), i, j, ids)[some], "degree": degree[some]})
+
+    placed = _blocks(members.withColumn("free", F.lit(True)), "key")
+    return placed.groupBy("key", "x", "y").applyInArrow(run, "id long, low long, degree long")
+
+
+def _linked(placed: DataFrame, share: int) -> DataFrame:
+    """(a, b): each row of a pair of blocks and the smallest id that links reach, on full sets with exact counts."""
+
+    def run(key, t):
+        t = t.sort_by("id")
+        ids = t.column("id").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        common = np.zeros((len(ids), len(ids)), np.float32)  # counts stay exact far below 2 ** 24
+        for a in range(0, at.max() + 1, COLUMNS):
+            here = (at >= a) & (at < a + COLUMNS)
+            m = np.zeros((len(ids), COLUMNS), np.float32)
+            m[row[here], at[here] - a] = 1
+            common += m @ m.T
+        common = common.astype(np.int64)
+        i, j = np.nonzero(100 * common >= share * (sizes[:, None] + sizes[None, :] - common))
+        i, j = i[i < j], j[i < j]
+        low = _lowest(len(ids), i, j, ids)
+        some = low != ids
+        return pa.table({"a": ids[some], "b": low[some]})
+
+    return placed.select("cluster", "id", "s", "x", "y").groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= share * union, on full sets."""
 
@@ -108,8 +193,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 ok.append(100 * i >= share * (len(x) + len(y) - i))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("s", "sa"), "a")
-    both = left.join(sets.withColumnRenamed("id", "b").withColumnRenamed("s", "sb"), "b")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -127,43 +212,24 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
     bands = n_bands(share / 100)
     sketches = scratch.save(_sketches(texts, k, bands))
     full = sketches.where("h1 is not null and id is not null")
-    classes = scratch.save(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
-    copies = full.join(classes.where("copies > 1").select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-
-    every = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    shared = every.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("m > 1")
-    members = scratch.save(every.join(shared.select("key"), "key"))
-    involved = members.select(F.col("rep").alias("id")).distinct()
-    sets = scratch.save(_sets(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]), k))
-    near = f"100 * least(n, l.n) >= {share} * greatest(n, l.n)"
-
-    links: list[DataFrame] = []
-    now = members.withColumn("comp", F.col("rep"))
-    for turn in range(LEADERS + 1):
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = scratch.save(now.join(mixed, "key"))
-        if open_.isEmpty():
-            break
-        if turn < LEADERS:
-            leader = open_.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("l"))
-            met = open_.join(leader, "key").where(f"comp <> l.comp and {near}")
-            pairs = met.select(F.greatest("rep", "l.rep").alias("a"), F.least("rep", "l.rep").alias("b"))
-        else:
-            other = open_.select("key", F.struct("rep", "n", "comp").alias("l"))
-            pairs = open_.join(other, "key").where(f"rep > l.rep and comp <> l.comp and {near}").select(F.col("rep").alias("a"), F.col("l.rep").alias("b"))
-        found = scratch.save(_verified(pairs.distinct(), sets, share))
-        links.append(found)
-        if turn == LEADERS:
-            break
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.unionAll(x)
-        comp = components(edges, scratch)
-        now = open_.drop("comp").join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    edges = copies
-    for x in links:
-        edges = edges.unionAll(x)
-    comp = components(edges, scratch)
+    classes = scratch.save(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
+    copies = full.select("h1", "h2", "n", F.col("id").alias("a")).join(classes.where("copies > 1").select("h1", "h2", "n", F.col("id").alias("b")), ["h1", "h2", "n"]).select("a", "b")
+
+    members = classes.select(F.explode("keys").alias("key"), "id", "n", "sig")
+    alike = scratch.save(_alike(members, share, bands * BAND))
+    cluster = components(alike.select(F.col("id").alias("a"), F.col("low").alias("b")), scratch)
+    degree = alike.groupBy("id").agg(F.sum("degree").alias("degree"))
+    clustered = scratch.save(cluster.withColumnsRenamed({"v": "id", "component": "cluster"}).join(degree, "id"))
+    leader = clustered.groupBy("cluster").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("leader"))
+    sets = scratch.save(_sets(texts.join(clustered.select("id"), "id", "left_semi").dropDuplicates(["id"]), k))
+
+    led = clustered.join(leader, "cluster")
+    stars = scratch.save(_verified(led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, share))
+    bound = stars.select(F.col("a").alias("id")).withColumn("bound", F.lit(True))
+    rest = led.join(bound, "id", "left").select("id", "cluster", (F.col("bound").isNull() & (F.col("id") != F.col("leader"))).alias("free"))
+    # What no leader binds is compared with its whole cluster; bound documents are not compared with each other.
+    others = scratch.save(_linked(_blocks(rest, "cluster").join(sets, "id"), share))
+    comp = components(copies.unionAll(stars).unionAll(others), scratch)
     out = sketches.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("v", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -241,7 +241,7 @@ def choose_terms(rows: DataFrame, toxic: int) -> dict[str, float]:
     score = {t: (a + 0.5) / (a + b + 1) * a for t, a, b in good}
     # Of a word, its beginnings and theirs, the one with the most toxic documents says all; the longest of equals.
     kept: dict[str, float] = {}
-    for t in sorted(score, key=lambda t: (-score[t], -len(t), t)):
+    for t in sorted(score, key=lambda t: (-score[t], -len(t.rstrip("*")), t)):
         body = t.rstrip("*")
         shorter = {body[:k] + "*" for k in BEGINNINGS}
         if shorter & kept.keys() or t.endswith("*") and any(k.startswith(body) and score[t] < 1.15 * score[k] for k in kept):
