@@ -231,13 +231,27 @@ def term_counts(rows: DataFrame, y: int, among: frozenset[str] | None = None) ->
     return each.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def choose_terms(rows: DataFrame, toxic: int) -> dict[str, float]:
-    """Terms that stand almost only in toxic documents; none whose documents better terms have covered COVER times."""
+def surprise(toxic: int, clean: int, usual: float) -> float:
+    """Minus the logarithm of the bound on so many toxic documents of all, where the usual share holds."""
+    n = toxic + clean
+    if not 0 < usual < 1 or toxic <= usual * n:
+        return 0.0 if usual < 1 else math.inf
+    q = toxic / n
+    return n * (q * math.log(q / usual) + ((1 - q) * math.log((1 - q) / (1 - usual)) if clean else 0.0))
+
+
+def choose_terms(rows: DataFrame, toxic: int, clean_rows: int) -> dict[str, float]:
+    """Terms that stand almost only in toxic documents; none whose documents better terms have covered COVER times.
+
+    So many terms are tried that some stand in toxic documents by chance: a term must be rarer by chance (Chernoff's bound)
+    than one in the number tried.
+    """
+    usual = toxic / (toxic + clean_rows)
     least = max(3, round(0.003 * toxic))
     often = term_counts(rows, 1).where(F.col("n") >= least).orderBy(F.desc("n"), F.length("term"), "term").limit(MOST_CANDIDATES).collect()
     among = frozenset(r.term for r in often)
     clean = {r.term: r.n for r in term_counts(rows, 0, among).collect()}
-    good = [(r.term, r.n, clean.get(r.term, 0)) for r in often if r.n >= PRECISION * (r.n + clean.get(r.term, 0))]
+    good = [(r.term, r.n, clean.get(r.term, 0)) for r in often if r.n >= PRECISION * (r.n + clean.get(r.term, 0)) and surprise(r.n, clean.get(r.term, 0), usual) > math.log(len(often)) + 1]
     score = {t: (a + 0.5) / (a + b + 1) * a for t, a, b in good}
     # Of a word, its beginnings and theirs, the one with the most toxic documents says all; the longest of equals.
     kept: dict[str, float] = {}
@@ -283,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABE
     """Learn from at most about `most` labelled documents whose ids `learn` accepts. Without toxic labels every score is low."""
     rows = sample(docs, labels, "toxic", learn, most).persist()
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    terms = choose_terms(rows, n.get(1, 0)) if n.get(1) else {}
+    terms = choose_terms(rows, n[1], n.get(0, 0)) if n.get(1) else {}
     spared: list[str] = []
     if terms:
         model = Model(terms, [], [0.0])
