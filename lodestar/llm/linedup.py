@@ -6,7 +6,8 @@ equal runs have equal names in all tasks without a sort. Positions of one name a
 suffix array. The shortest run of at least `min_words` words that starts, and the one that ends, at each line gets a name
 from two overlapping powers of two; a run whose name stands earlier in the corpus (smaller doc_id, then earlier line) is a
 later copy. These shortest runs cover exactly the lines of all maximal repeated runs of at least `min_words` words, as
-every line of such a run lies in a shortest run inside it that is repeated with it.
+every line of such a run lies in a shortest run inside it that is repeated with it. By default runs count whatever their
+length: the shortest run is then the line itself, and one pass of names covers all maximal repeated runs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql.types import LongType, StructType
 from .common import Scratch, tune
 from .minhash import _mix
 
-MIN_WORDS = 10
+#: Repeated runs count from so many words: all of them, a lone line of one word too.
+MIN_WORDS = 1
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -88,7 +90,8 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     named = keyed.select(F.col("doc_id").cast("long"), "_h", F.col("text").cast("string")).mapInArrow(emit, "id long, h long, n1 long, n2 long, s long, e long")
     named = scratch.save(named)
     place = F.struct(F.col("id").isNotNull().alias("k"), "id", "h", "s")
-    first = named.groupBy("n1", "n2").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # Saved, so that Spark may split the join where one line is very common.
+    first = scratch.save(named.groupBy("n1", "n2").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"))
     later = named.join(first, ["n1", "n2"]).where(place > F.col("first"))
     cuts = later.groupBy(F.col("id").alias("_i"), F.col("h").alias("_hh")).agg(F.collect_set(F.struct("s", "e")).alias("_cut"))
     joined = keyed.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_hh")), "left").drop("_i", "_h", "_hh")

@@ -134,6 +134,15 @@ def test_line_dedup_against_brute_force(spark):
         assert (got[i].text, got[i].n_deleted) == (want, len(gone[i])), i
 
 
+def test_line_dedup_deletes_lone_short_lines(spark):
+    short = ["All rights", "Released under the MIT License.", "And therhean is the is esndha reedes ha.", "The and attion to thanedble the, anea. Eriner thanea.", "Of."]
+    rows = [(i, f"first{i} {prose(6)}{i}\n{x}\nlast{i} {prose(6)}{i}", "a") for i, x in enumerate(short * 3)]
+    got = {r.doc_id: r for r in linedup.dedup(docs(spark, rows)).collect()}
+    for i, t, _ in rows:
+        a, x, b = t.split("\n")
+        assert (got[i].text, got[i].n_deleted) == ((t, 0) if i < len(short) else (f"{a}\n{b}", 1)), x
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
