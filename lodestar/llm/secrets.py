@@ -14,9 +14,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Formats that name their issuer, words that announce a secret, words that stand for none.
-ISSUED = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-ANNOUNCED = "(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \\t]{0,4}(?:=|:)[ \\t]{0,4}[\"']?([^\\s\"'<>,;]{6,200})"
+#: Formats that name their issuer, words that announce a secret, words that stand for none. A value is taken to
+#: its end: a PEM key through its END line, or, where that is missing, as far as base64 goes.
+PEM = "PRIVATE KEY(?: BLOCK)?-----"
+ISSUED = (
+    "AKIA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35,}+"
+    "|eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+(?:\\.[A-Za-z0-9_-]{8,}+){0,2}+"
+    f"|-----BEGIN [A-Z0-9 ]*{PEM}(?:(?:(?!-----)[\\s\\S])*+-----END [A-Z0-9 ]*{PEM}|[A-Za-z0-9+/=\\\\\\r\\n]*+)"
+)
+#: A name, which may go on after the word that announces, and what stands between it and the value.
+ANNOUNCED = "((?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\\w.-]*+)[\"']?[ \\t]*+[=:][ \\t]*+(?:(?i:bearer|basic)[ \\t]++)?+"
+#: Issued formats come first, also after a name; an announced value that holds one is left to it. Groups: name and issued
+#: value; name and value between double quotes, between single quotes, or bare.
+QUOTED = "\"(?![^\"\\r\\n]*?(?:{0}))([^\"\\r\\n]{{6,}}+)\"|'(?![^'\\r\\n]*?(?:{0}))([^'\\r\\n]{{6,}}+)'|[\"']?+(?![^\\s\"'<>,;]*?(?:{0}))([^\\s\"'<>,;]{{6,}}+)"
+RULE = f"(?:{ANNOUNCED}[\"']?+)?+({ISSUED})|{ANNOUNCED}(?:{QUOTED.format(ISSUED)})"
 PLACEHOLDERS = "example|sample|dummy|test|fake|placeholder|changeme|change_me|your|xxxx|1234|abcd|foobar|none|null|password|secret"
 DOC_PATHS = "test|doc|example|fixture|sample|mock"
 #: Letter groups that words of common languages are made of.
@@ -31,11 +42,12 @@ def candidates(docs: DataFrame, *, path: str = "source") -> DataFrame:
     """
     text = F.col("text").cast("string")
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    rule = f"({ISSUED})|(?i:{ANNOUNCED})"
-    whole, issued, value = (F.regexp_extract_all(text, F.lit(rule), F.lit(i)) for i in (0, 1, 2))
-    found = F.arrays_zip(whole.alias("whole"), issued.alias("issued"), value.alias("value"))
-    rows = docs.where(text.rlike(rule)).select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), text.alias("_text"), F.explode(found).alias("f"))
-    rows = rows.select("doc_id", "path", F.when(F.col("f.issued") != "", "issued").otherwise("announced").alias("kind"), F.when(F.col("f.issued") != "", F.col("f.issued")).otherwise(F.col("f.value")).alias("value"), F.expr("nullif(split(f.whole, '[=:]')[0], f.whole)").alias("before"), F.expr("locate(f.whole, _text)").alias("found_at"))
+    found = F.regexp_extract_all(text, F.lit(RULE), F.lit(0))
+    rows = docs.where(text.rlike(RULE)).select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), text.alias("_text"), F.explode(found).alias("whole"))
+    name, issued, *value = (F.nullif(F.regexp_extract("whole", RULE, i), F.lit("")) for i in (1, 2, 4, 5, 6))
+    kind = F.when(issued.isNotNull(), "issued").otherwise("announced")
+    before = F.coalesce(name, F.nullif(F.regexp_extract("whole", RULE, 3), F.lit("")))
+    rows = rows.select("doc_id", "path", kind.alias("kind"), F.coalesce(issued, *value).alias("value"), before.alias("before"), F.expr("locate(whole, _text)").alias("found_at"))
     return rows.groupBy("doc_id", "path", "kind", "value").agg(F.min("before").alias("before"), F.min("found_at").alias("found_at"), F.count("*").alias("times"))
 
 

@@ -280,6 +280,29 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_are_taken_to_their_end(spark):
+    hexa = lambda x, n: "".join(hashlib.sha256(f"{x}{i}".encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+    jwt = [f"eyJ{hexa('h', 30)}.eyJ{hexa('c', 300)}.{hexa(k, 43)}" for k in "ab"]
+    pem = [f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{hexa(k, 64)}\n{hexa(k + k, 60)}==\n-----END RSA PRIVATE KEY-----" for k in "cd"]
+    cut = f"-----BEGIN PRIVATE KEY-----\n{hexa('e', 64)}\n{hexa('f', 64)}"
+    rows = [
+        (1, f"token: {jwt[0]}\ntoken: {jwt[1]} end", {*jwt}),
+        (2, f"{pem[0]} and {pem[1]}\n", {*pem}),
+        (3, f"{cut} -- {pem[0]}", {cut, pem[0]}),
+        (4, f"xoxb-{hexa('x', 100)} sk_live_{hexa('s', 90)}", {f"xoxb-{hexa('x', 100)}", f"sk_live_{hexa('s', 90)}"}),
+        (5, f"password          =          {hexa('p', 20)}\nSECRET_KEY_BASE='{hexa('q', 500)}'", {hexa("p", 20), hexa("q", 500)}),
+        (6, f'auth: "https://h/?token={jwt[0]}" password: "a,b;{hexa("r", 9)}"', {jwt[0], f"a,b;{hexa('r', 9)}"}),
+        (7, f"Authorization: Bearer {hexa('t', 40)}", {hexa("t", 40)}),
+        (8, f"x {'-' * 4} -----BEGIN PRIVATE KEY----- {'a- ' * 400_000}", {"-----BEGIN PRIVATE KEY-----"}),
+    ]
+    got = {}
+    for r in secrets.candidates(docs(spark, [(i, t, "src") for i, t, _ in rows])).collect():
+        got.setdefault(r.doc_id, set()).add(r.value)
+    assert got == {i: v for i, _, v in rows}
+    kinds = {r.value: (r.kind, r.before) for r in secrets.candidates(docs(spark, [(1, rows[0][1], "src"), (5, rows[4][1], "src")])).collect()}
+    assert kinds[jwt[1]] == ("issued", "token") and kinds[hexa("q", 500)] == ("announced", "SECRET_KEY_BASE")
+
+
 def test_warc_locates_damage(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (1 + i % 5)) for i in range(700)] + [(700, None, None), (None, "u", "h"), (5, "http://h/5", "again")], "page_id long, url string, html string")
     recs = warc.records(pages, 3)
