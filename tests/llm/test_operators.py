@@ -303,6 +303,16 @@ def test_secrets_are_taken_to_their_end(spark):
     assert kinds[jwt[1]] == ("issued", "token") and kinds[hexa("q", 500)] == ("announced", "SECRET_KEY_BASE")
 
 
+def test_secrets_read_neighbouring_words(spark):
+    values = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(8)]
+    around = [("example", ""), ("", "as a dummy value"), ("ein Beispiel:", ""), ("production", ""), ("log it in", "and go"), ("", "is live now")]
+    rows = [(100 * j + k, f"{prose(5)}\n{a} token = {v} {b}", "src0") for j, (a, b) in enumerate(around) for k, v in enumerate(values)]
+    twice = f"example token = {values[0]} and so on it goes\nthe production token = {values[0]}"
+    found = secrets.scan(docs(spark, [*rows, (900, twice, "src0")]), secrets.fit(secrets.made_findings(spark))).collect()
+    assert {(r.doc_id // 100 < 3, r.secret) for r in found if r.doc_id < 900} == {(True, False), (False, True)} and len(found) == len(rows) + 1
+    assert [(r.secret, r.times) for r in found if r.doc_id == 900] == [(True, 2)]
+
+
 def test_warc_locates_damage(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (1 + i % 5)) for i in range(700)] + [(700, None, None), (None, "u", "h"), (5, "http://h/5", "again")], "page_id long, url string, html string")
     recs = warc.records(pages, 3)
