@@ -7,10 +7,12 @@ first, and only below nodes that differ are children looked at, level by level.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, tune
+from .common import Scratch, same, tune
 
 FAN = 16
 RECORDS_PER_FILE = 1000
@@ -55,27 +57,43 @@ def tree(base: DataFrame, scratch: Scratch) -> list[DataFrame]:
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Rows of `primary`'s leaves with root, root_matches and damaged; both are results of `records` with the same files.
+    """Rows of the leaves of `primary`, and of the replica's surplus ones, with root, root_matches and damaged.
 
-    A record is damaged if its own leaf differs in the replica or is missing there; where a record was lost, the ranges
-    after it in its file differ too and count as damaged. Repeated pages are records of their own.
+    Both are results of `records`. root_matches compares the roots themselves: the hash and height of the file's tree in both,
+    so that a surplus record or file or one that is lost never passes. A record is damaged if its own leaf differs in the
+    replica or is missing there; where a record was lost, the ranges after it in its file differ too and count as damaged.
+    Leaves that only the replica has are damaged rows too, with the replica's page_id, offset, length and record_sha256 and a
+    null root; where a record was put in, what it moved counts as damaged. Repeated pages are records of their own.
     """
     scratch = Scratch(primary.sparkSession, "merkle")
     tune(primary.sparkSession)
     one, two = tree(leaves(primary), scratch), tree(leaves(replica), scratch)
-    root = one[-1].select("file", F.col("hash").alias("root"))
+    ends = roots(one).join(roots(two).withColumnsRenamed({"root": "other", "height": "reach"}), "file", "full")
+    ends = scratch.save(ends.select("file", same((F.col("root"), F.col("other")), (F.col("height"), F.col("reach"))).alias("root_matches")))
+    off = ends.where("not root_matches").select("file")
     bad = None
-    for level in range(len(one) - 1, -1, -1):
-        mine = one[level].select("file", "node", "hash")
-        if bad is not None:
-            parent = bad.select("file", F.col("node").alias("up"))
-            mine = mine.withColumn("up", F.floor(F.col("node") / FAN).cast("int")).join(parent, ["file", "up"], "left_semi").drop("up")
-        other = two[level] if level < len(two) else None
-        if other is None:
-            bad = mine
-        else:
-            bad = mine.join(other.select("file", "node", F.col("hash").alias("theirs")), ["file", "node"], "left").where(~F.col("hash").eqNullSafe(F.col("theirs"))).select("file", "node")
-        bad = scratch.save(bad.select("file", "node"))
-    differs = bad.select("file").distinct().withColumn("off", F.lit(True))
-    out = one[0].join(root, "file").join(differs, "file", "left").join(bad.withColumn("damaged", F.lit(True)), ["file", "node"], "left")
-    return out.select("page_id", "file", (F.col("lo")).alias("offset"), (F.col("hi") - F.col("lo")).alias("length"), F.col("record").alias("record_sha256"), "root", F.col("off").isNull().alias("root_matches"), F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    # From the highest level that both trees have, whatever either has above it.
+    for level in range(min(len(one), len(two)) - 1, -1, -1):
+        mine, theirs = (_open(t[level], off, bad) for t in (one, two))
+        both = mine.join(theirs.withColumnRenamed("hash", "theirs"), ["file", "node"], "full")
+        bad = scratch.save(both.where(~F.col("hash").eqNullSafe(F.col("theirs"))).select("file", "node"))
+    marked = bad.withColumn("damaged", F.lit(True))
+    root = one[-1].select("file", F.col("hash").alias("root"))
+    out = one[0].join(root, "file").join(ends, "file").join(marked, ["file", "node"], "left")
+    surplus = two[0].join(marked, ["file", "node"]).join(one[0].select("file", "node"), ["file", "node"], "left_anti").join(ends, "file")
+    out = out.unionByName(surplus.withColumn("root", F.lit(None).cast("string")).select(*out.columns))
+    return out.select("page_id", "file", (F.col("lo")).alias("offset"), (F.col("hi") - F.col("lo")).alias("length"), F.col("record").alias("record_sha256"), "root", "root_matches", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+
+
+def roots(levels: list[DataFrame]) -> DataFrame:
+    """(file, root, height): the hash at the top of a file's own tree, its first level of one node, whatever other files need."""
+    tops = [level.groupBy("file").agg(F.count("*").alias("n"), F.first("hash").alias("root")).where("n = 1").select("file", F.lit(i).alias("height"), "root") for i, level in enumerate(levels)]
+    return reduce(DataFrame.unionAll, tops).groupBy("file").agg(F.min_by("root", "height").alias("root"), F.min("height").alias("height"))
+
+
+def _open(nodes: DataFrame, off: DataFrame, bad: DataFrame | None) -> DataFrame:
+    """(file, node, hash) below the nodes `bad` of the level above; at the top, all of the files `off`."""
+    if bad is None:
+        return nodes.join(off, "file", "left_semi").select("file", "node", "hash")
+    parent = bad.select("file", F.col("node").alias("up"))
+    return nodes.withColumn("up", F.floor(F.col("node") / FAN).cast("int")).join(parent, ["file", "up"], "left_semi").select("file", "node", "hash")

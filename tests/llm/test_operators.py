@@ -325,6 +325,22 @@ def test_warc_locates_damage(spark):
     assert 650 in {r.page_id for r in lost.where("damaged").collect()}
 
 
+def test_warc_reports_surplus_and_lost_files(spark):
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(16)], schema)
+    more = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(17)], schema)
+    twice = warc.records(pages.unionAll(pages.where("page_id = 15")), 1)
+    whole, extra = warc.records(pages, 1), warc.records(pages.where("page_id < 3"), 1).withColumn("file", F.lit(1))
+    for primary, replica, n, wrong, files in (
+        (whole, warc.records(more, 1), 17, [16], {0}), (whole, twice, 17, [15], {0}), (whole, whole.unionAll(extra), 19, [0, 1, 2], {1}),
+        (whole.unionAll(extra), whole, 19, [0, 1, 2], {1}), (whole.unionAll(extra), warc.records(more, 1), 20, [0, 1, 2, 16], {0, 1}),
+    ):
+        got = warc.audit(primary, replica).collect()
+        assert len(got) == n and sorted(r.page_id for r in got if r.damaged) == wrong
+        assert {r.file for r in got if not r.root_matches} == files
+        assert sum(r.root is None for r in got) == n - primary.count()
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
