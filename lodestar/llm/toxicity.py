@@ -26,6 +26,9 @@ from .common import tune
 from .labelled import MOST_LABELLED, sample
 
 WORD = re.compile(r"[^\W\d_]+")
+#: A word with digits or signs inside; it is matched as one where none of its parts is a term.
+MASKED = re.compile(r"[^\W\d_]+(?:[\d_*@$]+[^\W\d_]+)+")
+TOKEN = re.compile(r"[^\W\d_]+(?:[\d_*@$]+[^\W\d_]+)*")
 #: A term is a whole word, or a beginning of so many letters that longer words share.
 BEGINNINGS = range(3, 9)
 MOST_TERMS = 400
@@ -33,6 +36,8 @@ MOST_CANDIDATES = 50_000
 PRECISION = 0.9
 COVER = 6
 KEPT_WORDS = 400_000
+#: Letters of the shortest word that may stand for a longer term.
+SHORTEST = 4
 #: Words before an occurrence that are looked at, and verbs of speaking (fixed values).
 WINDOW = 5
 SPEAKING = frozenset("said says saying wrote writes called calls quoted quotes quote word term dit disait appelle sagte schrieb nannte wort dijo llama palabra".split())
@@ -43,11 +48,12 @@ FEATURES = ("exact", "begins", "misspelled", "quoted", "any_direct", "share")
 class Automaton:
     """Product of a lexicon's trie and the Levenshtein automaton of one edit, made deterministic as it is used.
 
-    A state is a set of (trie node, edits so far). Words of at least `fuzzy` letters may differ by one edit from terms of
-    at least that length; beginnings must match as they are.
+    A state is a set of (trie node, edit): 0 for none so far, 1 for one, 2 for one with a letter matched since. Words of at
+    least `shortest` letters (`fuzzy`, if not given) may differ by one edit from terms and beginnings of at least `fuzzy`
+    letters. The edit of a beginning must have a matched letter of it after it, or a shorter beginning would do.
     """
 
-    def __init__(self, terms: dict[str, float], spared: Iterable[str] = (), fuzzy: int = 5):
+    def __init__(self, terms: dict[str, float], spared: Iterable[str] = (), fuzzy: int = 5, shortest: int | None = None):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.begin: list[str | None] = [None]
@@ -65,61 +71,69 @@ class Automaton:
                 self.begin[at] = t
             else:
                 self.word[at] = t
-                if len(body) >= fuzzy:
-                    for p in path:
-                        self.deep[p] = True
+            if len(body) >= fuzzy:
+                for p in path:
+                    self.deep[p] = True
         self.fuzzy = fuzzy
-        start = self._closed({(0, 0)})
-        self.ids: dict[frozenset, int] = {start: 0}
-        self.states: list[frozenset] = [start]
-        self.next: list[dict[str, int]] = [{}]
+        self.shortest = fuzzy if shortest is None else shortest
+        self.ids: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.next: list[dict[str, int]] = []
+        #: Of each state, the beginning that ends there as it is, and one that ends there with an edit.
+        self.starts: list[tuple[str | None, str | None]] = []
+        self._state(self._closed({(0, 0)}))
 
     def _closed(self, now: set[tuple[int, int]]) -> frozenset:
         """Also the states after a letter of the term is left out."""
         now |= {(x, 1) for n, e in list(now) if e == 0 for x in self.children[n].values() if self.deep[x]}
-        return frozenset((n, e) for n, e in now if e == 0 or (n, 0) not in now)
+        return frozenset((n, e) for n, e in now if e == 0 or (n, 0) not in now and (e == 2 or (n, 2) not in now))
+
+    def _state(self, key: frozenset) -> int:
+        if key not in self.ids:
+            self.ids[key] = len(self.states)
+            self.states.append(key)
+            self.next.append({})
+            as_is = max((self.begin[n] for n, e in key if e == 0 and self.begin[n]), key=len, default=None)
+            near = max((b for n, e in key if e == 2 and (b := self.begin[n]) and len(b) > self.fuzzy), key=lambda b: (len(b), b), default=None)
+            self.starts.append((as_is, near))
+        return self.ids[key]
 
     def _step(self, s: int, c: str) -> int:
         to: set[tuple[int, int]] = set()
         for n, e in self.states[s]:
             if (x := self.children[n].get(c)) is not None and (e == 0 or self.deep[x]):
-                to.add((x, e))
+                to.add((x, 2 if e else 0))
             if e == 0:
                 if self.deep[n]:
                     to.add((n, 1))
                 to |= {(x, 1) for x in self.children[n].values() if self.deep[x]}
         if not to:
             return -1
-        key = self._closed(to)
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.next.append({})
-        return self.ids[key]
+        return self._state(self._closed(to))
 
     def match(self, w: str) -> tuple[str, str] | None:
-        """(kind, term): the whole word, else the longest beginning, else a term at one edit."""
-        s, begin, table = 0, None, self.next
+        """(kind, term): the whole word, else the longest beginning, else a term at one edit, else a beginning at one."""
+        s, begin, near, table = 0, None, None, self.next
         for c in w:
             t = table[s].get(c)
             if t is None:
                 t = table[s][c] = self._step(s, c)
-            if t < 0:
-                return ("begins", begin) if begin else None
             s = t
-            if len(self.states[s]) < 64:
-                for n, e in self.states[s]:
-                    if e == 0 and self.begin[n]:
-                        begin = self.begin[n]
-        ends = sorted((e, self.word[n]) for n, e in self.states[s] if self.word[n])
+            if s < 0:
+                break
+            as_is, edited = self.starts[s]
+            begin, near = as_is or begin, edited or near
+        ends = sorted((min(e, 1), self.word[n]) for n, e in self.states[s] if self.word[n]) if s >= 0 else []
         if ends and ends[0][0] == 0:
             return "exact", ends[0][1]
         if begin:
             return "begins", begin
+        if len(w) < self.shortest or w in self.spared:
+            return None
         for _, t in ends:
-            if len(w) >= self.fuzzy and len(t) >= self.fuzzy and w not in self.spared:
+            if len(t) >= self.fuzzy:
                 return "misspelled", t
-        return None
+        return ("misspelled", near) if near else None
 
 
 @dataclass
@@ -135,9 +149,9 @@ class Model:
 
     def hits(self, text: str) -> dict[str, tuple[str, str]]:
         if self._auto is None:
-            self._auto = Automaton(self.terms, self.spared)
-        words = set(WORD.findall(text.lower()))
-        found = {}
+            self._auto = Automaton(self.terms, self.spared, shortest=SHORTEST)
+        low = text.lower()
+        words, found = set(WORD.findall(low)), {}
         if len(self._clean) > KEPT_WORDS:
             self._clean.clear()
         for w in words - self._clean:
@@ -145,6 +159,12 @@ class Model:
                 self._clean.add(w)
             else:
                 found[w] = m
+        for w in set(MASKED.findall(low)) - self._clean:
+            if not any(x in found for x in WORD.findall(w)):
+                if (m := self._auto.match(w)) is None or m[0] != "misspelled":
+                    self._clean.add(w)
+                else:
+                    found[w] = m
         return found
 
     def features(self, text: str) -> list[float]:
@@ -154,13 +174,12 @@ class Model:
         low, n, quoted, total = text.lower(), Counter(), 0, 0
         spans = quotations(low)
         at, before = 0, []
-        for m in WORD.finditer(low):
-            w = m.group()
+        for start, w in occurrences(low, found):
             total += 1
             if w in found:
-                while at < len(spans) and spans[at][1] <= m.start():
+                while at < len(spans) and spans[at][1] <= start:
                     at += 1
-                if at < len(spans) and spans[at][0] < m.start() or SPEAKING.intersection(before):
+                if at < len(spans) and spans[at][0] < start or SPEAKING.intersection(before):
                     quoted += 1
                 else:
                     n[found[w][0]] += 1
@@ -173,6 +192,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def occurrences(text: str, found: dict) -> Iterator[tuple[int, str]]:
+    """(start, word) in order; a word with signs inside is one where it is found as such, else its parts."""
+    for m in TOKEN.finditer(text):
+        if m.group() in found:
+            yield m.start(), m.group()
+        else:
+            yield from ((x.start(), x.group()) for x in WORD.finditer(text, m.start(), m.end()))
+
+
 def quotations(text: str, longest: int = 400) -> list[tuple[int, int]]:
     """Spans between quotation marks on one line, at most `longest` characters long."""
     out, at = [], 0
@@ -290,7 +318,8 @@ def choose_terms(rows: DataFrame, toxic: int, clean_rows: int) -> dict[str, floa
             break
         left[own] -= 1
         chosen[names[t]] = kept[names[t]]
-    return chosen
+    # The whole words beside a beginning, for words that lie one edit from them.
+    return chosen | {t: x for t, x in score.items() if not t.endswith("*") and any(t[:k] + "*" in chosen for k in BEGINNINGS)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABELLED, rounds: int = 30) -> Model:

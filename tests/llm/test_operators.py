@@ -255,6 +255,18 @@ def test_toxicity_learns(spark):
     assert quoted[0] < quoted[1]
 
 
+def test_toxicity_reaches_misspelled_inflected_and_masked_terms(spark):
+    ends = ["", "s", "ic", "ically", "en"]
+    rows = [(i, f"{prose(20)} {'idiot' + ends[i // 4 % 5] + ' worthless' + ends[i // 4 % 5] if i % 4 == 0 else ''} {prose(5)}", "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels, F.lit(True))
+    for w in "worhless iddiot diot iddiots worhlessness id1ot id1otically wor_thless w*rthless worth$less idi@tic idiot_user user_worthless_x".split():
+        assert model.hits(f"you {w} there"), w
+    assert not model.hits("the lot_of words a_b c1d worn idle")
+    auto = toxicity.Automaton({"wortha*": 1.0})
+    assert [auto.match(w) for w in ("worthable", "wrthable", "worxhable", "worthing")] == [("begins", "wortha*"), ("misspelled", "wortha*"), ("misspelled", "wortha*"), None]
+
+
 def test_quality_learns(spark):
     rows = [(i, prose(60).upper() + "!!" if i % 5 == 0 else prose(60) + ".", "a") for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
