@@ -32,7 +32,6 @@ TOKEN = re.compile(r"[^\W\d_]+(?:[\d_*@$]+[^\W\d_]+)*")
 #: A term is a whole word, or a beginning of so many letters that longer words share.
 BEGINNINGS = range(3, 9)
 MOST_TERMS = 400
-MOST_CANDIDATES = 50_000
 PRECISION = 0.9
 COVER = 6
 KEPT_WORDS = 400_000
@@ -215,8 +214,8 @@ def quotations(text: str, longest: int = 400) -> list[tuple[int, int]]:
 
 
 def sketch(words: list[str]) -> int:
-    """The same for most near copies: the least hash of three words in a row."""
-    return min((hash3(a) for a in zip(words, words[1:], words[2:], strict=False)), default=0)
+    """The same for most near copies: the least hash of three words in a row; of fewer words, the hash of all."""
+    return min((hash3(a) for a in zip(words, words[1:], words[2:], strict=False)), default=None) or hash3(tuple(words))
 
 
 def hash3(x: tuple[str, ...]) -> int:
@@ -228,17 +227,23 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k}
 
 
+def sketched(rows: DataFrame) -> DataFrame:
+    """rows (text, y) with the sketch of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [sketch(WORD.findall(t.lower())) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int64())], ["text", "y", "sketch"])
+
+    return rows.select("text", "y").mapInArrow(run, "text string, y int, sketch long")
+
+
 def term_counts(rows: DataFrame, y: int, among: frozenset[str] | None = None) -> DataFrame:
     """(term, n): in how many sketches of documents with label y a term (one of `among`) stands.
 
     Rows of one sketch come together first, so that each task sums before anything is shuffled.
     """
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [sketch(WORD.findall(t.lower())) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int64())], ["text", "sketch"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
         last, held = None, set()
@@ -254,7 +259,7 @@ def term_counts(rows: DataFrame, y: int, among: frozenset[str] | None = None) ->
         count.update(held)
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
-    own = rows.where(F.col("y") == y).select("text").mapInArrow(sketches, "text string, sketch long")
+    own = rows.where(F.col("y") == y).select("text", "sketch")
     each = own.repartition("sketch").sortWithinPartitions("sketch").mapInArrow(run, "term string, n long")
     return each.groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -268,15 +273,21 @@ def surprise(toxic: int, clean: int, usual: float) -> float:
     return n * (q * math.log(q / usual) + ((1 - q) * math.log((1 - q) / (1 - usual)) if clean else 0.0))
 
 
-def choose_terms(rows: DataFrame, toxic: int, clean_rows: int) -> dict[str, float]:
+def choose_terms(rows: DataFrame) -> dict[str, float]:
     """Terms that stand almost only in toxic documents; none whose documents better terms have covered COVER times.
 
+    Documents of one sketch count once, in every count.
+
     So many terms are tried that some stand in toxic documents by chance: a term must be rarer by chance (Chernoff's bound)
     than one in the number tried.
     """
-    usual = toxic / (toxic + clean_rows)
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.countDistinct("sketch").alias("n")).collect()}
+    toxic = n.get(1, 0)
+    if not toxic:
+        return {}
+    usual = toxic / (toxic + n.get(0, 0))
     least = max(3, round(0.003 * toxic))
-    often = term_counts(rows, 1).where(F.col("n") >= least).orderBy(F.desc("n"), F.length("term"), "term").limit(MOST_CANDIDATES).collect()
+    often = term_counts(rows, 1).where(F.col("n") >= least).orderBy(F.desc("n"), F.length("term"), "term").collect()
     among = frozenset(r.term for r in often)
     clean = {r.term: r.n for r in term_counts(rows, 0, among).collect()}
     good = [(r.term, r.n, clean.get(r.term, 0)) for r in often if r.n >= PRECISION * (r.n + clean.get(r.term, 0)) and surprise(r.n, clean.get(r.term, 0), usual) > math.log(len(often)) + 1]
@@ -301,10 +312,11 @@ def choose_terms(rows: DataFrame, toxic: int, clean_rows: int) -> dict[str, floa
             for text in b.column(0).to_pylist():
                 words = set(WORD.findall(text.lower()))
                 out.append(sorted({where[m[1]] for w in words if (m := auto.match(w))}))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), b.column(1)], ["terms", "sketch"])
 
-    # Bounded by the sample: the toxic rows' term numbers, to cover each row COVER times.
-    sets = [r.terms for r in rows.where("y = 1").select("text").mapInArrow(run, "terms array<int>").collect()]
+    # Bounded by the sample: the toxic sketches' term numbers, to cover each sketch COVER times.
+    each = rows.where("y = 1").select("text", "sketch").mapInArrow(run, "terms array<int>, sketch long")
+    sets = [sorted(r.terms) for r in each.groupBy("sketch").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms")).orderBy("sketch").collect()]
     left = np.full(len(sets), COVER)
     rows_of: dict[int, list[int]] = {}
     for i, s in enumerate(sets):
@@ -324,9 +336,8 @@ def choose_terms(rows: DataFrame, toxic: int, clean_rows: int) -> dict[str, floa
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABELLED, rounds: int = 30) -> Model:
     """Learn from at most about `most` labelled documents whose ids `learn` accepts. Without toxic labels every score is low."""
-    rows = sample(docs, labels, "toxic", learn, most).persist()
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    terms = choose_terms(rows, n[1], n.get(0, 0)) if n.get(1) else {}
+    rows = sketched(sample(docs, labels, "toxic", learn, most)).persist()
+    terms = choose_terms(rows)
     spared: list[str] = []
     if terms:
         model = Model(terms, [], [0.0])

@@ -267,6 +267,20 @@ def test_toxicity_reaches_misspelled_inflected_and_masked_terms(spark):
     assert [auto.match(w) for w in ("worthable", "wrthable", "worxhable", "worthing")] == [("begins", "wortha*"), ("misspelled", "wortha*"), ("misspelled", "wortha*"), None]
 
 
+def test_toxicity_counts_copies_once(spark):
+    rows = [(i, f"{prose(20)}{i} {'zorgon' if i % 40 == 0 else 'vexoria' if i % 4 == 0 else ''} {prose(5)}", int(i % 4 == 0)) for i in range(400)]
+    short = [(2000 + i, f"blarg {prose(1)}{'abcdefghijklmnop'[i]}xy", 1) for i in range(16)]
+    copies = [(3000 + i, "one toxic text with many copies of it", 1) for i in range(4000)]
+
+    def terms(rows):
+        labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+        return toxicity.fit(docs(spark, [(i, t, "a") for i, t, _ in rows]), labels, F.lit(True)).terms.keys()
+
+    once = terms([*rows, *short, copies[0]])
+    assert once == terms([*rows, *short, *copies]) and any("zorgon".startswith(t.rstrip("*")) for t in once) and any("blarg".startswith(t.rstrip("*")) for t in once)
+    assert toxicity.sketch(["a"]) != toxicity.sketch(["b"])
+
+
 def test_quality_learns(spark):
     rows = [(i, prose(60).upper() + "!!" if i % 5 == 0 else prose(60) + ".", "a") for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
