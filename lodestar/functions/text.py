@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,23 +40,27 @@ TEMPLATES = (
 )
 #: Phrases of the content audit (fixed values).
 AUDIT_PHRASES = ("the (?:short|quick) answer", "longer answer is (?:more )?interesting", "let's (?:dive|dig|break|unpack)", "it's worth noting", "what to watch:", "bottom line:", "only time will tell")
-#: Facts, T16: entities; <b> and </b> stand for a word's edge (fixed values).
+#: Facts, T16: entities (fixed values).
 FACTS = (
-    "(?i)\\$[0-9,.]+\\s*(?:billion|million|trillion|B|M|T|K)?",
-    "[0-9]+\\.?[0-9]*%",
-    "(?i)[0-9,.]+x</b>",
-    "<b>[0-9]{1,3}(?:,[0-9]{3})+</b>",
-    "(?i)<b>[0-9]+\\.?[0-9]*\\s+(?:billion|million|trillion|thousand|hundred)</b>",
-    "<b>(?:Q[1-4]\\s+)?20[1-3][0-9]</b>",
-    "(?i)<b>(?:January|February|March|April|May|June|July|August|September|October|November|December)\\s+[0-9]{1,2}(?:,?\\s+[0-9]{4})?</b>",
-    "<b>[0-9]+(?::[0-9]+|-to-[0-9]+)</b>",
-    "(?i)<b>Series\\s+[A-F]</b>",
+    r"(?i)\$[\d,.]+\s*(?:billion|million|trillion|B|M|T|K)?",
+    r"\d+\.?\d*%",
+    r"(?i)[\d,.]+x\b",
+    r"\b\d{1,3}(?:,\d{3})+\b",
+    r"(?i)\b\d+\.?\d*\s+(?:billion|million|trillion|thousand|hundred)\b",
+    r"\b(?:Q[1-4]\s+)?20[1-3]\d\b",
+    r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:,?\s+\d{4})?\b",
+    r"\b\d+(?::\d+|-to-\d+)\b",
+    r"(?i)\bSeries\s+[A-F]\b",
 )
-ENTITIES = ("<b>[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\s+(?:Inc|Corp|Ltd|LLC|Co)</b>", "<b>(?:NASDAQ|NYSE|S&P|SEC|IPO|SPAC)</b>")
+ENTITIES = (r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Inc|Corp|Ltd|LLC|Co)\b", r"\b(?:NASDAQ|NYSE|S&P|SEC|IPO|SPAC)\b")
 
 
 def edges(pattern: str) -> str:
-    return pattern.replace("<b>", B).replace("</b>", E)
+    """The pattern with ASCII edges of words: Spark's engine takes letters like é for parts of words at \\b, though not in \\w.
+
+    An edge at the start of the pattern, of a group or of an alternative opens a word, any other closes one.
+    """
+    return re.sub(r"(^|\(\?i\)|[(|:])\\b", lambda m: m[1] + B, pattern).replace("\\b", E)
 
 
 def count_all(x: Column, patterns: tuple[str, ...]) -> Column:
@@ -63,6 +68,17 @@ def count_all(x: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, (F.regexp_count(x, F.lit(edges(p))) for p in patterns))
 
 
+def any_of(patterns: tuple[str, ...]) -> str:
+    """One pattern that is found where any of them is; each keeps its own flags."""
+    return "|".join(f"(?:{edges(p)})" for p in patterns)
+
+
+def where_each(x: Column, keep) -> Column:
+    """An array of x alone, or of nothing where `keep` of it is false. Exploded, it filters rows by what is made of a costly x,
+    which is then worked out once: a filter on a column would be pushed below it and repeat it."""
+    return F.filter(F.array(x), keep)
+
+
 def trim_all(x: Column) -> Column:
     return F.regexp_replace(x, "^\\s+|\\s+\\z", "")
 
@@ -110,6 +126,16 @@ def file_slug(path: Column) -> Column:
     return F.when(base == "page", F.try_element_at(parts, F.lit(-2))).otherwise(base)
 
 
+def file_basename(path: Column) -> Column:
+    """T5: a file's name without its extension, page.* too."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "\\.(mdx|md|tsx|jsx)\\z", "")
+
+
+def page_url(page: Column, site: str) -> Column:
+    """A page's absolute url; `site` may be a domain property."""
+    return F.when(F.startswith(page, F.lit("http")), page).otherwise(F.concat(F.lit(f"https://{site.replace('sc-domain:', '')}"), page))
+
+
 def escape_xml(x: Column) -> Column:
     """T30."""
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")), x)

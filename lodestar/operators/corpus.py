@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,14 +71,19 @@ def file_dates(content: DataFrame, as_of: date) -> DataFrame:
 
 
 def refresh_status(pages: DataFrame, files: DataFrame, *, stale_days: int = 30, min_impressions: int = 100) -> DataFrame:
-    """Each page with the first file (by file_ord) whose slug is its last segment or stands anywhere in its url.
+    """Each page with the first file (by file_ord) whose slug stands anywhere in its url, as in its last segment.
 
-    pages (page, clicks, impressions, ctr_pct, position) are few, files many: the condition has no key, so the smaller side
-    is broadcast by Spark, and the first match is a minimum, summed map-side.
+    pages (page, clicks, impressions, ctr_pct, position). A url's pieces of the lengths that slugs have are joined to the
+    slugs, so that the work grows with pages and files, not with their product.
     """
     p = pages.where(F.col("impressions") >= min_impressions)
-    near = F.expr("contains(page, slug)") | (F.element_at(F.split("page", "/"), -1) == F.col("slug"))
-    first = p.select("page").join(files.select("slug", F.struct("file_ord", "path", "last_updated", "days_since_update").alias("f")), near).groupBy("page").agg(F.min("f").alias("f")).select("page", "f.*")
+    slugs = files.where("slug is not null").groupBy("slug").agg(F.min(F.struct("file_ord", "path", "last_updated", "days_since_update")).alias("f"))
+    # One row: the lengths of slugs, a few dozen numbers.
+    lengths = files.agg(F.collect_set(F.length("slug")).alias("lengths"))
+    starts = lambda n: F.when(n <= F.length("page"), F.sequence(F.lit(1), F.length("page") - n + 1)).otherwise(F.array().cast("array<int>"))
+    cut = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.transform(starts(n), lambda i: F.substr(F.col("page"), i, n)))))
+    piece = p.select("page").crossJoin(F.broadcast(lengths)).select("page", F.explode(cut).alias("slug"))
+    first = piece.join(slugs, "slug").groupBy("page").agg(F.min("f").alias("f")).select("page", "f.*")
     x = p.join(first, "page", "left")
     c = F.col
     days = c("days_since_update")
@@ -101,17 +107,21 @@ def extracted(content: DataFrame) -> DataFrame:
     return content.select("path", T.file_text(F.col("raw"), F.col("ext")).alias("text"))
 
 
+def _template_hits(texts: DataFrame) -> DataFrame:
+    """(path, pattern, n): matches of each known pattern in each text. Texts without any are told by one pattern of all."""
+    t = texts.select("path", F.explode(T.where_each(F.col("text"), lambda t: t.rlike(f"(?i){T.any_of(T.TEMPLATES)}"))).alias("t"))
+    counts = F.array(*[F.struct(F.lit(p).alias("pattern"), F.regexp_count("t", F.lit(f"(?i){p}")).alias("n")) for p in T.TEMPLATES])
+    return t.select("path", F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("h")).select("path", "h.*")
+
+
 def pattern_hits(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
     """Matches and files of each known pattern with at least `threshold` matches. One narrow pass counts all patterns."""
-    counts = F.array(*[F.struct(F.lit(p).alias("pattern"), F.regexp_count("text", F.lit(f"(?i){p}")).alias("n")) for p in T.TEMPLATES])
-    hits = texts.select("path", F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("h")).select("path", "h.*")
-    return hits.groupBy("pattern").agg(F.sum("n").cast("long").alias("matches"), F.countDistinct("path").alias("files")).where(F.col("matches") >= threshold)
+    return _template_hits(texts).groupBy("pattern").agg(F.sum("n").cast("long").alias("matches"), F.countDistinct("path").alias("files")).where(F.col("matches") >= threshold)
 
 
 def template_summary(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
     """Files with any pattern that reaches the threshold."""
-    counts = F.array(*[F.struct(F.lit(p).alias("pattern"), F.regexp_count("text", F.lit(f"(?i){p}")).alias("n")) for p in T.TEMPLATES])
-    hits = texts.select("path", F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("h")).select("path", "h.*")
+    hits = _template_hits(texts)
     often = hits.groupBy("pattern").agg(F.sum("n").alias("m")).where(F.col("m") >= threshold).select("pattern")
     files = hits.join(often, "pattern", "left_semi").agg(F.countDistinct("path").alias("files_with_hits"))
     pct = F.floor(F.col("files_with_hits").cast("double") / F.nullif(F.col("files_scanned"), F.lit(0)) * 100.0 + 0.5).cast("long")
@@ -119,10 +129,11 @@ def template_summary(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
 
 
 def repeated_ngrams(texts: DataFrame, *, n: int = 5, threshold: int = 3) -> DataFrame:
-    """Word n-grams of sentences in at least `threshold` files; distinct per file first, then summed map-side."""
-    each = texts.select("path", F.explode(T.sentences(F.col("text"))).alias("s")).select("path", F.split("s", "\\s+").alias("w")).where(F.size("w") >= n)
-    grams = each.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("ngram")).distinct()
-    return grams.groupBy("ngram").agg(F.count("*").alias("files")).where(F.col("files") >= threshold)
+    """Word n-grams of sentences in at least `threshold` files (one row each); distinct within a row, then summed map-side."""
+    grams = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(T.sentences(F.col("text")), lambda s: F.split(s, "\\s+"))
+    each = texts.select(F.explode(F.array_distinct(F.flatten(F.transform(words, grams)))).alias("ngram"))
+    return each.groupBy("ngram").agg(F.count("*").alias("files")).where(F.col("files") >= threshold)
 
 
 def shared_closers(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
@@ -137,11 +148,11 @@ def shared_closers(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
 
 def factual_density(content: DataFrame, *, threshold: float = 3, min_words: int = 50) -> DataFrame:
     """T15-T17, C13, P9."""
-    x = content.select("path", T.file_text(F.col("raw"), F.col("ext"), fences=True).alias("_t")).withColumn("word_count", F.size(T.words(F.col("_t"))).cast("long")).where(F.col("word_count") >= min_words)
-    paras = T.paragraphs(F.col("_t"), 50)
+    scored = F.transform(F.array(T.file_text(F.col("raw"), F.col("ext"), fences=True)), lambda t: F.struct(t.alias("t"), F.size(T.words(t)).cast("long").alias("n")))
+    x = content.select("path", F.explode(F.filter(scored, lambda s: s["n"] >= min_words)).alias("s")).select("path", F.col("s.n").alias("word_count"), F.col("s.t").alias("_t"))
     x = x.withColumn("fact_count", T.count_all(F.col("_t"), T.FACTS).cast("long")).withColumn("entity_count", T.count_all(F.col("_t"), T.ENTITIES).cast("long"))
-    x = x.withColumn("_p", paras).withColumn("total_paragraphs", F.size("_p").cast("long"))
-    x = x.withColumn("paragraphs_without_facts", F.size(F.filter("_p", lambda p: T.count_all(p, T.FACTS) == 0)).cast("long"))
+    x = x.withColumn("_p", T.paragraphs(F.col("_t"), 50)).withColumn("total_paragraphs", F.size("_p").cast("long"))
+    x = x.withColumn("paragraphs_without_facts", F.size(F.filter("_p", lambda p: ~p.rlike(T.any_of(T.FACTS)))).cast("long"))
     x = x.withColumn("density_per_1k", F.floor(F.col("fact_count").cast("double") / F.col("word_count") * 10000.0 + 0.5) / 10.0)
     d = F.col("density_per_1k")
     grade = F.when(d >= threshold * 2, "A").when(d >= threshold, "B").when(d >= threshold * 0.5, "C").when(d > 0, "D").otherwise("F")
@@ -189,45 +200,53 @@ def link_summary(degrees: DataFrame) -> DataFrame:
     return degrees.agg(F.count("*").alias("pages"), F.count_if(F.col("class") == "orphan").alias("orphans"), F.count_if(F.col("class") == "low").alias("low_link"), F.count_if(F.col("class") == "linked").alias("well_linked"), F.count_if("dead_end").alias("dead_ends"), F.coalesce(F.sum("inbound"), F.lit(0)).alias("links"))
 
 
-def outbound_links(content: DataFrame) -> DataFrame:
-    """Url and the number of files and places that name it."""
+def link_places(content: DataFrame) -> DataFrame:
+    """(path, url) of each place that names a url; other schemes than those of pages are left out."""
     href = F.regexp_extract_all("raw", F.lit("href=[\"']([^\"'#]+?)[\"']"), F.lit(1))
     md = F.regexp_extract_all("raw", F.lit("\\[.*?\\]\\(([^)#]+?)\\)"), F.lit(1))
-    links = content.select("path", F.explode(F.concat(href, md)).alias("url")).where(~F.col("url").rlike("^(mailto:|tel:|javascript:)"))
-    return links.groupBy("url").agg(F.count("*").alias("places"), F.countDistinct("path").alias("files"), F.min("path").alias("first_file"))
+    return content.select("path", F.explode(F.concat(href, md)).alias("url")).where(~F.col("url").rlike("^(mailto:|tel:|javascript:)"))
+
+
+def outbound_links(content: DataFrame) -> DataFrame:
+    """Url and the number of files and places that name it."""
+    return link_places(content).groupBy("url").agg(F.count("*").alias("places"), F.countDistinct("path").alias("files"), F.min("path").alias("first_file"))
 
 
 # Posts
 
 
 def related_posts(posts: DataFrame, n: int = 4) -> DataFrame:
-    """Posts (slug, date, tags) that share tags, best first. Grouped by the tags they share, not compared pair by pair."""
-    tags = posts.select("slug", "date", F.explode("tags").alias("tag"))
-    other = tags.select(F.col("slug").alias("related"), F.col("date").alias("related_date"), "tag")
-    score = tags.join(other, "tag").where("slug <> related").groupBy("slug", "related", "related_date").agg(F.count("*").alias("score"))
+    """Posts (slug, date, tags) that share tags, best first: by tags shared, then the newest, then by slug.
+
+    Posts with the same tags are alike but for date and slug, so sets of tags are compared, not posts: each set offers its
+    first n + 1 posts, and each set takes the first n + 1 that all offer it. Spark keeps only those before it shuffles.
+    """
+    tagged = posts.select("slug", "date", F.array_sort("tags").alias("tags"))
+    newest = F.row_number().over(Window.partitionBy("tags").orderBy(F.desc("date"), "slug"))
+    offered = tagged.withColumn("r", newest).where(F.col("r") <= n + 1).drop("r")
+    tags = tagged.select("tags").distinct().select("tags", F.explode("tags").alias("tag"))
+    other = tags.select(F.col("tags").alias("theirs"), "tag")
+    score = tags.join(other, "tag").groupBy("tags", "theirs").agg(F.count("*").alias("score"))
+    best = F.row_number().over(Window.partitionBy("tags").orderBy(F.desc("score"), F.desc("related_date"), "related"))
+    offers = score.join(offered.select(F.col("tags").alias("theirs"), F.col("slug").alias("related"), F.col("date").alias("related_date")), "theirs")
+    offers = offers.withColumn("r", best).where(F.col("r") <= n + 1).drop("r", "theirs")
     rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), F.desc("related_date"), "related"))
-    return score.withColumn("rank", rank).where(F.col("rank") <= n).select("slug", "rank", "related", "score")
+    return tagged.drop("date").join(offers, "tags").where("slug <> related").withColumn("rank", rank).where(F.col("rank") <= n).select("slug", "rank", "related", "score")
 
 
 def insert_links(content: DataFrame, targets: list[tuple[list[str], str]], *, text: str = "raw", most: int = 5) -> DataFrame:
-    """The first phrase of each target that stands in the text becomes a link, `most` at most; order matters, so it runs as Arrow batches."""
-    import re
-
-    @F.pandas_udf("string")
-    def run(x):
-        compiled = [([re.compile(rf"(?<![\[<])\b({re.escape(p)})\b(?![\]>])", re.I | re.A) for p in ps], url) for ps, url in targets]
-
-        def one(t):
-            done = 0
-            for patterns, url in compiled if t is not None else ():
-                if done >= most:
-                    break
-                for p in patterns:
-                    if m := p.search(t):
-                        t, done = f"{t[: m.start()]}[{m[1]}]({url}){t[m.end() :]}", done + 1
-                        break
-            return t
-
-        return x.map(one)
-
-    return content.withColumn("linked", run(F.col(text)))
+    """Content with `linked`: the first phrase of each target that stands in the text becomes a link, `most` at most.
+
+    A phrase counts as a word of its own, in any case, and not next to a bracket. Targets change the text in order, so each is
+    a step of its own that works on the one before.
+    """
+    x = content.withColumn("linked", F.col(text)).withColumn("_done", F.lit(0))
+    for phrases, url in targets:
+        t, hit = F.col("linked"), F.lit(None).cast("string")
+        for p in reversed(phrases):
+            own = f"(?<![A-Za-z0-9_\\[<])({re.escape(p)})(?![A-Za-z0-9_\\]>])"
+            to = re.sub(r"([\\$])", r"\\\1", url)
+            hit = F.when(t.rlike(f"(?i){own}"), F.regexp_replace(t, f"(?is)\\A(.*?){own}", f"$1[$2]({to})")).otherwise(hit)
+        x = x.withColumn("_new", F.when(F.col("_done") < most, hit))
+        x = x.withColumn("linked", F.coalesce("_new", "linked")).withColumn("_done", F.col("_done") + F.col("_new").isNotNull().cast("int"))
+    return x.drop("_new", "_done")

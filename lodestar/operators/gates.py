@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: G1: blocked phrases by category; G2: phrases that reject (fixed values).
+#: G1: blocked phrases by category; G2: phrases that reject; H3: parts of injected links; D1: words that titles avoid (fixed values).
 BLOCKED = {
     "hedging": ["it's worth noting", "it's worth mentioning", "it's important to note", "it's crucial to understand", "it remains to be seen", "only time will tell", "there's no denying", "while it's too early to say", "whether this will succeed remains unclear"],
     "templateOpeners": ["the short answer is", "the quick answer is", "that's the short answer", "the longer answer is more interesting", "let's dive in", "let's dig in", "let's unpack this", "let's break this down", "in this article, we'll explore", "in today's post", "if you've been following"],
@@ -67,7 +67,7 @@ def title_rules(titles: DataFrame) -> DataFrame:
 def expand_keywords(patterns: DataFrame, entities: DataFrame, years: list[int]) -> DataFrame:
     """Q1: patterns x entities x years; three small rule tables, so a cross product is the feature."""
     y = patterns.select("pattern", F.explode(F.when(F.contains("pattern", F.lit("{year}")), F.array(*map(F.lit, years))).otherwise(F.array(F.lit(years[0])))).alias("year"))
-    k = y.crossJoin(F.broadcast(entities))
+    k = y.crossJoin(entities)
     return k.select("pattern", "entity", F.replace(F.replace("pattern", F.lit("{company}"), F.col("entity")), F.lit("{year}"), F.col("year").cast("string")).alias("keyword"))
 
 
@@ -111,11 +111,16 @@ def sitemap_entries(posts: DataFrame, base_url: str, as_of: date) -> DataFrame:
 
 
 def news_window(stories: DataFrame, as_of: datetime, *, hours: int = 48) -> DataFrame:
-    """Stories (slug, title, published_at) younger than `hours`, escaped for XML."""
+    """Stories (slug, title, published_at and, where there, keywords) younger than `hours`, escaped for XML."""
     recent = stories.where(F.col("published_at") > F.lit(as_of - timedelta(hours=hours)).cast("timestamp_ntz"))
-    return recent.select("slug", T.escape_xml(F.col("title")).alias("title"), F.concat(F.lit("https://example.com/news/"), F.col("slug")).alias("loc"))
+    more = [T.escape_xml(F.array_join("keywords", ", ")).alias("keywords"), "published_at"] if "keywords" in stories.columns else []
+    return recent.select("slug", T.escape_xml(F.col("title")).alias("title"), F.concat(F.lit("https://example.com/news/"), F.col("slug")).alias("loc"), *more)
 
 
-def news_xml(entries: DataFrame) -> Column:
-    """One <url> element of the news sitemap for each row of news_window."""
-    return F.concat(F.lit("<url><loc>"), F.col("loc"), F.lit("</loc><news:title>"), F.col("title"), F.lit("</news:title></url>"))
+def news_xml(entries: DataFrame, publication: str, *, language: str = "en") -> DataFrame:
+    """K6: (slug, xml): one <url> element of the news sitemap for each entry of news_window with keywords."""
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    paper = tag("news:publication", F.concat(tag("news:name", T.escape_xml(F.lit(publication))), tag("news:language", F.lit(language))))
+    when = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    news = tag("news:news", F.concat(paper, tag("news:publication_date", when), tag("news:title", F.col("title")), tag("news:keywords", F.col("keywords"))))
+    return entries.select("slug", tag("url", F.concat(tag("loc", F.col("loc")), news)).alias("xml"))

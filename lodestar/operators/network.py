@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import to_long
+from ..functions.text import url_encode
 
 URL_STATUS = "url string, status int, location string, redirected boolean, final_url string, error string"
 #: Index submissions a day.
@@ -82,22 +83,113 @@ def redirect_chains(status: DataFrame, *, most_hops: int = 10) -> DataFrame:
     return now.select("url", F.col("at").alias("final_url"), "hops")
 
 
-def fetch(urls: DataFrame, get: Callable[[str], dict], *, concurrency: int = 10) -> DataFrame:
-    """url_status rows of `get`, a few at a time in each task; `get` returns a dict of URL_STATUS without url."""
+def answer_requests(queries: DataFrame, base: str) -> DataFrame:
+    """(query, url) of the page to fetch for each query."""
+    return queries.select("query", F.concat(F.lit(base), url_encode(F.col("query"))).alias("url"))
+
+
+#: What link checks and page fetches call themselves, and how long they wait, in seconds.
+AGENT = {"User-Agent": "Mozilla/5.0 (compatible; lodestar)"}
+TIMEOUT = 15.0
+
+
+def request(url: str, *, method: str = "GET", follow: bool = True, timeout: float | None = TIMEOUT, body: bytes | None = None, headers: dict[str, str] | None = None) -> dict:
+    """One request as a row of URL_STATUS, with html for GET. Redirects are followed or reported; a request that takes
+    too long has the error TIMEOUT, another that fails its message, and both no status."""
+    import socket
+    import urllib.error
+    import urllib.request
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *a):
+            return None
+
+    opener = urllib.request.build_opener(*[] if follow else [Stay])
+    try:
+        r = opener.open(urllib.request.Request(url, data=body, method=method, headers=AGENT | (headers or {})), timeout=timeout)
+    except urllib.error.HTTPError as e:
+        r = e
+    except (TimeoutError, socket.timeout):
+        return {"status": None, "error": "TIMEOUT"}
+    except (OSError, ValueError) as e:
+        late = isinstance(getattr(e, "reason", None), TimeoutError)
+        return {"status": None, "error": "TIMEOUT" if late else str(e)}
+    with r:
+        final = r.geturl()
+        out = {"status": r.status, "location": r.headers.get("Location"), "redirected": final != url, "final_url": final, "error": None}
+        if method == "GET":
+            out["html"] = r.read().decode("utf-8", "replace")
+        return out
+
+
+def get_manual(url: str) -> dict:
+    """GET without following redirects."""
+    return request(url, follow=False, timeout=None)
+
+
+def head(url: str) -> dict:
+    """HEAD, redirects followed."""
+    return request(url, method="HEAD")
+
+
+def page(url: str) -> dict:
+    """GET of a page's text."""
+    return request(url)
+
+
+def index_post(endpoint: str, token: str = "") -> Callable[[str, str], dict]:
+    """K3: posts {url, type} to an index; its answer's status as text, or SUBMITTED."""
+    import json
+
+    def post(url: str, kind: str) -> dict:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        r = request(endpoint, method="POST", body=json.dumps({"url": url, "type": kind}).encode(), headers=headers)
+        ok = r.get("status") is not None and 200 <= r["status"] < 300
+        return {"status": "OK" if ok else "FAIL", "error": None if ok else r.get("error") or f"HTTP {r.get('status')}"}
+
+    return post
+
+
+def hub_post(endpoint: str, *, timeout: float = 10.0) -> Callable[[str, str], dict]:
+    """K4: posts hub.mode=publish and hub.url to a feed hub; any 2xx is well."""
+    from urllib.parse import urlencode
+
+    def post(url: str, kind: str = "publish") -> dict:
+        body = urlencode({"hub.mode": "publish", "hub.url": url}).encode()
+        r = request(endpoint, method="POST", timeout=timeout, body=body, headers={"Content-Type": "application/x-www-form-urlencoded"})
+        ok = r.get("status") is not None and 200 <= r["status"] < 300
+        return {"status": "OK" if ok else "FAIL", "error": None if ok else r.get("error") or f"HTTP {r.get('status')}"}
+
+    return post
+
+
+def fetch(urls: DataFrame, get: Callable[[str], dict], *, concurrency: int = 10, pause: float = 0.0, drop_failures: bool = False) -> DataFrame:
+    """url_status rows with html of `get`, `concurrency` at a time in each task and `pause` seconds between such batches.
+
+    `drop_failures` leaves out what has no status, as the fetch of pages for their schemas does. Nothing is fetched until
+    the result is read; a task that is run again fetches again.
+    """
+    columns = ("status", "location", "redirected", "final_url", "error", "html")
 
     def run(batches: Iterator):
+        import time
         from concurrent.futures import ThreadPoolExecutor
 
         with ThreadPoolExecutor(concurrency) as pool:
             for b in batches:
-                got = [*pool.map(get, b.url)]
-                yield b.assign(**{c: [g.get(c) for g in got] for c in ("status", "location", "redirected", "final_url", "error")})
+                got = []
+                for i in range(0, len(b), concurrency):
+                    if i and pause:
+                        time.sleep(pause)
+                    got += pool.map(get, b.url[i : i + concurrency])
+                yield b.assign(**{c: [g.get(c) for g in got] for c in columns}).astype({"status": "Int32"})
 
-    return urls.select("url").mapInPandas(run, URL_STATUS)
+    out = urls.select("url").mapInPandas(run, URL_STATUS + ", html string")
+    return out.where("status is not null") if drop_failures else out
 
 
 def submit(batch: DataFrame, post: Callable[[str, str], dict], *, dry_run: bool = True) -> DataFrame:
-    """K3, K4: one post for each row of (url, type); nothing is sent unless dry_run is off."""
+    """One post for each row of (url, type); nothing is sent unless dry_run is off."""
 
     def run(batches: Iterator):
         for b in batches:

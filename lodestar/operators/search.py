@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import ctr_pct, jsround, pct_change, pos1, to_long
+from ..functions.text import file_basename
 
 #: Expected click-through rate by position, in percent (fixed values).
 EXPECTED_CTR = {3: 8.0, 4: 5.0, 5: 3.5, 6: 2.5, 7: 2.0, 8: 1.5, 9: 1.2, 10: 1.0, 11: 0.8, 12: 0.6, 13: 0.5, 14: 0.4, 15: 0.3, 16: 0.25, 17: 0.2, 18: 0.18, 19: 0.15, 20: 0.12}
@@ -33,6 +34,19 @@ def metrics(fact: DataFrame, *dims: str) -> DataFrame:
     return sums.select(*dims, "clicks", "impressions", ctr.alias("ctr"), position.alias("position"))
 
 
+def scan(fact: DataFrame, first: date, last: date, *dims: str, page: str | None = None, rows: int = 1000, start: int = 0, final: bool = False) -> DataFrame:
+    """The rows `start` to `start + rows` of a query of the search-analytics source, days `first` to `last` inclusive.
+
+    `page` keeps one page. `final` keeps the rows that the fact marks as final (column `final`), else fresh ones count too.
+    """
+    own = fact.where(F.col("date").between(F.lit(first), F.lit(last)))
+    if page is not None:
+        own = own.where(F.col("page") == page)
+    if final:
+        own = own.where("final")
+    return metrics(own, *dims).orderBy(F.desc("clicks"), F.desc("impressions"), *dims).offset(start).limit(rows)
+
+
 def row_limit(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """The first n rows by clicks, impressions and key: a distributed top-k."""
     return rows.orderBy(F.desc("clicks"), F.desc("impressions"), *keys).limit(n)
@@ -99,7 +113,7 @@ def weekly_monopolies(fact: DataFrame, as_of: date, *, rows: int = 500, n: int =
 
 def is_machine_query(q: Column) -> Column:
     """Two signs or more of a machine-phrased query."""
-    signs = [q.rlike("^[A-Za-z0-9_]{3,} [0-9]{1,2} [0-9]{4} "), q.rlike("(?i)latest\\z"), q.rlike(f"(?i){B}(yes|no|true|false){E}"), F.size(F.split(q, " ")) > 12, q.rlike("[0-9]{4}.*[0-9]{4}")]
+    signs = [q.rlike(r"^\w{3,} \d{1,2} \d{4} "), q.rlike("(?i)latest\\z"), q.rlike(f"(?i){B}(yes|no|true|false){E}"), F.size(F.split(q, " ")) > 12, q.rlike(r"\d{4}.*\d{4}")]
     return sum((s.cast("int") for s in signs[1:]), signs[0].cast("int")) >= 2
 
 
@@ -108,7 +122,7 @@ def intent(q: Column) -> Column:
     low = F.lower(q)
     return (
         F.when(is_machine_query(low), "ai_grounding")
-        .when(low.rlike(f"{B}vs{E}|compare|best|top [0-9]|ranked|alternative"), "comparison")
+        .when(low.rlike(f"{B}vs{E}|compare|best|top \\d|ranked|alternative"), "comparison")
         .when(low.rlike(f"{B}buy{E}|pricing|cost|how to get|sign up|free trial"), "transactional")
         .when(low.rlike(f"{B}(?:(?:what|how|why|when){E}|(?:is|are|does) (?=[A-Za-z0-9_]))"), "informational")
         .otherwise("navigational")
@@ -174,6 +188,11 @@ def cannibal_losers(fact: DataFrame, as_of: date, *, days: int = 28, min_impress
     return rows.where("loser_rank >= 1").select("query", "loser_rank", "page", "position", "clicks", "impressions")
 
 
+def cannibal_totals(clusters: DataFrame) -> DataFrame:
+    """Clusters and their wasted impressions."""
+    return clusters.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("wasted_impressions"), F.lit(0)).alias("total_wasted"))
+
+
 # Striking distance
 
 
@@ -198,13 +217,18 @@ def striking_distance(fact: DataFrame, as_of: date, *, days: int = 28, min_posit
     return g.withColumn("actions", F.array_join(actions, " | "))
 
 
+def striking_totals(pages: DataFrame) -> DataFrame:
+    """Pages and the clicks that their moves would gain."""
+    return pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("click_gain"), F.lit(0)).alias("total_click_gain"))
+
+
 # Query gaps
 
 
 def gap_type(q: Column) -> Column:
     """C8."""
     return (
-        F.when(q.rlike("[0-9]{4}"), "TIME-SENSITIVE")
+        F.when(q.rlike(r"\d{4}"), "TIME-SENSITIVE")
         .when(q.rlike(f"(?i)^(what|how|why|when|where|who|is|are|can|do|does){E}"), "QUESTION")
         .when(q.rlike(f"(?i){B}vs{E}|versus|compared?{E}|comparison"), "COMPARISON")
         .when(q.rlike(f"(?i){B}best{E}|top{E}|ranking|rated"), "RANKING")
@@ -227,9 +251,9 @@ def query_gaps(fact: DataFrame, topics: DataFrame | None, as_of: date, *, days:
 
 
 def topic_words(content: DataFrame) -> DataFrame:
-    """Distinct words of slugs and titles of markdown and JSX files."""
+    """Distinct words of slugs and titles of markdown and JSX files."""
     files = content.where(F.col("ext").isin(".md", ".mdx", ".tsx", ".jsx"))
-    slug = F.filter(F.transform(F.split("slug", "[-_]"), F.lower), lambda w: F.length(w) > 2)
+    slug = F.filter(F.transform(F.split(file_basename(F.col("path")), "[-_]"), F.lower), lambda w: F.length(w) > 2)
     title = F.regexp_extract("raw", "(?m)title:\\s*['\"]?(.*?)['\"]?\\s*$", 1)
     words = F.filter(F.split(F.lower(title), "\\s+"), lambda w: F.length(w) > 3)
     return files.select(F.explode(F.array_union(slug, words)).alias("word")).distinct()

@@ -11,7 +11,7 @@ SA_C = f"WITH sa AS ({SEARCH_ANALYTICS}), c AS ({CONTENT})"
 
 
 def q(s: str) -> str:
-    return "'" + s.replace("'", "''").replace("<b>", "\\b").replace("</b>", "\\b") + "'"
+    return "'" + s.replace("'", "''") + "'"
 
 
 def count(x: str, patterns: tuple[str, ...], flags: str = "") -> str:
@@ -44,7 +44,8 @@ NUM = "regexp_replace(cast({x} AS varchar), '\\.0$', '')"
 REASONS = f"""concat_ws(' | ', CASE WHEN is_thin THEN 'Thin content: ' || word_count || ' words' END, CASE WHEN template_count >= 2 THEN template_count || ' template phrases detected' END, CASE WHEN external_links = 0 THEN 'No external links (citation gap)' END, CASE WHEN NOT has_schema THEN 'Missing structured data / schema' END, CASE WHEN image_count = 0 THEN 'No images' END,
  CASE WHEN clicks = 0 AND impressions > 0 THEN impressions || ' impressions, 0 clicks' END, CASE WHEN bucket = 'UPDATE' THEN 'Title rewrite candidate: pos ' || {NUM.format(x='floor(position * 1e1 + 0.5e0) / 1e1')} || ', ' || {NUM.format(x='floor(ctr * 1e2 * 1e2 + 0.5e0) / 1e2')} || '% CTR' END, CASE WHEN bucket = 'PROMOTE' THEN 'High performer: ' || clicks || ' clicks. Boost with internal links.' END)"""
 DATE = "try_cast(nullif(regexp_extract(raw, '{k}:\\s*[''\"]?(\\d{{4}}-\\d{{2}}-\\d{{2}})[''\"]?', 1), '') AS date)"
-REFRESH = f"""fl AS (SELECT doc_id AS file_ord, path, slug, coalesce({DATE.format(k='lastUpdated')}, {DATE.format(k='date')}) AS last_updated FROM c WHERE ext IN ('.md', '.mdx', '.tsx', '.jsx')),
+FILES = f"fl AS (SELECT doc_id AS file_ord, path, slug, coalesce({DATE.format(k='lastUpdated')}, {DATE.format(k='date')}) AS last_updated FROM c WHERE ext IN ('.md', '.mdx', '.tsx', '.jsx'))"
+REFRESH = f"""{FILES},
  pg AS (SELECT page, clicks, impressions, floor(ctr * 1e4 + 0.5e0) / 1e2 AS ctr_pct, floor(position * 1e1 + 0.5e0) / 1e1 AS position FROM {agg('page', 28, 1)} WHERE impressions >= 100),
  m AS (SELECT pg.page, fl.path, fl.last_updated, date_diff('day', fl.last_updated, DATE '2024-01-31') AS days, row_number() OVER (PARTITION BY pg.page ORDER BY fl.file_ord) AS rn FROM pg JOIN fl ON contains(pg.page, fl.slug)),
  r AS (SELECT pg.*, m.path, m.last_updated, m.days AS days_since_update, CASE WHEN m.path IS NULL THEN 'UNMATCHED' WHEN m.days >= 30 THEN 'STALE' ELSE 'HEALTHY' END AS status FROM pg LEFT JOIN m ON m.page = pg.page AND m.rn = 1)"""

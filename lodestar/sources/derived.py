@@ -91,8 +91,44 @@ SELECT 'post-' || cast(doc_id AS varchar(20)) AS slug, source AS channel, doc_id
 FROM documents
 """
 
+#: Drafts, commits, redirects, cited sources, stated facts and statuses of links for the rules; the same SQL in both engines.
+DRAFTS = """
+SELECT 'post-' || cast(doc_id AS varchar(20)) AS slug, source AS channel, DATE '2024-01-01' + cast(doc_id % 30 AS int) AS date, text,
+ CASE doc_id % 6 WHEN 0 THEN 'deep-explainer' WHEN 1 THEN 'news-analysis' WHEN 2 THEN 'ranked-list' WHEN 3 THEN 'question-led' WHEN 4 THEN 'contrarian-take' ELSE 'other' END AS format,
+ CASE doc_id % 4 WHEN 0 THEN 'best tools ' WHEN 1 THEN 'acme corp ' ELSE 'unheard of ' END || cast(doc_id % 100 AS varchar(20)) AS target_query,
+ CASE doc_id % 5 WHEN 0 THEN 'newsContent' WHEN 1 THEN 'dataPages' WHEN 2 THEN 'companyProfiles' WHEN 3 THEN 'evergreenGuides' ELSE 'other' END AS content_type,
+ CASE doc_id % 7 WHEN 0 THEN 'update post [nobuild]' WHEN 1 THEN 'ship [deploy-tick]' ELSE 'update post ' || cast(doc_id AS varchar(20)) END AS subject,
+ CASE doc_id % 5 WHEN 0 THEN 'posts/a.md,data/b.json' WHEN 1 THEN 'app/page.tsx,posts/a.md' WHEN 2 THEN '_posts/x.tsx' WHEN 3 THEN 'notes.csv' END AS files
+FROM documents
+"""
+
+REDIRECTS = """
+SELECT '/blog/post-' || cast(page_id * 3 AS varchar(20)) AS source, '/blog/post-' || cast(page_id AS varchar(20)) AS target FROM pages WHERE page_id % 4 = 1
+"""
+
+CITED_SOURCES = """
+SELECT 'post-' || cast(page_id AS varchar(20)) AS slug, CASE page_id % 3 WHEN 0 THEN 'Bloomberg' ELSE regexp_extract(url, '^https?://([^/?#]+)', 1) END AS name, url FROM pages WHERE url IS NOT NULL
+"""
+
+STATED_FACTS = """
+SELECT 'post-' || cast(p_partkey AS varchar(20)) AS slug, p_brand || ' ' || p_type AS entity, CASE p_partkey % 2 WHEN 0 THEN 'size' ELSE 'price' END AS metric, cast(p_size AS bigint) AS value FROM part
+"""
+
+LINK_STATUS = """
+SELECT url, CASE n % 7 WHEN 1 THEN 404 WHEN 2 THEN 500 WHEN 3 THEN 0 ELSE 200 END AS status, n % 7 = 4 AS redirected, CASE WHEN n % 7 = 4 THEN url || '/new' END AS final_url, CASE WHEN n % 7 = 3 THEN 'TIMEOUT' END AS error
+FROM (SELECT DISTINCT 'https://site.example/blog/post-' || cast((doc_id * 7) % 40 AS varchar(20)) AS url, (doc_id * 7) % 40 AS n FROM documents UNION ALL SELECT DISTINCT 'https://ext.example/' || cast(doc_id % 9 AS varchar(20)) AS url, doc_id % 9 AS n FROM documents) u
+"""
+
+OG_PAGES = """
+SELECT url, '<html><head><meta property="og:image" content="' || url || '"></head></html>' AS html FROM pages WHERE url IS NOT NULL AND page_id % 2 = 0
+"""
+
+OVERVIEWS = """
+SELECT 'query ' || cast(page_id AS varchar(20)) AS query, CASE page_id % 4 WHEN 0 THEN html || '<div id="ai-overview">' WHEN 1 THEN '<h2>AI Overview</h2>' WHEN 2 THEN html END AS html FROM pages
+"""
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
-    """One of the views above over the table `name`."""
+    """One of the views above over the table `name`, wherever it stands in it."""
     escaped = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", "FROM {source}")
     return spark.sql(escaped, source=table(spark, sf_dir, name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
@@ -25,7 +27,13 @@ def files(spark: SparkSession, path: str, *, extensions: tuple[str, ...] = (), s
         read = read.option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}")
     rows = read.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("mtime"))
     rows = rows.select("path", T.file_slug(F.col("path")).alias("slug"), F.regexp_extract("path", "(\\.[^./]+)\\z", 1).alias("ext"), "raw", "mtime")
-    return rows.where(~F.col("path").rlike("/(\\.[^/]+|node_modules)/")) if skip_dot_folders else rows
+    if not skip_dot_folders:
+        return rows
+    # Folders below the root only: the root itself may lie anywhere.
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    below = F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), re.escape(root.rstrip("/")) + "/", 2), -1)
+    return rows.where(~below.rlike("(^|/)(\\.[^/]+|node_modules)/"))
 
 
 def list_file(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions.num import jsround, pct_change
-from lodestar.operators import corpus, gates, jsonld, network, search
+from lodestar.operators import corpus, gates, jsonld, network, rules, search
 
 
 def col(spark, values, expr, kind="string"):
@@ -28,6 +28,9 @@ def test_pct_change_without_old_value(spark):
 def test_slugs(spark):
     assert col(spark, ["https://a.b/c/d/", "https://a.b", "/x?q=1"], T.url_slug) == ["d", "a.b", "x?q=1"]
     assert col(spark, ["/c/post-1.md", "/c/about/page.tsx"], T.file_slug) == ["post-1", "about"]
+    assert col(spark, ["/c/post-1.md", "/c/about/page.tsx", "x.html"], T.file_basename) == ["post-1", "page", "x.html"]
+    assert col(spark, ["/a", "https://x/a"], lambda c: T.page_url(c, "sc-domain:s.example")) == ["https://s.example/a", "https://x/a"]
+    assert col(spark, ["a b&c"], T.url_encode) == ["a%20b%26c"]
 
 
 def test_machine_queries(spark):
@@ -103,6 +106,99 @@ def test_insert_links_in_order(spark):
     assert got == ["[Acme](/a) and acme [beta](/b)", None]
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_made_once_in_a_plan(spark):
+    from lodestar import catalog
+
+    for name, mark in (("factual_density", "(?s)```"), ("template_pattern_hits", "^import"), ("repeated_ngrams", "^import")):
+        assert plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))[0].count(mark) == 1, name
+
+
+def test_refresh_has_no_nested_loop_over_files(spark):
+    from lodestar import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "CartesianProduct" not in plan(catalog.queries()["refresh_candidates"](spark, "/root/testdata/sf0.001"))[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_refresh_matches_slugs_anywhere(spark):
+    import datetime
+
+    day = datetime.date(2024, 1, 1)
+    pages = spark.createDataFrame([(u, 1, 500, 0.2, 5.0) for u in ("https://s/blog/abc", "https://s/abcd/x", "https://s/zz/", "q")], "page string, clicks long, impressions long, ctr_pct double, position double")
+    files = spark.createDataFrame([("zz", 3, "c", day, 30), ("abc", 2, "b", day, 30), ("bcd", 1, "a", day, 30), (None, 0, "n", day, 30), ("a longer slug than any url that there is here", 0, "l", day, 9)], "slug string, file_ord long, path string, last_updated date, days_since_update int")
+    assert {r.page: r.path for r in corpus.refresh_status(pages, files).collect()} == {"https://s/blog/abc": "b", "https://s/abcd/x": "a", "https://s/zz/": "c", "q": None}
+    assert corpus.refresh_status(pages, files.limit(0)).where("status = 'UNMATCHED'").count() == 4
+
+
+def test_related_posts_against_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"p{i:03}", i % 7, rng.sample(["a", "b", "c", "d"], rng.randint(0, 3)) + ["hot"] * (i % 2)) for i in range(90)]
+    got = {}
+    for r in corpus.related_posts(spark.createDataFrame(rows, "slug string, date int, tags array<string>")).orderBy("rank").collect():
+        got.setdefault(r.slug, []).append((r.related, r.score))
+    for slug, _, tags in rows:
+        best = sorted((-len(set(tags) & set(t)), -d, s) for s, d, t in rows if s != slug and set(tags) & set(t))[:4]
+        assert got.get(slug, []) == [(s, -n) for n, _, s in best], slug
+
+
+def test_insert_links_against_single_texts(spark):
+    rng = __import__("random").Random(4)
+    targets = [(["acme corp", "acme"], "/a$1"), (["beta"], "/b"), (["(x)"], "/x"), (["été"], "/e"), (["q"], "/q"), (["zed"], "/z")]
+    texts = [" ".join(rng.choices(["Acme", "acme corp", "BETA", "[beta]", "<acme>", "beta,", "(x)", "Été", "q", "q_", "zed", "\n", "éacme"], k=rng.randint(0, 12))) for _ in range(80)]
+
+    def linked(t, most):
+        done = 0
+        for phrases, url in targets:
+            for p in phrases if done < most else ():
+                if m := re.search(rf"(?<![A-Za-z0-9_\[<])({re.escape(p)})(?![A-Za-z0-9_\]>])", t, re.I | re.A):
+                    t, done = f"{t[: m.start()]}[{m[1]}]({url}){t[m.end() :]}", done + 1
+                    break
+        return t
+
+    for most in (5, 2):
+        got = corpus.insert_links(spark.createDataFrame([(t,) for t in texts], "raw string"), targets, most=most)
+        assert [r.linked for r in got.collect()] == [linked(t, most) for t in texts]
+        assert "Python" not in plan(got)[1]
+
+
+def test_jsonld_limits(spark):
+    def page(name, x):
+        return (name, f'<script type="application/ld+json">{x}</script>')
+
+    words = " ".join(["w"] * 121)
+    question = '{"@type":"Question","name":"n","acceptedAnswer":{"@type":"Answer","text":"%s"}}'
+    rows = [
+        page("faq", '{"@context":"c","@type":"FAQPage","mainEntity":[%s]}' % ",".join([question % words] * 6)),
+        page("headline", '{"@context":"c","@type":"Article","headline":"%s","author":{"name":"a","url":"u"},"datePublished":"d"}' % ("h" * 111)),
+        page("data", '{"@context":"c","@type":"Dataset","name":"n","description":"d"}'),
+    ]
+    got = {}
+    for r in jsonld.issues(jsonld.items(spark.createDataFrame(rows, "path string, raw string"))).collect():
+        got.setdefault(r.path, []).append(r.message)
+    assert any("121 words" in m for m in got["faq"]) and any("temporalCoverage" in m for m in got["data"]) and any("variableMeasured" in m for m in got["data"])
+    assert any("eadline" in m for m in got["headline"]), got
+
+
+def test_rules(spark):
+    rows = spark.createDataFrame([("a", "ranked-list", 849), ("b", "ranked-list", 850), ("c", "ranked-list", 1201), ("d", "poem", 1)], "slug string, format string, word_count long")
+    assert {r.slug: r.verdict for r in rules.word_range_gate(rows).collect()} == {"a": "short", "b": "ok", "c": "long", "d": "no rule"}
+    commits = spark.createDataFrame([(1, "x [nobuild] [deploy-tick]", ["a.ts"]), (2, "x [deploy-tick]", ["a.md"]), (3, "x", ["a.md", "_posts/b.ts"]), (4, "x", ["a.md", "b.ts"]), (5, "x", None), (6, "x", [])], "id int, subject string, files array<string>")
+    assert {r.id: r.build for r in rules.build_decision(commits).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True, 6: False}
+    plan_ = spark.createDataFrame([("n", "newsContent", "KEEP", 60, 7), ("m", "newsContent", "MERGE", 60, 7), ("f", "other", "KEEP", 49, 30), ("y", "evergreenGuides", "KEEP", 60, 59), ("z", "other", "KEEP", 60, None)], "path string, content_type string, bucket string, impressions long, days_since_update int")
+    assert {r.path: (r.stale, r.refresh) for r in rules.refresh_plan(plan_).collect()} == {"n": (True, True), "m": (True, False), "f": (True, False), "y": (False, False), "z": (False, False)}
+    facts = spark.createDataFrame([("p", "acme", "value", 1), ("q", "acme", "value", 2), ("p", "acme", "age", 3), ("q", "acme", "age", 3)], "slug string, entity string, metric string, value long")
+    assert [(r.entity, r.metric, r.stated, r.posts) for r in rules.contradictions(facts).collect()] == [("acme", "value", 2, 2)]
+
+
 def test_list_file(spark):
     df = spark.createDataFrame([(" a ",), ("# c",), ("",), ("b",)], "value string")
     assert [r.item for r in network.list_items(df).collect()] == ["a", "b"]

@@ -1,11 +1,14 @@
 """Readers, report documents and the stream, on files of a temporary folder."""
 
+import http.server
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import reports
+from lodestar.operators import network, reports
 from lodestar.sources import readers
 from lodestar.streaming import daily
 
@@ -20,6 +23,72 @@ def test_files(spark, tmp_path):
     assert got == {"post-1": (".md", "one\ntwo"), "about": (".tsx", "x")}
 
 
+def test_files_below_a_dot_folder(spark, tmp_path):
+    root = tmp_path / ".site" / "a+b c"
+    (root / "sub").mkdir(parents=True)
+    (root / ".hidden").mkdir()
+    (root / "node_modules").mkdir()
+    for name in ("top.md", "sub/in.md", ".hidden/x.md", "node_modules/y.md"):
+        (root / name).write_text("t")
+    got = readers.files(spark, str(root), extensions=(".md",), skip_dot_folders=True).where("mtime > timestamp '2000-01-01'")
+    assert sorted(r.slug for r in got.collect()) == ["in", "top"]
+
+
+@pytest.fixture
+def site():
+    """A local server: /ok, /moved to /ok, /gone, /slow; what was posted is kept."""
+    posted = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(1.5)
+            code = {"/moved": 301, "/gone": 404}.get(self.path, 200)
+            self.send_response(code)
+            if code == 301:
+                self.send_header("Location", "/ok")
+            self.end_headers()
+            if self.command == "GET":
+                self.wfile.write(b"<p>text</p>")
+
+        do_HEAD = do_GET
+
+        def do_POST(self):
+            posted.append((self.path, self.rfile.read(int(self.headers["Content-Length"])).decode(), self.headers["Content-Type"]))
+            self.send_response(204 if self.path == "/hub" else 200)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", posted
+    server.shutdown()
+
+
+def test_requests(site):
+    base, posted = site
+    assert {k: v for k, v in network.get_manual(f"{base}/moved").items() if k in ("status", "location", "redirected")} == {"status": 301, "location": "/ok", "redirected": False}
+    r = network.head(f"{base}/moved")
+    assert (r["status"], r["redirected"], r["final_url"], "html" in r) == (200, True, f"{base}/ok", False)
+    assert network.page(f"{base}/ok")["html"] == "<p>text</p>" and network.head(f"{base}/gone")["status"] == 404
+    assert network.request(f"{base}/slow", timeout=0.3) == {"status": None, "error": "TIMEOUT"}
+    assert network.head("http://127.0.0.1:9/")["status"] is None and network.head("nonsense")["error"]
+    assert network.hub_post(f"{base}/hub")("http://f/feed") == {"status": "OK", "error": None}
+    assert network.index_post(f"{base}/index", "t")("http://p", "URL_UPDATED")["status"] == "OK"
+    assert posted == [("/hub", "hub.mode=publish&hub.url=http%3A%2F%2Ff%2Ffeed", "application/x-www-form-urlencoded"), ("/index", '{"url": "http://p", "type": "URL_UPDATED"}', "application/json")]
+
+
+def test_fetch(spark, site):
+    base, _ = site
+    urls = spark.createDataFrame([(f"{base}/{x}",) for x in ("ok", "moved", "gone")] + [("http://127.0.0.1:9/",)], "url string").coalesce(1)
+    began = time.time()
+    got = {r.url.rsplit("/", 1)[1]: (r.status, r.html) for r in network.fetch(urls, network.page, concurrency=2, pause=0.5).collect()}
+    assert got == {"ok": (200, "<p>text</p>"), "moved": (200, "<p>text</p>"), "gone": (404, "<p>text</p>"), "": (None, None)} and time.time() - began >= 0.5
+    assert network.fetch(urls, network.page, drop_failures=True).count() == 3
+
+
 def test_lists_sitemaps_and_baselines(spark, tmp_path):
     (tmp_path / "list.txt").write_text("a\n# b\n\n c \n")
     assert [r.item for r in readers.list_file(spark, str(tmp_path / "list.txt")).collect()] == ["a", "c"]
