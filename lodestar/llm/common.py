@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
+from itertools import accumulate
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a Python worker's memory is bounded whatever a document's length.
 ARROW_ROWS = 2000
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
+#: Bytes that a worker reads between two times that it gives unused memory back to the system.
+RELEASE = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (not the results) and see that its executors can import this package."""
+    """Bound the Arrow batches of this session (not the results) and see that its executors can import this package.
+
+    The two settings stay, as plans are run after the operators that made them have returned.
+    """
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
@@ -37,10 +46,53 @@ def _ship(spark: SparkSession) -> None:
     sc._lodestar_shipped = True
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give unused memory back to the system: idle workers stay and count against their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory is released after every RELEASE bytes and at the end."""
+    read = 0
+    for b in batches:
+        read += b.nbytes
+        yield b
+        del b
+        if read > RELEASE:
+            read = 0
+            release()
+    release()
+
+
+def lean_groups(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """`run` for applyInArrow; memory is released after every RELEASE bytes."""
+    read = 0
+
+    def released(key, table):
+        nonlocal read
+        out = run(key, table)
+        read += table.nbytes
+        if read > RELEASE:
+            read = 0
+            release()
+        return out
+
+    return released
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a temporary one, but on one machine only."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -81,12 +133,31 @@ def same(*pairs: tuple[Column, Column]) -> Column:
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in pairs))
 
 
+def running(rows: DataFrame, by: list[Column], sums: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
+    """rows with nth (from 0) and for each of `sums` (never null) its total over the rows before, as before_<name>, in the
+    order `by`; and the number of rows.
+
+    Rows are dealt by ranges of `by` and summed within a range; one row a range reaches the driver, so no task holds them all.
+    """
+    dealt = scratch.save(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("_nth"), *[F.sum(c).alias(c) for c in sums]).orderBy("_range").collect()
+    own = Window.partitionBy("_range").orderBy(*by)
+    out = dealt.withColumn("nth", (F.row_number().over(own) - 1).cast("long"))
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.sum(c).over(own) - F.col(c))
+    for c, to in [("_nth", "nth"), *[(c, f"before_{c}") for c in sums]]:
+        ahead = accumulate((r[c] for r in totals[:-1]), initial=0 * totals[0][c]) if totals else ()
+        start = F.create_map(*[F.lit(x) for r, a in zip(totals, ahead, strict=True) for x in (r["_range"], a)]) if totals else None
+        out = out.withColumn(to, F.col(to) + start[F.col("_range")]) if totals else out
+    return out.drop("_range"), sum(r["_nth"] for r in totals)
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 40) -> DataFrame:
     """(v, component) for each vertex of `edges` (a, b: long, undirected); component is its smallest vertex.
 
     Alternating star contraction: every round sends each neighbour of a vertex to the smallest one. Minima are summed
-    map-side before they are shuffled, the join back to the edges can be split by Spark where a vertex is hot, and each
-    round's edges are written to the shared folder. Rounds grow with the logarithm of the longest path.
+    map-side and written to the shared folder, as are each round's edges, so that both sides of the join back to the edges
+    are plain tables and Spark can split it where a vertex is hot. Rounds grow with the logarithm of the longest path.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(most_rounds):
@@ -95,21 +166,25 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 40) -> Dat
         open_ = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down > 1 or down = 1 and root = 1")
         if not open_.agg(F.count("*")).first()[0]:
             break
-        large = _star(e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v"))), larger_only=True)
-        small = scratch.save(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), larger_only=False))
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = _star(both, scratch, larger_only=True)
+        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, larger_only=False)
         scratch.drop(e)
+        scratch.drop(large)
         e = small
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("a").alias("v"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())
 
 
-def _star(uv: DataFrame, *, larger_only: bool) -> DataFrame:
+def _star(uv: DataFrame, scratch: Scratch, *, larger_only: bool) -> DataFrame:
     """Link each neighbour v of u (and u itself in the small star) to the smallest of u and its neighbours."""
-    least = uv.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = scratch.save(uv.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
     to = uv.join(least, "u")
     if larger_only:
         out = to.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = to.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = scratch.save(out.where("a <> b").distinct())
+    scratch.drop(least)
+    return out

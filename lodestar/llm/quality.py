@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from .common import Scratch, tune
+from .common import Scratch, lean, tune
 from .labelled import MOST_LABELLED, sample
 
 N_FOURIER = 256
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABE
     tune(spark)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     scratch = Scratch(spark, "quality")
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: Model, *, held_out: Column, threshold: float =
     rows = docs.withColumn("_held", held_out).select(*rest, F.col("_held").alias("held_out"), F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             s = model.score(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 

@@ -33,16 +33,16 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.made_findings(spark)))
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.made_findings(spark))
     return found.select("doc_id", "kind", secrets.redact(F.col("value")).alias("value_sha256"), "found_at", "times", "score", "secret")
 
 
@@ -68,8 +68,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    units = mixing.decide(table(spark, sf_dir, "documents"))
+    rows = units.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
