@@ -1,10 +1,11 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A bounded sample of the vectors, thinned so that no two are near each other, gives the pivots. A vector is described by its
-nearest pivots in order; an inverted list for each pivot holds the vectors that name it. Two vectors are compared where
-they share at least SHARED pivots, once, in the list of the smallest pivot that they share, and by their cosine in double
-precision. Long lists are cut into blocks of bounded size and each pair of blocks is a task of its own, so that a hot list
-is spread; a task sends one row a vector, not one a pair.
+NEAREST pivots in order of nearness; an inverted list for each pivot holds the vectors that name it. Two vectors are
+compared where they share at least SHARED pivots: a list is read by the second pivot that its vectors share, so that no
+vector meets one that shares the list's pivot alone. A list too long for one task is dealt out by that second pivot, and
+what is then still too long is cut into blocks, each pair of blocks a task. A pair that meets more than once counts at the
+two smallest pivots that it shares, and by its cosine in double precision. A task sends one row a vector, not one a pair.
 """
 
 from __future__ import annotations
@@ -16,121 +17,177 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, tune
+from .common import Scratch, components, lean, lean_groups, running, tune
 
-#: Pivots: so many times the square root of the number of vectors, within bounds (their vectors go to every task).
-PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 3.0, 16, 4096
+#: Pivots: so many times the square root of the number of vectors, and as many as fit into so many bytes: all tasks hold them.
+PIVOT_FACTOR, LEAST_PIVOTS, PIVOT_BYTES = 3.0, 16, 16 << 20
 #: Nearest pivots of a vector, pivots that a compared pair shares, vectors of one block.
-NEAREST, SHARED, BLOCK = 8, 2, 1000
+NEAREST, SHARED, BLOCK = 8, 2, 4000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     # Divided by the largest component first, so that squares neither overflow nor vanish.
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """(id, v) of the vectors that may link; v holds their components as doubles."""
+def _vectors(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, v) for each row; v holds the components (`kind`: numpy's type) of a vector that may link, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, out = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i is not None and v and None not in v:
-                    x = np.array(v, np.float64) + 0.0
-                    if np.isfinite(x).all() and x.any():
-                        ids.append(i), out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "v"])
+        for b in lean(batches):
+            out = []
+            for v in b.column(1).to_pylist():
+                x = np.array(v, kind) + 0.0 if v and None not in v else np.zeros(1)
+                out.append(x.astype(kind).tobytes() if np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "v"])
 
-    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "id long, v binary")
+    return rows.select(F.col("vec_id").cast("long"), F.col("embedding")).mapInArrow(run, "id long, v binary")
 
 
-def _pivots(reps: DataFrame, n: int, cosine: float) -> dict[int, np.ndarray]:
+def _pivots(classes: DataFrame, n: int, kind: str, cosine: float) -> dict[int, np.ndarray]:
     """Pivots by number of bytes of a vector: chosen by a hash, each far from those before it."""
-    want = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOT_FACTOR * n**0.5)))
-    got = reps.orderBy(F.xxhash64("v", F.lit("pivot")), "rep").limit(2 * want).select("v").collect()
-    kept: dict[int, list[np.ndarray]] = {}
-    for r in got:
-        x = _unit(np.frombuffer(r.v)[None])[0]
-        own = kept.setdefault(len(r.v), [])
-        if len(own) < want and (not own or (np.array(own) @ x).max() < cosine):
-            own.append(x)
-    return {k: np.array(v) for k, v in kept.items()}
+    longest = classes.agg(F.max(F.length("v"))).first()[0] or 1
+    want = int(min(PIVOT_BYTES / (longest * 8 / np.dtype(kind).itemsize), max(LEAST_PIVOTS, PIVOT_FACTOR * n**0.5)))
+    want = max(want, 2)
+    # Bounded: twice the pivots that are wanted.
+    got = classes.orderBy(F.xxhash64("v", F.lit("pivot")), "c").limit(2 * want).select("v").collect()
+    kept: dict[int, np.ndarray] = {}
+    for size in sorted({len(r.v) for r in got}):
+        x = _unit(np.array([np.frombuffer(r.v, kind) for r in got if len(r.v) == size]))
+        own, m = np.empty((min(want, len(x)), x.shape[1])), 0
+        for v in x:
+            if m < len(own) and (not m or (own[:m] @ v).max() < cosine):
+                own[m] = v
+                m += 1
+        kept[size] = own[:m].copy()
+    return kept
+
+
+def _described(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
+    """classes (c, copies, v) with len and near: the numbers of the nearest pivots, nearest first.
+
+    near is [-1] for a length of which the sample has fewer than two pivots: one list holds all its vectors.
+    """
+    pivots = classes.sparkSession.sparkContext.broadcast(_pivots(classes, classes.count(), kind, cosine))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in lean(batches):
+            v = b.column("v").to_pylist()
+            near: list[list[int]] = [[-1]] * len(v)
+            for size in {len(x) for x in v}:
+                p = pivots.value.get(size, ())
+                if len(p) < SHARED:
+                    continue
+                at = [i for i, x in enumerate(v) if len(x) == size]
+                k = min(NEAREST, len(p))
+                for lo in range(0, len(at), 256):
+                    own = at[lo : lo + 256]
+                    s = _unit(np.frombuffer(b"".join([v[i] for i in own]), kind).reshape(len(own), -1)) @ p.T
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    order = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+                    for i, x in zip(own, order.tolist(), strict=True):
+                        near[i] = x
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in v], pa.int32()), pa.array(near, pa.list_(pa.int32()))], [*b.schema.names, "len", "near"])
+
+    return classes.select("c", "copies", "v").mapInArrow(run, "c long, copies long, v binary, len int, near array<int>")
+
+
+def _placed(indexed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, len, i, j, own, x, y): the tasks that a vector is compared in. i is the pivot of a list, j a second one or -1 for all."""
+    lists = indexed.select("c", "len", "near", F.explode("near").alias("i"))
+    sizes = scratch.save(lists.groupBy("len", "i").agg(F.count("*").alias("m")).where("m > 1"))
+    lists = lists.join(sizes, ["len", "i"])
+    whole = (F.col("m") <= BLOCK) | (F.col("i") < 0)
+    whole_lists = lists.where(whole).select("c", "len", "i", F.lit(-1).alias("j"))
+    parts = lists.where(~whole).select("c", "len", "i", F.explode(F.filter("near", lambda p: p > F.col("i"))).alias("j"))
+    rows = scratch.save(whole_lists.unionAll(parts))
+    blocks = scratch.save(rows.groupBy("len", "i", "j").agg(F.count("*").alias("m")).where("m > 1").select("len", "i", "j", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")))
+    own = rows.join(blocks, ["len", "i", "j"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("n")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return own.select("c", "len", "i", "j", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
+def _segments(near: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(second pivot, rows that share it and i). For j = -1 all second pivots above i; for i = -1 all rows."""
+    if i < 0 or j >= 0:
+        yield j, np.arange(len(near))
+        return
+    row, col = np.nonzero(near > i)
+    second = near[row, col]
+    order = np.argsort(second, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(second[order])) + 1):
+        if len(part) > 1:
+            yield int(second[part[0]]), row[part]
+
+
+def _compared(placed: DataFrame, kind: str, cosine: float) -> DataFrame:
+    """(c, links, low): how many vectors, copies counted, a vector links with in a task, and the smallest that it reaches."""
+    none = np.iinfo(np.int64).max
+
+    def run(key, t):
+        i, j, x, y = (k.as_py() for k in key[1:])
+        t = t.sort_by("c")
+        ids, copies, own = (t.column(c).to_numpy() for c in ("c", "copies", "own"))
+        v = _unit(np.frombuffer(b"".join(t.column("v").to_pylist()), kind).reshape(len(ids), -1))
+        near = np.sort(np.array(t.column("near").to_pylist(), np.int64), axis=1)
+        low, links = ids.copy(), np.zeros(len(ids), np.int64)
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for second, rows in _segments(near, i, j):
+            for lo in range(0, len(rows), 256):
+                a, b = np.nonzero(v[rows[lo : lo + 256]] @ v[rows].T >= cosine)
+                ok = a + lo < b
+                a, b = rows[a[ok] + lo], rows[b[ok]]
+                ok = (own[a] != own[b]) | (x == y)
+                a, b = a[ok], b[ok]
+                if i >= 0:  # a pair counts once: where the two smallest pivots that it shares meet
+                    shared = np.sort(np.where((near[a][:, :, None] == near[b][:, None, :]).any(2), near[a], none), axis=1)
+                    ok = (shared[:, 0] == i) & (shared[:, 1] == second)
+                    a, b = a[ok], b[ok]
+                one.append(a), two.append(b)
+        a, b = np.concatenate(one), np.concatenate(two)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        while len(a):
+            before = low.copy()
+            np.minimum.at(low, a, low[b])
+            np.minimum.at(low, b, low[a])
+            if (before == low).all():
+                break
+        some = links > 0
+        return pa.table({"c": ids[some], "links": links[some], "low": low[some]})
+
+    return placed.groupBy("len", "i", "j", "x", "y").applyInArrow(lean_groups(run), "c long, links long, low long")
 
 
 def near_duplicates(rows: DataFrame, *, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of `rows` (vec_id, embedding).
 
     Linked are vectors of one length whose cosine is at least `cosine` and that the index finds. A null, empty or zero
-    vector, one with a null or non-finite component, and one with a null id link with nothing. Equal vectors are one
-    class and link with each other. component_id is the smallest id that links reach. An empty table gives none.
+    vector and one with a null or non-finite component link with nothing. Equal vectors are one class and link with each
+    other. Rows are vectors of their own: rows that repeat an id with other vectors have links of their own, and a null id
+    is linked like any other and is the largest. component_id is the smallest id that links reach. Columns other than the
+    two are not looked at. An empty table gives none.
     """
     spark = rows.sparkSession
     tune(spark)
     scratch = Scratch(spark, "pivots")
-    valid = scratch.save(_vectors(rows))
-    reps = scratch.save(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    pivots = spark.sparkContext.broadcast(_pivots(reps, reps.count(), cosine))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = []
-            for v in b.column(0):
-                p = pivots.value.get(len(v.as_buffer()))
-                if p is None:  # a length that the sample lacks: one list holds all its vectors
-                    near.append([-1])
-                    continue
-                s = p @ _unit(np.frombuffer(v.as_buffer())[None])[0]
-                k = min(NEAREST, len(s))
-                top = np.argpartition(-s, k - 1)[:k]
-                near.append(top[np.argsort(-s[top], kind="stable")].tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int32()))], [*b.schema.names, "near"])
-
-    indexed = scratch.save(reps.select("v", "rep", "copies").mapInArrow(describe, "v binary, rep long, copies long, near array<int>"))
-    lists = indexed.select("rep", "copies", "v", "near", F.length("v").alias("len"), F.explode("near").alias("pivot"))
-    sizes = lists.groupBy("len", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
-    placed = lists.join(sizes, ["len", "pivot"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("rep", "copies", "v", "near", "len", "pivot", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-
-    def compare(key, t):
-        pivot, x, y = (k.as_py() for k in key[1:])
-        t = t.sort_by("rep")
-        ids, copies, own = (t.column(c).to_numpy() for c in ("rep", "copies", "own"))
-        v = _unit(np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(len(ids), -1))
-        near = t.column("near").to_pylist()
-        k = max(map(len, near))
-        near = np.array([n + [-9] * (k - len(n)) for n in near])
-        low, links = ids.copy(), np.zeros(len(ids), np.int64)
-        one, two = [], []
-        for a in range(0, len(ids), 256):
-            i, j = np.nonzero(v[a : a + 256] @ v.T >= cosine)
-            i = i + a
-            ok = (i < j) & ((own[i] != own[j]) | (x == y))
-            i, j = i[ok], j[ok]
-            both = (near[i][:, :, None] == near[j][:, None, :]).any(2)
-            common = np.where(both & (near[i] >= -1), near[i], np.iinfo(np.int64).max)
-            ok = (common.min(1) == pivot) & ((both.sum(1) >= SHARED) | (pivot == -1) | (k < SHARED)) if len(i) else np.zeros(0, bool)
-            one.append(i[ok]), two.append(j[ok])
-        i, j = np.concatenate(one), np.concatenate(two)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        while len(i):
-            before = low.copy()
-            np.minimum.at(low, i, low[j])
-            np.minimum.at(low, j, low[i])
-            if (before == low).all():
-                break
-        some = links > 0
-        return pa.table({"id": ids[some], "links": links[some], "low": low[some]})
-
-    met = scratch.save(placed.groupBy("len", "pivot", "x", "y").applyInArrow(compare, "id long, links long, low long"))
-    found = met.groupBy("id").agg(F.sum("links").alias("links"))
-    ids = scratch.save(valid.join(reps, "v").select("id", "rep", "copies"))
-    comp = components(met.select(F.col("id").alias("a"), F.col("low").alias("b")), scratch)
-    classes = ids.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(comp.withColumnRenamed("v", "rep"), "rep", "left")
-    classes = classes.select(F.col("id").alias("vec_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")).distinct()
-    out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(classes, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
+    rows = rows.select("vec_id", F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>"))
+    base = scratch.save(_vectors(rows, kind).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit("second"), "v")))
+    # One row for each vector (by 128 bits), numbered by its smallest id.
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep")
+    classes = base.where("v is not null").groupBy("k1", "k2").agg(rep, F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = scratch.save(running(classes, [F.col("rep"), F.col("k1"), F.col("k2")], [], scratch)[0].withColumnRenamed("nth", "c"))
+    indexed = scratch.save(_described(classes, kind, cosine))
+    placed = _placed(indexed, scratch).join(indexed.select("c", "copies", "v", "near"), "c")
+    met = scratch.save(_compared(placed, kind, cosine))
+    found = met.groupBy("c").agg(F.sum("links").alias("links"))
+    comp = components(met.select(F.col("c").alias("a"), F.col("low").alias("b")), scratch)
+    names = classes.select("k1", "k2", "c", "copies").join(found, "c", "left").join(comp.withColumnRenamed("v", "c"), "c", "left")
+    names = names.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "c").alias("c"))
+    names = scratch.save(names.join(classes.select("c", F.col("rep.id").alias("least")), "c").drop("c"))
+    out = base.select("id", "k1", "k2", F.col("v").isNotNull().alias("valid")).join(names, ["k1", "k2"], "left")
+    out = out.select(F.col("id").alias("vec_id"), F.when(F.col("valid"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("valid"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
