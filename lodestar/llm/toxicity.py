@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import lean, tune
 from .labelled import MOST_LABELLED, sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -31,8 +32,8 @@ MASKED = re.compile(r"[^\W\d_]+(?:[\d_*@$]+[^\W\d_]+)+")
 TOKEN = re.compile(r"[^\W\d_]+(?:[\d_*@$]+[^\W\d_]+)*")
 #: A term is a whole word, or a beginning of so many letters that longer words share.
 BEGINNINGS = range(3, 9)
-MOST_TERMS = 400
 PRECISION = 0.9
+#: A toxic text that holds so many chosen terms calls for no more; a term that no other text calls for is left out.
 COVER = 6
 KEPT_WORDS = 400_000
 #: Letters of the shortest word that may stand for a longer term.
@@ -200,14 +201,15 @@ def occurrences(text: str, found: dict) -> Iterator[tuple[int, str]]:
             yield from ((x.start(), x.group()) for x in WORD.finditer(text, m.start(), m.end()))
 
 
-def quotations(text: str, longest: int = 400) -> list[tuple[int, int]]:
-    """Spans between quotation marks on one line, at most `longest` characters long."""
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between quotation marks on one line."""
     out, at = [], 0
     for m in re.finditer("[" + "".join(QUOTES) + "]", text):
         if m.start() < at:
             continue
-        end = text.find(QUOTES[m.group()], m.end(), m.end() + longest)
-        if end > 0 and "\n" not in text[m.end() : end]:
+        line = text.find("\n", m.end())
+        end = text.find(QUOTES[m.group()], m.end(), line if line >= 0 else len(text))
+        if end >= 0:
             out.append((m.start(), end))
             at = end + 1
     return out
@@ -223,7 +225,7 @@ def hash3(x: tuple[str, ...]) -> int:
 
 
 def terms_of(text: str) -> set[str]:
-    words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40}
+    words = {w for w in WORD.findall(text.lower()) if len(w) >= 3}
     return words | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k}
 
 
@@ -231,7 +233,7 @@ def sketched(rows: DataFrame) -> DataFrame:
     """rows (text, y) with the sketch of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             own = [sketch(WORD.findall(t.lower())) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int64())], ["text", "y", "sketch"])
 
@@ -247,7 +249,7 @@ def term_counts(rows: DataFrame, y: int, among: frozenset[str] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
         last, held = None, set()
-        for b in batches:
+        for b in lean(batches):
             for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if own != last:
                     count.update(held)
@@ -307,7 +309,7 @@ def choose_terms(rows: DataFrame) -> dict[str, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton(dict.fromkeys(names, 1.0), fuzzy=10**6)
-        for b in batches:
+        for b in lean(batches):
             out = []
             for text in b.column(0).to_pylist():
                 words = set(WORD.findall(text.lower()))
@@ -323,12 +325,19 @@ def choose_terms(rows: DataFrame) -> dict[str, float]:
         for t in s:
             rows_of.setdefault(t, []).append(i)
     chosen: dict[str, float] = {}
-    while len(chosen) < MOST_TERMS and rows_of:
-        t = max(rows_of, key=lambda t: (int((left[rows_of[t]] > 0).sum()), -t))
-        own = np.array(rows_of.pop(t))
-        if (left[own] > 0).sum() < least:
-            break
-        left[own] -= 1
+    # Gains only fall: the best of the heap is the best of all where its own has not fallen.
+    gain = lambda t: int((left[rows_of[t]] > 0).sum())
+    heap = [(-len(rows_of[t]), t) for t in rows_of]
+    heapq.heapify(heap)
+    while heap:
+        was, t = heapq.heappop(heap)
+        now = gain(t)
+        if now < least:
+            continue
+        if now < -was:
+            heapq.heappush(heap, (-now, t))
+            continue
+        left[rows_of[t]] -= 1
         chosen[names[t]] = kept[names[t]]
     # The whole words beside a beginning, for words that lie one edit from them.
     return chosen | {t: x for t, x in score.items() if not t.endswith("*") and any(t[:k] + "*" in chosen for k in BEGINNINGS)}
@@ -343,17 +352,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABE
         model = Model(terms, [], [0.0])
 
         def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in lean(batches):
                 got = Counter(w for text in b.column(0).to_pylist() for w, m in model.hits(text).items() if m[0] == "misspelled")
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["w", "n"])
 
-        # Words of clean documents that lie one edit from a term are words of their own.
+        # Words of clean documents that lie one edit from a term are words of their own. Bounded by the sample.
         clean = rows.where("y = 0").select("text").mapInArrow(misspelled, "w string, n long")
-        spared = [r.w for r in clean.groupBy("w").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "w").limit(5000).collect()]
+        spared = [r.w for r in clean.groupBy("w").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "w").collect()]
     model = Model(terms, spared, [0.0])
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             yield pa.RecordBatch.from_arrays([pa.array([model.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     # Like documents are summed: what reaches the driver is bounded by the sample.
@@ -388,12 +397,13 @@ def logistic(rows: list, rounds: int, ridge: float = 1.0) -> list[float]:
 def score(docs: DataFrame, model: Model, *, held_out: Column, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text: one narrow pass.
 
-    A null text counts as empty and scores as a text without any term; repeated rows give equal rows.
+    A null text counts as empty and scores as a text without any term; very long texts are read whole, a batch of bounded
+    size at a time; repeated rows give equal rows, and columns other than doc_id and text are not looked at.
     """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             s = [model.score(t or "") for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
