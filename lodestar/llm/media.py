@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import lean, tune
 
 UNIT, FILL = 576, b"\xff"
 RATE, UP, DOWN, TAPS = 8000, 2, 3, 24
@@ -114,22 +114,30 @@ def analyse(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
     return mel, segments(energy)
 
 
+def spans(mel: np.ndarray) -> tuple[pa.FixedShapeTensorArray, list[float], list[float]]:
+    """SPAN x MELS tensors of a text's frames, the last one filled with the floor, and their time spans in seconds."""
+    step, n = HOP * DOWN / (RATE * UP), -(-len(mel) // SPAN)
+    full = np.full((n * SPAN, MELS), FLOOR, np.float32)
+    full[: len(mel)] = mel
+    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, SPAN, MELS))
+    return tensor, [k * SPAN * step for k in range(n)], [min((k + 1) * SPAN, len(mel)) * step for k in range(n)]
+
+
 def tensors(docs: DataFrame) -> DataFrame:
-    """(doc_id, span, t0, t1, mel): fixed SPAN x MELS tensors, row by row, with their time spans in seconds."""
+    """(doc_id, span, t0, t1, mel): fixed SPAN x MELS tensors, row by row, with their time spans in seconds.
+
+    A null or empty text is one unit of fill; a very long one gives a batch of its own; rows that repeat an id give tensors
+    each; columns other than doc_id and text are not looked at; an empty table gives none.
+    """
     tune(docs.sparkSession)
-    step = HOP * DOWN / (RATE * UP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mel, _ = analyse(to_wav(payload(t)[1]))
-                n = -(-len(mel) // SPAN)
-                full = np.full((n * SPAN, MELS), FLOOR, np.float32)
-                full[: len(mel)] = mel
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([k * SPAN * step for k in range(n)]), pa.array([min((k + 1) * SPAN, len(mel)) * step for k in range(n)]), pa.array([*full.reshape(n, -1)], pa.list_(pa.float32()))],
-                    ["doc_id", "span", "t0", "t1", "mel"],
-                )
+                tensor, t0, t1 = spans(analyse(to_wav(payload(t)[1]))[0])
+                n = len(tensor)
+                mel = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SPAN * MELS), tensor.storage.flatten())
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(t0), pa.array(t1), mel], ["doc_id", "span", "t0", "t1", "mel"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, span int, t0 double, t1 double, mel array<float>")
 
@@ -144,8 +152,9 @@ def as_tensor_column(mel: pa.Array) -> pa.ExtensionArray:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: one narrow pass.
 
-    A null text counts as empty: one unit of fill. Equal texts give equal values; rows stay one for one. `feature` names
-    the tensor's shape, the number and length of segments, and the digest of the log-mel values to a hundredth.
+    A null text counts as empty: one unit of fill. Equal texts give equal values; rows, null ids too, stay one for one; an
+    empty table gives an empty one. `feature` names the shape of the log-mel values, the number and length of segments, the
+    number of tensors and the digest of their values to a hundredth.
     """
     tune(docs.sparkSession)
 
@@ -154,15 +163,16 @@ def digests(docs: DataFrame) -> DataFrame:
         stored = to_wav(raw)
         back = from_wav(stored)
         mel, active = analyse(stored)
-        digest = hashlib.sha256(np.rint(mel * 100).astype("<i2").tobytes()).hexdigest()
-        feature = f"mel={len(mel)}x{MELS};segments={len(active)};active={sum(b - a for a, b in active):.3f};sha256={digest[:32]}"
+        tensor, _, _ = spans(mel)
+        digest = hashlib.sha256(np.rint(tensor.to_numpy_ndarray() * 100).astype("<i2").tobytes()).hexdigest()
+        feature = f"mel={len(mel)}x{MELS};segments={len(active)};active={sum(b - a for a, b in active):.3f};tensors={len(tensor)};sha256={digest[:32]}"
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             cols = [*zip(*map(row, b.column(1).to_pylist()), strict=True)] or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
