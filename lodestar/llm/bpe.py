@@ -5,7 +5,7 @@ trie with suffix links) names every token that ends at a prefix; the first of th
 what stands before it is stored, and following the stored tokens back from the end gives the exact ids. Two tokens agree
 if byte-pair merging of their joined symbols would leave them as they are, which a walk down both merge trees tells.
 
-Words recur, so a worker keeps what it has encoded by pre-token, in two generations of bounded size.
+Words recur, so a task keeps what it has encoded by pre-token, in two generations of bounded size, and forgets it at its end.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import lean, release, tune
 
-KEPT_PIECES = 250_000
-KEPT_PAIRS = 1_000_000
+KEPT_PIECES = 100_000
+KEPT_PAIRS = 400_000
 #: Longer words go through the same tables without being kept.
 KEPT_LENGTH = 64
 FINAL = 0xE000
@@ -142,6 +142,11 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.split.findall(text.lower())
 
+    def forget(self) -> None:
+        for kept in (self.kept, self.older, self.agree):
+            kept.clear()
+        release()
+
     def ids_of(self, piece: str) -> list[int]:
         return [self.special[piece]] if piece in self.special else self.word(piece)
 
@@ -200,13 +205,18 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "text")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: one narrow pass, no shuffle."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: one narrow pass, no shuffle.
+
+    A null text counts as empty; a very long one is encoded whole, word by word; rows, repeated ones and null ids too, stay
+    one for one; columns other than doc_id and text are not looked at; an empty table gives an empty one.
+    """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(path)
-        for b in batches:
+        for b in lean(batches):
             n, i, d = zip(*map(t.digest, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
