@@ -217,6 +217,8 @@ RULES: dict[str, Query] = {
     "answer_overview": lambda s, d: rules.answer_overview(_view(s, d, derived.OVERVIEWS, "pages")),
     "submission_summary": lambda s, d: rules.submission_summary(network.submission_batch(table(s, d, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("ord"), "url")).select("url", F.when(F.col("ord") % 7 == 3, "FAIL").otherwise("OK").alias("status"))),
     "content_links": lambda s, d: network.broken_links(_content_links(s, d), _view(s, d, derived.LINK_STATUS, "documents"), base_url="https://site.example"),
+    "external_links": lambda s, d: network.broken_links(_content_links(s, d), _view(s, d, derived.LINK_STATUS, "documents"), base_url="https://site.example", only="external"),
+    "jsonld_sitemap_issues": _docs(lambda c: jsonld.issues(jsonld.items(c), sitemap=True).where("message LIKE 'Duplicate%'")),
     "broken_link_sources": _broken_link_sources,
     "dir_urls": _docs(lambda c: network.dir_urls(c, "https://site.example")),
     "page_urls": _drafts(lambda p: p.select("slug", T.page_url(F.when(F.col("channel") < "src5", F.concat(F.lit("/blog/"), "slug")).otherwise(F.concat(F.lit("https://other.example/"), "slug")), "sc-domain:site.example").alias("url"))),

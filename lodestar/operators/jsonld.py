@@ -50,8 +50,11 @@ def _issue(when: str | Column, severity: str, message: str | Column) -> Column:
     return F.when(when, F.struct(F.lit(severity).alias("severity"), message.alias("message")))
 
 
-def issues(found: DataFrame) -> DataFrame:
-    """(path, type, severity, message), one row for each issue of each schema, and for types that a file repeats."""
+def issues(found: DataFrame, *, sitemap: bool = False) -> DataFrame:
+    """(path, type, severity, message), one row for each issue of each schema, and for types that a file repeats.
+
+    `sitemap` words repeated types as the check of a sitemap's pages does.
+    """
     kind = F.col("type")
     no = lambda f: f"NOT {_truthy(_get('v', f))}"
     rules = [_issue(F.expr(no("@context")), "warn", F.concat(F.lit("Missing @context on "), kind, F.lit(" schema")))]
@@ -80,7 +83,8 @@ def issues(found: DataFrame) -> DataFrame:
     every = F.when(kind == "ParseError", parse).otherwise(F.array_compact(F.concat(F.array(*rules), faq)))
     own = x.select("path", "type", F.explode(every).alias("i")).select("path", "type", "i.severity", "i.message")
     often = found.where("type <> 'ParseError'").groupBy("path", "type").agg(F.count("*").alias("n")).where("n > 1")
-    extra = F.when(kind == "FAQPage", " — duplicate FAQPage triggers Google penalty suppressing ALL rich results").otherwise("")
+    why = " — triggers rich result suppression" if sitemap else " — duplicate FAQPage triggers Google penalty suppressing ALL rich results"
+    extra = F.when(kind == "FAQPage", why).otherwise("")
     twice = often.select("path", "type", F.when(kind == "FAQPage", "error").otherwise("warn").alias("severity"), F.concat(F.lit("Duplicate "), kind, F.lit(" schema (found "), F.col("n").cast("string"), F.lit(")"), extra).alias("message"))
     return own.unionByName(twice)
 

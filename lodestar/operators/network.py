@@ -44,12 +44,14 @@ def status_histogram(report: DataFrame) -> DataFrame:
     return report.groupBy("class").agg(F.count("*").alias("urls"))
 
 
-def broken_links(links: DataFrame, status: DataFrame, *, base_url: str) -> DataFrame:
-    """Links (url, files) made absolute and joined to their status."""
+def broken_links(links: DataFrame, status: DataFrame, *, base_url: str, only: str | None = None) -> DataFrame:
+    """Links (url, files) made absolute and joined to their status; `only` the internal or external ones."""
     if not base_url:
         raise ValueError("base_url is needed to tell internal links")
     full = F.when(F.startswith("url", F.lit("http")), F.col("url")).otherwise(F.concat(F.lit(base_url), F.col("url")))
     x = links.withColumn("full_url", full).withColumn("internal", F.startswith(F.col("full_url"), F.lit(base_url)))
+    if only is not None:
+        x = x.where(F.col("internal") if only == "internal" else ~F.col("internal"))
     s = status.select(F.col("url").alias("full_url"), "status", "redirected", "final_url", "error")
     kind = F.when(F.coalesce("status", F.lit(0)).between(200, 399), F.when(F.col("redirected"), "redirected").otherwise("ok")).otherwise("broken")
     return x.join(s, "full_url", "left").select("url", "full_url", "internal", "status", "final_url", "error", "files", kind.alias("class"))

@@ -131,6 +131,8 @@ def rule_oracles() -> dict[str, str]:
         "answer_overview": f"SELECT query, contains(coalesce(html, ''), 'ai-overview') OR contains(coalesce(html, ''), 'AI Overview') AS has_overview FROM ({OVERVIEWS}) o",
         "submission_summary": "WITH b AS (SELECT page_id FROM pages WHERE url IS NOT NULL ORDER BY page_id LIMIT 200) SELECT count(*) FILTER (page_id % 7 <> 3) AS submitted, count(*) FILTER (page_id % 7 = 3) AS failed, 200 - count(*) FILTER (page_id % 7 <> 3) AS remaining FROM b",
         "content_links": f"SELECT * FROM {content_links} l",
+        "external_links": f"SELECT * FROM {content_links} l WHERE NOT internal",
+        "jsonld_sitemap_issues": f"{ISSUES} SELECT path, type, severity, replace(message, 'duplicate FAQPage triggers Google penalty suppressing ALL rich results', 'triggers rich result suppression') AS message FROM x WHERE message LIKE 'Duplicate%'",
         "broken_link_sources": f"SELECT p.url, l.status, p.path FROM {places} p JOIN {content_links} l ON l.url = p.url WHERE l.class = 'broken'",
         "dir_urls": f"SELECT 'https://site.example/' || regexp_replace(regexp_replace(path, '^/content/?', ''), '\\.(mdx|md|tsx|jsx)$', '') AS url FROM ({CONTENT}) c WHERE ext IN ('.md', '.tsx')",
         "page_urls": f"{D} SELECT slug, CASE WHEN channel < 'src5' THEN 'https://site.example/blog/' || slug ELSE 'https://other.example/' || slug END AS url FROM d",

@@ -199,6 +199,28 @@ def test_rules(spark):
     assert [(r.entity, r.metric, r.stated, r.posts) for r in rules.contradictions(facts).collect()] == [("acme", "value", 2, 2)]
 
 
+def test_every_template_pattern_is_found(spark):
+    """Texts made from the patterns themselves, against Python's engine; some stand in capitals or across a text."""
+    said = [
+        "the short answer is", "the longer answer is more interesting", "let's dive", "in this post", "if you've been following", "it's worth noting", "here's the kicker", "the bigger story", "what does this mean for",
+        "to put this in context", "what to watch:", "the bottom line:", "only time will tell", "it remains to be seen", "the takeaway here", "looking ahead, we", "it's crucial to note", "while it's too early to say", "there's no denying",
+        "whether any of this will ever pay off remains unclear", "in an era of", "the rapidly evolving landscape", "at the crossroads of", "marks a pivotal moment",
+    ]
+    texts = [("all", ". ".join(said).upper()), ("twice", " ".join([said[0], said[0]])), ("none", "plain text"), *[(f"t{i}", x) for i, x in enumerate(said)]]
+    got = {r.pattern: (r.matches, r.files) for r in corpus.pattern_hits(spark.createDataFrame(texts, "path string, text string"), threshold=1).collect()}
+    want = {}
+    for p in T.TEMPLATES:
+        n = [len(re.findall(p, t, re.I)) for _, t in texts]
+        want[p] = (sum(n), sum(map(bool, n)))
+    assert got == want and len(got) == 24
+
+
+def test_internal_links_with_a_base(spark):
+    raw = '<a href="https://s.example/blog/one"> <a href="/two/"> <a href="//cdn/x"> <a href="https://other/three"> <a href="#a"> "some-slug"'
+    got = spark.createDataFrame([(raw,)], "raw string").select(corpus.internal_links(F.col("raw"), "https://s.example")).first()[0]
+    assert sorted(got) == ["one", "some-slug", "two"]
+
+
 def test_list_file(spark):
     df = spark.createDataFrame([(" a ",), ("# c",), ("",), ("b",)], "value string")
     assert [r.item for r in network.list_items(df).collect()] == ["a", "b"]
