@@ -30,19 +30,42 @@ def blocklist_hits(content: DataFrame, blocked: dict[str, list[str]] = BLOCKED)
     return rows.groupBy("h.category", "h.phrase").agg(F.count("*").alias("files"))
 
 
-def closer_gate(posts: DataFrame, *, lookback: int = 20, share: float = 0.4) -> DataFrame:
-    """Posts (slug, ord, closer) whose closer more than `share` of the posts just before have. Posts of one channel are few."""
-    before = Window.partitionBy("channel").orderBy("ord").rowsBetween(-lookback, -1)
-    x = posts.withColumn("_c", F.collect_list("closer").over(before))
-    same = F.size(F.filter("_c", lambda c: c == F.col("closer")))
-    part = F.when(F.size("_c") == 0, F.lit(0.0)).otherwise(same.cast("double") / F.size("_c"))
-    return x.select("channel", "slug", same.cast("long").alias("same"), F.size("_c").cast("long").alias("looked_at"), (part > share).alias("reject"))
-
-
-def format_gate(posts: DataFrame) -> DataFrame:
+#: Posts (by `ord`) and seconds of one bucket of a channel.
+ORD_BUCKET, TIME_BUCKET = 10_000, 30 * 86_400
+
+
+def before(posts: DataFrame, order: list[str], bucket: Column, value: str, n: int) -> DataFrame:
+    """posts with `_before`: the values of up to n posts before each in its channel, in order. `bucket` rises with `order`.
+
+    A channel is cut into buckets, each with a task of its own; the last n posts of each bucket are all that is looked at
+    across them, so that no task holds a whole channel.
+    """
+    x = posts.withColumn("_b", bucket)
+    back = F.row_number().over(Window.partitionBy("channel", "_b").orderBy(*[F.desc(c) for c in order]))
+    tails = x.withColumn("_r", back).where(F.col("_r") <= n)
+    upto = F.collect_list(value).over(Window.partitionBy("channel").orderBy(*order).rowsBetween(1 - n, 0))
+    ends = tails.withColumn("_upto", upto).where("_r = 1").select("channel", "_b", "_upto")
+    carried = ends.select(F.col("channel").alias("_c"), F.col("_b").alias("_k"), F.lag("_upto").over(Window.partitionBy("channel").orderBy("_b")).alias("_carried")).where("_carried is not null")
+    own = F.collect_list(value).over(Window.partitionBy("channel", "_b").orderBy(*order).rowsBetween(-n, -1))
+    x = x.withColumn("_own", own).join(carried, F.col("channel").eqNullSafe(F.col("_c")) & F.col("_b").eqNullSafe(F.col("_k")), "left")
+    both = F.concat(F.coalesce("_carried", F.slice("_own", 1, 0)), F.col("_own"))
+    last = F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n))
+    return x.withColumn("_before", last).drop("_b", "_c", "_k", "_own", "_carried")
+
+
+def closer_gate(posts: DataFrame, *, lookback: int = 20, share: float = 0.4, bucket: int = ORD_BUCKET) -> DataFrame:
+    """Posts (channel, slug, ord, closer) whose closer more than `share` of the posts just before have."""
+    x = before(posts, ["ord"], F.floor(F.col("ord") / bucket), "closer", lookback)
+    same = F.size(F.filter("_before", lambda c: c == F.col("closer")))
+    part = F.when(F.size("_before") == 0, F.lit(0.0)).otherwise(same.cast("double") / F.size("_before"))
+    return x.select("channel", "slug", same.cast("long").alias("same"), F.size("_before").cast("long").alias("looked_at"), (part > share).alias("reject"))
+
+
+def format_gate(posts: DataFrame, *, bucket: int = ORD_BUCKET) -> DataFrame:
     """Posts (channel, slug, ord, format) of the same format as the one before."""
-    w = Window.partitionBy("channel").orderBy("ord")
-    return posts.select("channel", "slug", "format", F.coalesce(F.lag("format").over(w) == F.col("format"), F.lit(False)).alias("repeats"))
+    x = before(posts.withColumn("_f", F.struct("format")), ["ord"], F.floor(F.col("ord") / bucket), "_f", 1)
+    last = F.try_element_at("_before", F.lit(1))["format"]
+    return x.select("channel", "slug", "format", F.coalesce(last == F.col("format"), F.lit(False)).alias("repeats"))
 
 
 def health_checks(content: DataFrame, *, thin: int = 300) -> DataFrame:
@@ -88,11 +111,11 @@ def position_drop(fact: DataFrame, as_of: date, *, days: int = 7) -> DataFrame:
     return now.join(before, "page").where("before <= 10 AND now > 10").select("page", r("before").alias("before"), r("now").alias("now"))
 
 
-def publish_gaps(posts: DataFrame, *, hours: float = 20) -> DataFrame:
+def publish_gaps(posts: DataFrame, *, hours: float = 20, bucket: int = TIME_BUCKET) -> DataFrame:
     """Publications (channel, slug, published_at) more than `hours` after the one before."""
-    w = Window.partitionBy("channel").orderBy("published_at", "slug")
-    x = posts.withColumn("prev", F.lag("published_at").over(w))
-    gap = (F.unix_micros(F.col("published_at").cast("timestamp")) - F.unix_micros(F.col("prev").cast("timestamp"))) / 3_600_000_000.0
+    at = F.unix_micros(F.col("published_at").cast("timestamp"))
+    x = before(posts.withColumn("_at", at), ["published_at", "slug"], F.floor(at / (bucket * 1_000_000)), "_at", 1)
+    gap = (F.col("_at") - F.try_element_at("_before", F.lit(1))) / 3_600_000_000.0
     return x.withColumn("gap_hours", F.floor(gap * 10.0 + 0.5) / 10.0).where(F.col("gap_hours") > hours).select("channel", "slug", "gap_hours")
 
 

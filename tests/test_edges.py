@@ -199,6 +199,21 @@ def test_rules(spark):
     assert [(r.entity, r.metric, r.stated, r.posts) for r in rules.contradictions(facts).collect()] == [("acme", "value", 2, 2)]
 
 
+def test_posts_before_across_buckets(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i * rng.choice([1, 3]) + 1000 * (i // 40), rng.choice("xyz"), f"s{i:03}") for i in range(120)]
+    rows = list({(c, o): (c, o, v, s) for c, o, v, s in rows}.values())
+    df = spark.createDataFrame(rows, "channel string, ord long, closer string, slug string")
+    for n, bucket in ((3, 7), (1, 10**6), (20, 5)):
+        want = {}
+        for c, o, _, s in rows:
+            want[s] = [v for _, v in sorted((o2, v) for c2, o2, v, _ in rows if c2 == c and o2 < o)][-n:]
+        got = gates.before(df, ["ord"], F.floor(F.col("ord") / bucket), "closer", n).collect()
+        assert {r.slug: r._before for r in got} == want and len(got) == len(rows)
+
+
 def test_every_template_pattern_is_found(spark):
     """Texts made from the patterns themselves, against Python's engine; some stand in capitals or across a text."""
     said = [
