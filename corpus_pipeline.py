@@ -70,7 +70,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents; each one's table goes when the next one's is written."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop_but(docs)
     return docs
