@@ -29,6 +29,8 @@ from .labelled import MOST_LABELLED, sample
 WORD = re.compile(r"[^\W\d_]+")
 #: A word with digits or signs inside; it is matched as one where none of its parts is a term.
 MASKED = re.compile(r"[^\W\d_]+(?:[\d_*@$]+[^\W\d_]+)+")
+#: What stands between two letters of a masked word: looked for first, as most texts have none.
+BETWEEN = re.compile(r"(?<=[^\W\d_])[\d_*@$]+(?=[^\W\d_])")
 TOKEN = re.compile(r"[^\W\d_]+(?:[\d_*@$]+[^\W\d_]+)*")
 #: A term is a whole word, or a beginning of so many letters that longer words share.
 BEGINNINGS = range(3, 9)
@@ -159,7 +161,7 @@ class Model:
                 self._clean.add(w)
             else:
                 found[w] = m
-        for w in set(MASKED.findall(low)) - self._clean:
+        for w in set(MASKED.findall(low)) - self._clean if BETWEEN.search(low) else ():
             if not any(x in found for x in WORD.findall(w)):
                 if (m := self._auto.match(w)) is None or m[0] != "misspelled":
                     self._clean.add(w)
