@@ -14,18 +14,19 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, release, tune
 
-KEPT_PIECES = 100_000
-KEPT_PAIRS = 400_000
+KEPT_PIECES = 250_000
+KEPT_PAIRS = 1_000_000
 #: Longer words go through the same tables without being kept.
 KEPT_LENGTH = 64
 FINAL = 0xE000
@@ -46,9 +47,8 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """The tokenizer of a `tokenizers` file: lower case, byte-level words, merges with a word end."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -176,29 +176,45 @@ class WordBpe:
         return ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(tokens[1:].encode()).hexdigest()
 
 
-@cache
+_LOADED: dict[str, WordBpe] = {}
+
+
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    """The tokenizer of a file on this machine."""
+    return _loaded(Path(path).read_bytes())
+
+
+def _loaded(file: bytes) -> WordBpe:
+    key = hashlib.sha256(file).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = WordBpe(file)
+    return _LOADED[key]
+
+
+def _sent(docs: DataFrame, path: str) -> Broadcast:
+    """The file's bytes (a few MB), read on the driver: executors need not have it."""
+    tune(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column `ids` (array of int) added in place of any of that name. A null text counts as empty; rows, repeated ones too, stay one for one."""
-    tune(docs.sparkSession)
+    file = _sent(docs, path)
 
     @F.pandas_udf("array<int>")
     def run(x):
-        return x.map(load(path).encode)
+        return x.map(_loaded(file.value).encode)
 
     return docs.withColumn(ids, run(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
     """docs with the text of the column `ids`; null ids give an empty text."""
-    tune(docs.sparkSession)
+    file = _sent(docs, path)
 
     @F.pandas_udf("string")
     def run(x):
-        t = load(path)
+        t = _loaded(file.value)
         return x.map(lambda i: t.decode([] if i is None else list(i)))
 
     return docs.withColumn(text, run(F.col(ids)))
@@ -210,10 +226,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     A null text counts as empty; a very long one is encoded whole, word by word; rows, repeated ones and null ids too, stay
     one for one; columns other than doc_id and text are not looked at; an empty table gives an empty one.
     """
-    tune(docs.sparkSession)
+    file = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
+        t = _loaded(file.value)
         for b in lean(batches):
             n, i, d = zip(*map(t.digest, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
