@@ -43,6 +43,7 @@ def content_audit(features: DataFrame, pages: DataFrame) -> DataFrame:
     )
     s = lambda x: x.cast("string")
     x = x.withColumn("bucket", bucket)
+    # Messages (fixed values).
     reasons = F.array_compact(F.array(
         F.when(c("is_thin"), F.concat(F.lit("Thin content: "), s(c("word_count")), F.lit(" words"))), F.when(c("template_count") >= 2, F.concat(s(c("template_count")), F.lit(" template phrases detected"))),
         F.when(c("external_links") == 0, "No external links (citation gap)"), F.when(~c("has_schema"), "Missing structured data / schema"), F.when(c("image_count") == 0, "No images"),
@@ -88,6 +89,7 @@ def refresh_status(pages: DataFrame, files: DataFrame, *, stale_days: int = 30,
     c = F.col
     days = c("days_since_update")
     status = F.when(c("path").isNull(), "UNMATCHED").when(days >= stale_days, "STALE").otherwise("HEALTHY")
+    # Messages (fixed values).
     reasons = F.array_compact(F.array(
         F.when(days >= 60, "Content is significantly outdated — Google may be deprioritizing for freshness"),
         F.when((c("impressions") > 5000) & (c("ctr_pct") < 0.5), "High impressions but very low CTR — title may need refreshing alongside content"),

@@ -57,6 +57,7 @@ def issues(found: DataFrame, *, sitemap: bool = False) -> DataFrame:
     """
     kind = F.col("type")
     no = lambda f: f"NOT {_truthy(_get('v', f))}"
+    # Messages and bounds (fixed values).
     rules = [_issue(F.expr(no("@context")), "warn", F.concat(F.lit("Missing @context on "), kind, F.lit(" schema")))]
     for t, fields in REQUIRED.items():
         rules += [_issue((kind == t) & F.expr(no(f)), "error", f"{t} missing required field: {f}") for f in fields]

@@ -145,6 +145,7 @@ def rewrite_candidates(fact: DataFrame, as_of: date, *, days: int = 28, min_impr
     score = score + F.when(F.col("ctr") < 0.005, 20.0).when(F.col("ctr") < 0.01, 10.0).otherwise(0.0) - F.when(ratio > 0.5, 40.0).otherwise(0.0)
     total = sum((F.col(i) for i in INTENTS[1:]), F.col(INTENTS[0]))
     share = F.col("ai_grounding").cast("double") / F.nullif(total, F.lit(0))
+    # Messages and thresholds (fixed values).
     diagnosis = (
         F.when(total == 0, None)
         .when(share > 0.5, F.concat(F.lit("⚠ "), to_long(share * 100.0).cast("string"), F.lit("% AI-grounding queries — title rewrite unlikely to help. This is GEO traffic.")))
@@ -213,6 +214,7 @@ def striking_distance(fact: DataFrame, as_of: date, *, days: int = 28, min_posit
     then = F.col("impressions") * (_expected(F.col("target_position"), 5.0) / 100.0)
     g = g.withColumn("target_position", target)
     g = g.select("*", to_long(now).alias("current_est_clicks"), to_long(then).alias("projected_clicks"), to_long(then - now).alias("click_gain"))
+    # Messages (fixed values).
     actions = F.array_compact(F.array(F.when(F.col("position") > 10, "Add depth: expand the section that matches this query, add data/examples"), F.when(F.col("position") > 10, "Build internal links: point 3-5 related pages to this one"), F.when(F.col("position").between(5, 10), "Add an FAQ section answering related questions"), F.when(F.col("position").between(5, 10), "Update with fresh data — trigger lastmod freshness signal"), F.when(F.col("ctr_pct") < _expected(jsround(F.col("position")), 1.0), "Rewrite title to better match this query's intent")))
     return g.withColumn("actions", F.array_join(actions, " | "))
 
