@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch, so that a Python worker's memory is bounded whatever a document's length.
 ARROW_ROWS = 2000
 ARROW_BYTES = 4 << 20
+#: Narrow rows of one file of a small table.
+FILE_ROWS = 100_000
 #: Bytes that a worker reads between two times that it gives unused memory back to the system.
 RELEASE = 8 << 20
 
@@ -99,15 +101,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage and to survive lost executors."""
+    """Tables written to the shared folder, to cut lineage and to survive lost executors.
+
+    What a result still reads stays in the folder, as results are lazy; an operator drops the rest before it returns.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
+        self.paths: list[str] = []
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df as written and read again. Where it has at most `rows` narrow rows, in files of at least FILE_ROWS of them: small
+        tables in many files cost more in files than in rows, and a process or two for each file on a local disk."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        few = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        self.paths.append(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
@@ -115,6 +125,13 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that no later plan reads."""
         self._delete(df._scratch_path)
+        self.paths.remove(df._scratch_path)
+
+    def drop_but(self, *kept: DataFrame) -> None:
+        """Delete all saved tables but these."""
+        for path in {*self.paths} - {df._scratch_path for df in kept}:
+            self._delete(path)
+        self.paths = [df._scratch_path for df in kept]
 
     def drop_all(self) -> None:
         self._delete(self.base)
@@ -133,13 +150,13 @@ def same(*pairs: tuple[Column, Column]) -> Column:
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in pairs))
 
 
-def running(rows: DataFrame, by: list[Column], sums: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
+def running(rows: DataFrame, by: list[Column], sums: list[str], scratch: Scratch, most: int | None = None) -> tuple[DataFrame, dict[str, int]]:
     """rows with nth (from 0) and for each of `sums` (never null) its total over the rows before, as before_<name>, in the
-    order `by`; and the number of rows.
+    order `by`; and the totals of all, the number of rows as nth. There are at most `most` narrow rows, if that is known.
 
     Rows are dealt by ranges of `by` and summed within a range; one row a range reaches the driver, so no task holds them all.
     """
-    dealt = scratch.save(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    dealt = scratch.save(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), most)
     totals = dealt.groupBy("_range").agg(F.count("*").alias("_nth"), *[F.sum(c).alias(c) for c in sums]).orderBy("_range").collect()
     own = Window.partitionBy("_range").orderBy(*by)
     out = dealt.withColumn("nth", (F.row_number().over(own) - 1).cast("long"))
@@ -149,26 +166,27 @@ def running(rows: DataFrame, by: list[Column], sums: list[str], scratch: Scratch
         ahead = accumulate((r[c] for r in totals[:-1]), initial=0 * totals[0][c]) if totals else ()
         start = F.create_map(*[F.lit(x) for r, a in zip(totals, ahead, strict=True) for x in (r["_range"], a)]) if totals else None
         out = out.withColumn(to, F.col(to) + start[F.col("_range")]) if totals else out
-    return out.drop("_range"), sum(r["_nth"] for r in totals)
+    return out.drop("_range"), {"nth": sum(r["_nth"] for r in totals)} | {c: sum(r[c] for r in totals) for c in sums}
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 40) -> DataFrame:
-    """(v, component) for each vertex of `edges` (a, b: long, undirected); component is its smallest vertex.
+def components(edges: DataFrame, scratch: Scratch, most: int | None = None, most_rounds: int = 40) -> DataFrame:
+    """(v, component) for each vertex of `edges` (a, b: long, undirected; at most `most`); component is its smallest vertex.
 
     Alternating star contraction: every round sends each neighbour of a vertex to the smallest one. Minima are summed
     map-side and written to the shared folder, as are each round's edges, so that both sides of the join back to the edges
     are plain tables and Spark can split it where a vertex is hot. Rounds grow with the logarithm of the longest path.
     """
-    e = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    e = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), most)
     for _ in range(most_rounds):
         # Settled: every vertex has one way down, and that ends there. One aggregation, summed map-side.
         ends = e.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("root")).unionAll(e.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("root")))
         open_ = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down > 1 or down = 1 and root = 1")
         if not open_.agg(F.count("*")).first()[0]:
             break
+        most = 2 * e.count()
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both, scratch, larger_only=True)
-        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, larger_only=False)
+        large = _star(both, scratch, most, larger_only=True)
+        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, most, larger_only=False)
         scratch.drop(e)
         scratch.drop(large)
         e = small
@@ -177,14 +195,14 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 40) -> Dat
     return e.select(F.col("a").alias("v"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())
 
 
-def _star(uv: DataFrame, scratch: Scratch, *, larger_only: bool) -> DataFrame:
+def _star(uv: DataFrame, scratch: Scratch, most: int, *, larger_only: bool) -> DataFrame:
     """Link each neighbour v of u (and u itself in the small star) to the smallest of u and its neighbours."""
-    least = scratch.save(uv.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+    least = scratch.save(uv.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), most)
     to = uv.join(least, "u")
     if larger_only:
         out = to.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = to.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    out = scratch.save(out.where("a <> b").distinct())
+    out = scratch.save(out.where("a <> b").distinct(), most)
     scratch.drop(least)
     return out

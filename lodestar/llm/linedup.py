@@ -57,35 +57,38 @@ def line_ids(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "id long, h long, s long, n1 long, n2 long")
 
 
-def ranked(places: DataFrame, key: list[str], scratch: Scratch) -> DataFrame | None:
-    """places (pos, left, key) of classes with several places: (pos, left, rank, first); None where there is none."""
+def ranked(places: DataFrame, key: list[str], n: int, scratch: Scratch) -> tuple[DataFrame | None, int]:
+    """(pos, left, rank, first) of the places (pos, left, key; n of them) of classes with several places, and their number."""
     classes = places.groupBy(*key).agg(F.count("*").alias("m"), F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").drop("last")
-    order, n = running(classes, [F.col(c) for c in key], ["m"], scratch)
-    if not n:
-        return None
+    order, total = running(classes, [F.col(c) for c in key], ["m"], scratch, n // 2)
+    if not total["nth"]:
+        return None, 0
     order = order.select(*key, F.col("before_m").alias("new"), "first")
-    return scratch.save(places.join(order, key).select("pos", "left", F.col("new").alias("rank"), "first"))
+    return scratch.save(places.join(order, key).select("pos", "left", F.col("new").alias("rank"), "first"), total["m"]), total["m"]
 
 
-def doubled(places: DataFrame, scratch: Scratch) -> list[DataFrame]:
+def doubled(places: DataFrame, n: int, scratch: Scratch) -> list[DataFrame]:
     """Levels k of (pos, left, rank, first): places whose run of 2^k lines stands twice, its rank and its first place.
 
-    places is (pos, left, line): a line's place in the corpus, the lines from it to its document's end, and its id.
+    places is (pos, left, line), n rows: a line's place in the corpus, the lines from it to its document's end, and its id.
     """
     levels, key = [], ["line"]
-    while (level := ranked(places, key, scratch)) is not None:
+    while True:
+        level, n = ranked(places, key, n, scratch)
+        if level is None:
+            return levels
         levels.append(level)
         far = 1 << (len(levels) - 1)
         on = level.select((F.col("pos") - far).alias("pos"), F.col("rank").alias("next"))
-        places, key = scratch.save(level.where(F.col("left") > far).join(on, "pos").select("pos", "left", "rank", "next")), ["rank", "next"]
-    return levels
+        places, key = scratch.save(level.where(F.col("left") > far).join(on, "pos").select("pos", "left", "rank", "next"), n), ["rank", "next"]
 
 
-def longest(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+def longest(levels: list[DataFrame], n: int, scratch: Scratch) -> DataFrame:
     """(pos, len): the most lines from a place that also stand in a row from an earlier place; places with none are left out.
 
     An interval is (first, len): the places that share so many lines with the first of them, which is no match for itself
-    there. One step tells those apart that share 2^j more; the first of such an interval stands in both.
+    there. One step tells those apart that share 2^j more; the first of such an interval stands in both. n is the number of
+    places of the lowest level.
     """
     found = None
     for j in range(len(levels) - 1, -2, -1):
@@ -95,20 +98,20 @@ def longest(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
             new = level.where("pos > first")
             if j + 2 < len(levels):
                 new = new.join(levels[j + 2].where("pos > first").select("pos"), "pos", "left_anti")
-            new = scratch.save(new.select("first", F.lit(2 << j if j >= 0 else 1).cast("long").alias("len"), "pos", "left"))
+            new = scratch.save(new.select("first", F.lit(2 << j if j >= 0 else 1).cast("long").alias("len"), "pos", "left"), n)
             firsts = new.groupBy("first", "len").agg(F.lit(0)).select("first", "len").join(level.where("pos = first").select("first", "left"), "first")
             new = new.unionByName(firsts.select("first", "len", F.col("first").alias("pos"), "left"))
-            found = scratch.save(new if found is None else found.unionByName(new))
+            found = scratch.save(new if found is None else found.unionByName(new), 2 * n)
         if j < 0 or found is None:
             continue
         far = levels[j].select(F.col("pos").alias("to"), F.col("rank").alias("next"))
         to = F.when(F.col("left") > F.col("len"), F.col("pos") + F.col("len"))
-        seen = scratch.save(found.withColumn("to", to).join(far, "to", "left").drop("to"))
+        seen = scratch.save(found.withColumn("to", to).join(far, "to", "left").drop("to"), 2 * n)
         inner = seen.where("next is not null").groupBy("first", "len", "next").agg(F.min("pos").alias("head"), F.max("pos").alias("last")).where("head < last").drop("last")
-        both = seen.join(scratch.save(inner), ["first", "len", "next"], "left")
+        both = seen.join(scratch.save(inner, n), ["first", "len", "next"], "left")
         here, deeper = F.struct("first", "len"), F.struct(F.col("head").alias("first"), (F.col("len") + (1 << j)).alias("len"))
         goes = F.when(F.col("head").isNull(), F.array(here)).when(F.col("pos") > F.col("head"), F.array(deeper)).otherwise(F.array(here, deeper))
-        found = scratch.save(both.select(F.explode(goes).alias("i"), "pos", "left").select("i.first", "i.len", "pos", "left"))
+        found = scratch.save(both.select(F.explode(goes).alias("i"), "pos", "left").select("i.first", "i.len", "pos", "left"), 2 * n)
     return found.where("pos > first").select("pos", "len")
 
 
@@ -118,24 +121,25 @@ def maximal_runs(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     docs is (id, h, text). Equal rows are one document.
     """
     named = scratch.save(line_ids(docs))
-    often, n = running(named.groupBy("n1", "n2").agg(F.count("*").alias("m")).where("m > 1"), [F.col("n1"), F.col("n2")], ["m"], scratch)
-    if not n:
+    often, total = running(named.groupBy("n1", "n2").agg(F.count("*").alias("m")).where("m > 1"), [F.col("n1"), F.col("n2")], ["m"], scratch, named.count() // 2)
+    if not total["nth"]:
         return None
+    n = total["m"]
     # Both sides of this join are dealt out by the name for it alone, so that Spark may split it where one line is very common.
     often = often.select("n1", "n2", F.col("before_m").alias("line"))
-    lines = scratch.save(named.join(often, ["n1", "n2"]).select("id", "h", "s", "line"))
+    lines = scratch.save(named.join(often, ["n1", "n2"]).select("id", "h", "s", "line"), n)
     whole = lines.groupBy("id", "h").agg((F.max("s") + 1).alias("n"))
-    start, _ = running(whole, [F.col("id").asc_nulls_first(), F.col("h")], ["n"], scratch)
+    start, _ = running(whole, [F.col("id").asc_nulls_first(), F.col("h")], ["n"], scratch, n)
     start = start.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "n", F.col("before_n").alias("start"))
     lines = lines.join(start, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("id", "h", "s", (F.col("start") + F.col("s")).alias("pos"), (F.col("n") - F.col("s")).alias("left"), "line")
-    lines = scratch.save(lines.distinct())
-    levels = doubled(lines.select("pos", "left", "line"), scratch)
+    lines = scratch.save(lines.distinct(), n)
+    levels = doubled(lines.select("pos", "left", "line"), n, scratch)
     if not levels:
         return None
-    runs = scratch.save(longest(levels, scratch))
+    runs = scratch.save(longest(levels, n, scratch), n)
     before = runs.select((F.col("pos") + 1).alias("pos"), F.col("len").alias("had"))
-    top = scratch.save(runs.join(before, "pos", "left").where("had is null or had <= len").select("pos", "len"))
-    return scratch.save(top.join(lines, "pos").select("id", "h", "s", (F.col("s") + F.col("len")).alias("e")))
+    top = runs.join(before, "pos", "left").where("had is null or had <= len").select("pos", "len")
+    return scratch.save(top.join(lines, "pos").select("id", "h", "s", (F.col("s") + F.col("len")).alias("e")), n)
 
 
 def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,10 +157,13 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     runs = maximal_runs(docs.select(key[0].alias("id"), key[1].alias("h"), F.col("text").cast("string").alias("text")), scratch)
     keyed = docs.select(*rest).alias("_docs")
     if runs is None:
+        scratch.drop_but()
         joined = keyed.select("_docs.*", F.lit(None).cast("array<struct<s:long,e:long>>").alias("_cut"))
     else:
         # The cuts are narrow and the built side of a hashed join: texts are moved once and never sorted.
-        cuts = scratch.save(runs.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("_cut"))).hint("shuffle_hash").alias("_cuts")
+        cuts = scratch.save(runs.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("_cut")), runs.count())
+        scratch.drop_but(cuts)
+        cuts = cuts.hint("shuffle_hash").alias("_cuts")
         joined = keyed.join(cuts, F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_cuts.id")) & (F.xxhash64(F.col("_docs.text").cast("string")) == F.col("_cuts.h")), "left").select("_docs.*", "_cuts._cut")
     at = rest.index("text")
 
@@ -179,4 +186,5 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     schema = StructType([f for f in docs.schema.fields if f.name in rest])
     for c in ADDED:
         schema = schema.add(c, LongType())
-    return joined.mapInArrow(apply, schema)
+    # By place, as docs may have a column of any name.
+    return joined.toDF(*[f"c{i}" for i in range(len(rest) + 1)]).mapInArrow(apply, schema)

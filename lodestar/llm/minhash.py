@@ -106,13 +106,13 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "c long, s binary")
 
 
-def _blocks(rows: DataFrame, group: str, scratch: Scratch) -> DataFrame:
-    """rows with own, x, y: groups cut into blocks of bounded size, each pair of blocks (x <= y) a task.
+def _blocks(rows: DataFrame, n: int, group: str, scratch: Scratch) -> DataFrame:
+    """The n rows with own, x, y: groups cut into blocks of bounded size, each pair of blocks (x <= y) a task.
 
     rows has c, w (shingles, or 0) and free (boolean): blocks without a free row are not paired with each other or with themselves.
     """
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("w") / BLOCK_SHINGLES)).alias("_n")
-    sizes = scratch.save(rows.groupBy(group).agg(blocks, F.count("*").alias("_m"), F.count_if("free").alias("_f")).where("_m > 1 and _f > 0"))
+    sizes = scratch.save(rows.groupBy(group).agg(blocks, F.count("*").alias("_m"), F.count_if("free").alias("_f")).where("_m > 1 and _f > 0"), n)
     block = F.struct(F.col("free"), F.pmod(F.xxhash64("c"), F.col("_n")).alias("i"))
     own = rows.join(sizes, group).withColumn("own", block)
     other = lambda free: F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.struct(F.lit(free).alias("free"), i.alias("i")))
@@ -246,38 +246,41 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
     # One row for each set, numbered by its smallest document, so that the smallest number of a component is that of its smallest id.
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("rep")
     sets = sketches.where("h1 is not null").groupBy("h1", "h2", "n").agg(rep, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    classes = running(sets, [F.col("rep"), F.col("h1"), F.col("h2")], [], scratch)[0].withColumnRenamed("nth", "c")
-    classes = scratch.save(classes)
+    classes, total = running(sets, [F.col("rep"), F.col("h1"), F.col("h2")], [], scratch)
+    classes = scratch.save(classes.withColumnRenamed("nth", "c"))
+    n = total["nth"]
 
     narrow = classes.select(F.explode("keys").alias("key"), "c")
-    buckets = scratch.save(narrow.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lead")).where("m > 1"))
-    members = scratch.save(narrow.join(buckets, "key"))
+    buckets = scratch.save(narrow.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("lead")).where("m > 1"), bands * n // 2)
+    members = scratch.save(narrow.join(buckets, "key"), bands * n)
+    met = members.count()
     signed = classes.select("c", "n", "sig")
     led = members.where("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
-    alike = scratch.save(_alike_pairs(scratch.save(led), signed, share, coordinates))
+    alike = scratch.save(_alike_pairs(scratch.save(led, met), signed, share, coordinates))
     # What is not alike to the smallest class of a bucket is compared with all of it.
     known = alike.select(F.col("a").alias("c"), F.col("b").alias("lead"), F.lit(True).alias("known"))
     rest = members.where("m > 2").join(known, ["c", "lead"], "left").select("key", "c", F.lit(0).alias("w"), (F.col("known").isNull() & (F.col("c") != F.col("lead"))).alias("free"))
-    placed = _blocks(scratch.save(rest), "key", scratch).join(signed, "c")
+    placed = _blocks(scratch.save(rest, met), met, "key", scratch).join(signed, "c")
     more = scratch.save(_alike(placed, share, coordinates))
-    cluster = components(alike.unionAll(more.select(F.col("c").alias("a"), F.col("low").alias("b"))), scratch)
+    cluster = components(alike.unionAll(more.select(F.col("c").alias("a"), F.col("low").alias("b"))), scratch, 2 * met)
     one = F.lit(1).cast("long").alias("degree")
     degree = more.select("c", "degree").unionAll(alike.select(F.col("a").alias("c"), one)).unionAll(alike.select(F.col("b").alias("c"), one)).groupBy("c").agg(F.sum("degree").alias("degree"))
-    clustered = scratch.save(cluster.withColumnsRenamed({"v": "c", "component": "cluster"}).join(degree, "c").join(classes.select("c", F.col("n").alias("w"), "rep"), "c"))
-    leader = scratch.save(clustered.groupBy("cluster").agg(F.max_by("c", F.struct("degree", -F.col("c"))).alias("leader")))
+    clustered = scratch.save(cluster.withColumnsRenamed({"v": "c", "component": "cluster"}).join(degree, "c").join(classes.select("c", F.col("n").alias("w"), "rep"), "c"), n)
+    leader = scratch.save(clustered.groupBy("cluster").agg(F.max_by("c", F.struct("degree", -F.col("c"))).alias("leader")), n)
     of = clustered.select("c", F.col("rep.id").alias("_i"), F.col("rep.h").alias("_h")).hint("shuffle_hash")
     sets = texts.join(of, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("c", "text")
     sets = scratch.save(_sets(sets, k).dropDuplicates(["c"]) if docs_repeat(sketches) else _sets(sets, k))
 
-    led = scratch.save(clustered.select("c", "cluster", "w").join(leader, "cluster"))
+    led = scratch.save(clustered.select("c", "cluster", "w").join(leader, "cluster"), n)
     stars = scratch.save(_verified(led.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b")), sets, share))
     bound = stars.select(F.col("a").alias("c"), F.lit(True).alias("bound"))
     # What no leader binds is compared with its whole cluster; bound classes are not compared with each other.
     rest = led.join(bound, "c", "left").select("c", "cluster", "w", (F.col("bound").isNull() & (F.col("c") != F.col("leader"))).alias("free"))
-    others = scratch.save(_linked(_blocks(scratch.save(rest), "cluster", scratch).join(sets, "c"), share))
-    comp = components(stars.unionAll(others), scratch)
+    others = scratch.save(_linked(_blocks(scratch.save(rest, n), n, "cluster", scratch).join(sets, "c"), share))
+    comp = components(stars.unionAll(others), scratch, 2 * n)
     names = classes.select("h1", "h2", "n", "c").join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
-    names = scratch.save(names.join(classes.select("c", "rep"), "c").select("h1", "h2", "n", "rep"))
+    names = scratch.save(names.join(classes.select("c", "rep"), "c").select("h1", "h2", "n", "rep"), n)
+    scratch.drop_but(sketches, names)
     out = sketches.select("id", "h", "n", "h1", "h2").join(names, ["h1", "h2", "n"], "left")
     first = same((F.col("id"), F.col("rep.id")), (F.col("h"), F.col("rep.h"))) & F.col("rep").isNotNull()
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("rep.id")).alias("component_id"), F.col("h").alias("text_hash"), first.alias("first"))
@@ -293,13 +296,14 @@ def one_of_each(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFrame:
     """docs without near copies: one row of each component of `near_duplicates`, and all rows without words."""
     found = Scratch(docs.sparkSession, "first").save(near_duplicates(docs, k=k, share=share).where("first or n_shingles = 0"))
     stays = found.groupBy("doc_id", "text_hash").agg((F.max("first") & (F.count("*") > 1)).alias("twice"))
-    rows, key = docs.alias("_docs"), F.xxhash64(F.col("_docs.text").cast("string"))
+    rows, hashed = docs.alias("_docs"), F.xxhash64(F.col("_docs.text").cast("string"))
 
     def of(those: DataFrame) -> DataFrame:
         # The decisions are narrow and the built side of a hashed join: texts are moved once and never sorted.
-        return rows.join(those.hint("shuffle_hash").alias("_those"), F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_those.doc_id")) & (key == F.col("_those.text_hash")), "left_semi")
+        return rows.join(those.hint("shuffle_hash").alias("_those"), F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_those.doc_id")) & (hashed == F.col("_those.text_hash")), "left_semi")
 
     once = of(stays.where("not twice"))
     if not stays.where("twice").limit(1).count():
         return once
-    return once.unionAll(of(stays.where("twice")).withColumn("_key", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    key = next(k for k in (f"_key{i}" for i in range(len(docs.columns) + 1)) if k not in docs.columns)
+    return once.unionAll(of(stays.where("twice")).withColumn(key, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", key]).drop(key))

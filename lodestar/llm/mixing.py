@@ -37,8 +37,8 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, scratch: Scratch, most: float = MOST_COPIES) -> DataFrame:
-    """(source, source_size, docs, target) from (source, size, n documents).
+def targets(sizes: DataFrame, scratch: Scratch, rows: int, most: float = MOST_COPIES) -> DataFrame:
+    """(source, source_size, docs, target) from `rows` rows (source, size, n documents).
 
     Sources in code-point order, null last, weigh 1, 2, 3 and so on again and share the total of all sizes by weight; a
     share stops at `most` times its source's size and the excess is shared anew. Sorted by what a source can take for
@@ -46,9 +46,9 @@ def targets(sizes: DataFrame, scratch: Scratch, most: float = MOST_COPIES) -> Da
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("docs"))
     name = F.col("source").asc_nulls_last()
-    ranked = running(by_source, [name], [], scratch)[0].withColumn("weight", F.col("nth") % 3 + 1).drop("nth")
+    ranked = running(by_source, [name], [], scratch, rows)[0].withColumn("weight", F.col("nth") % 3 + 1).drop("nth")
     ranked = ranked.withColumn("room", F.lit(most) * F.col("source_size")).withColumn("per_weight", F.col("room") / F.col("weight"))
-    ranked = scratch.save(running(ranked, [F.col("per_weight"), F.col("weight"), name], ["room", "weight"], scratch)[0])
+    ranked = scratch.save(running(ranked, [F.col("per_weight"), F.col("weight"), name], ["room", "weight"], scratch, rows)[0], rows)
     size, weight = ranked.agg(F.sum("source_size").cast("double"), F.sum("weight").cast("double")).first()
     # What is left for this source and those after it, shared by their weights.
     level = (F.lit(size) - F.col("before_room")) / (F.lit(weight) - F.col("before_weight"))
@@ -154,7 +154,8 @@ def decide(docs: DataFrame, *, seed: int = 11, most: float = MOST_COPIES) -> Dat
     narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), size_of(F.col("text").cast("string")).alias("size"))
     units = narrow.groupBy("doc_id", "source", "text_hash").agg(F.max("size").alias("size"), F.count("*").alias("n"))
     units = scratch.save(units.withColumn("tie", F.xxhash64("doc_id", "source", "text_hash", F.lit(seed))))
-    totals = scratch.save(targets(units.select("source", (F.col("size") * F.col("n")).alias("size"), "n"), scratch, most))
+    n_units = units.count()
+    totals = scratch.save(targets(units.select("source", (F.col("size") * F.col("n")).alias("size"), "n"), scratch, n_units, most), n_units)
     # One row a source: joined by broadcast where they are few, by a shuffle that Spark may split where not.
     few = totals.count() <= FEW_SOURCES
     with_source = lambda rows, one: rows.join(F.broadcast(one) if few else one, F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -172,11 +173,11 @@ def decide(docs: DataFrame, *, seed: int = 11, most: float = MOST_COPIES) -> Dat
     edge = by_size.groupBy(F.col("source").alias("of")).agg(F.max("size").alias("edge"), F.max_by((F.lit(SMALL) - F.col("upto") + F.col("m")) / F.col("m"), "size").alias("part"))
     waits = (F.col("size") > 0) & ((F.col("size") < F.col("edge")) | (F.col("size") == F.col("edge")) & (F.pmod("tie", F.lit(PARTS)) < F.col("part") * PARTS))
     marked = r.where(is_open).join(F.broadcast(edge) if few else edge, F.col("source").eqNullSafe(F.col("of")), "left")
-    marked = scratch.save(marked.select(*columns, F.coalesce(waits, F.lit(False)).alias("waits")))
+    marked = scratch.save(marked.select(*columns, F.coalesce(waits, F.lit(False)).alias("waits")), n_units)
     small, now = marked.where("waits").drop("waits"), marked.where("not waits").drop("waits")
     level = 0
     while True:
-        n_open = scratch.save(now.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("of_source")))
+        n_open = scratch.save(now.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("of_source")), n_units)
         if (n_open.agg(F.max("of_source")).first()[0] or 0) <= BLOCK:
             break
         block = F.pmod(F.xxhash64("tie", F.lit(level)), F.ceil(F.col("of_source") / BLOCK)).cast("int")
@@ -190,7 +191,9 @@ def decide(docs: DataFrame, *, seed: int = 11, most: float = MOST_COPIES) -> Dat
         taken = taken.unionAll(s)
     taken = with_source(taken, totals.select(F.col("source").alias("of"), "source_size", "target"))
     copies = (F.col("whole") + F.round("p").cast("int")).alias("copies")
-    return taken.select("doc_id", "source", "text_hash", "size", "n", "source_size", F.col("target").cast("double").alias("target"), copies)
+    out = scratch.save(taken.select("doc_id", "source", "text_hash", "size", "n", "source_size", F.col("target").cast("double").alias("target"), copies), n_units)
+    scratch.drop_but(out)
+    return out
 
 
 def mix(docs: DataFrame, *, seed: int = 11, most: float = MOST_COPIES) -> DataFrame:
@@ -199,7 +202,7 @@ def mix(docs: DataFrame, *, seed: int = 11, most: float = MOST_COPIES) -> DataFr
     Null, empty and very long texts, repeated rows and empty tables: as in `decide`. Decisions are narrow and are the built
     side of a hashed join, so whole texts are moved once and never sorted.
     """
-    taken = Scratch(docs.sparkSession, "mixed").save(decide(docs, seed=seed, most=most).drop("n"))
+    taken = decide(docs, seed=seed, most=most).drop("n")
     rest = docs.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]).alias("_docs")
     on = same(*[(F.col(f"_docs.{c}"), F.col(f"_taken.{c}")) for c in ("doc_id", "source")]) & (F.xxhash64("_docs.text") == F.col("_taken.text_hash"))
     return rest.join(taken.hint("shuffle_hash").alias("_taken"), on).select("_docs.*", *[f"_taken.{c}" for c in ("size", "source_size", "target", "copies")])

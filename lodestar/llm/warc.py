@@ -41,7 +41,8 @@ def leaves(recs: DataFrame, scratch: Scratch) -> DataFrame:
     Records are numbered over all files at once, by ranges, so that a long file does not stand in one task.
     """
     hashed = scratch.save(recs.select("page_id", "file", F.sha2(F.col("body").cast("binary"), 256).alias("record"), F.octet_length("body").cast("long").alias("n")))
-    placed = scratch.save(running(hashed, [F.col("file"), F.col("page_id").asc_nulls_first(), F.col("record")], ["n"], scratch)[0])
+    n = hashed.count()
+    placed = scratch.save(running(hashed, [F.col("file"), F.col("page_id").asc_nulls_first(), F.col("record")], ["n"], scratch, n)[0], n)
     start = placed.groupBy("file").agg(F.min("nth").alias("_first"), F.min("before_n").alias("_at"))
     placed = placed.join(start, "file").withColumn("lo", F.col("before_n") - F.col("_at")).withColumn("hi", F.col("lo") + F.col("n"))
     return placed.select("file", F.lit(0).alias("level"), (F.col("nth") - F.col("_first")).alias("node"), _hash("record", "lo", "hi").alias("hash"), "lo", "hi", "page_id", "record")
@@ -61,8 +62,9 @@ def above(nodes: DataFrame) -> DataFrame:
 def tree(base: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """Levels from the leaves to the roots, saved; each is FAN times smaller than the one below."""
     levels = [scratch.save(base)]
+    n = levels[0].count()
     while (levels[-1].agg(F.max("node")).first()[0] or 0) > 0:
-        levels.append(scratch.save(above(levels[-1])))
+        levels.append(scratch.save(above(levels[-1]), n))
     return levels
 
 
@@ -79,25 +81,29 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     tune(primary.sparkSession)
     one, two = tree(leaves(primary, scratch), scratch), tree(leaves(replica, scratch), scratch)
     ends = roots(one).join(roots(two).withColumnsRenamed({"root": "other", "height": "reach"}), "file", "full")
-    ends = scratch.save(ends.select("file", "root", same((F.col("root"), F.col("other")), (F.col("height"), F.col("reach"))).alias("root_matches")))
+    n = one[0].count() + two[0].count()
+    ends = scratch.save(ends.select("file", "root", same((F.col("root"), F.col("other")), (F.col("height"), F.col("reach"))).alias("root_matches")), n)
     off = ends.where("not root_matches").select("file")
     bad = None
     # From the highest level that both trees have, whatever either has above it.
     for level in range(min(len(one), len(two)) - 1, -1, -1):
         mine, theirs = (_open(t[level], off, bad) for t in (one, two))
         both = mine.join(theirs.withColumnRenamed("hash", "theirs"), ["file", "node"], "full")
-        bad = scratch.save(both.where(~F.col("hash").eqNullSafe(F.col("theirs"))).select("file", "node"))
+        bad = scratch.save(both.where(~F.col("hash").eqNullSafe(F.col("theirs"))).select("file", "node"), n)
     # Align what differs: first whole records, then those of one id, each of them with one of the other side.
-    mine, theirs = (scratch.save(_numbered(t[0].join(bad, ["file", "node"], "left_semi"), "record")) for t in (one, two))
+    mine, theirs = (scratch.save(_numbered(t[0].join(bad, ["file", "node"], "left_semi"), "record"), n) for t in (one, two))
     moved = _paired(mine, theirs, "record")
-    mine, theirs = (scratch.save(_numbered(a.join(_paired(a, b, "record"), ["file", "node"], "left_anti"), "page_id")) for a, b in ((mine, theirs), (theirs, mine)))
+    mine, theirs = (scratch.save(_numbered(a.join(_paired(a, b, "record"), ["file", "node"], "left_anti"), "page_id"), n) for a, b in ((mine, theirs), (theirs, mine)))
     surplus = theirs.join(_paired(theirs, mine, "page_id"), ["file", "node"], "left_anti")
     marked = mine.select("file", "node", F.lit(True).alias("damaged"), F.lit(False).alias("moved")).unionAll(moved.select("file", "node", F.lit(False), F.lit(True)))
     columns = ["page_id", "file", "lo", "hi", "record", "root", "root_matches", "damaged", "moved"]
     out = one[0].join(ends, "file").join(marked, ["file", "node"], "left").select(*columns)
     out = out.unionAll(surplus.join(ends, "file").withColumn("root", F.lit(None).cast("string")).withColumn("damaged", F.lit(True)).withColumn("moved", F.lit(False)).select(*columns))
     no = F.lit(False)
-    return out.select("page_id", "file", F.col("lo").alias("offset"), (F.col("hi") - F.col("lo")).alias("length"), F.col("record").alias("record_sha256"), "root", "root_matches", F.coalesce("damaged", no).alias("damaged"), F.coalesce("moved", no).alias("moved"))
+    out = out.select("page_id", "file", F.col("lo").alias("offset"), (F.col("hi") - F.col("lo")).alias("length"), F.col("record").alias("record_sha256"), "root", "root_matches", F.coalesce("damaged", no).alias("damaged"), F.coalesce("moved", no).alias("moved"))
+    out = scratch.save(out, n)
+    scratch.drop_but(out)
+    return out
 
 
 def _numbered(leaves: DataFrame, by: str) -> DataFrame:
