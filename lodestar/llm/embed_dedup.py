@@ -23,6 +23,8 @@ from .common import Scratch, components, lean, lean_groups, running, tune
 PIVOT_FACTOR, LEAST_PIVOTS, PIVOT_BYTES = 3.0, 16, 16 << 20
 #: Nearest pivots of a vector, pivots that a compared pair shares, vectors of one block.
 NEAREST, SHARED, BLOCK = 8, 2, 4000
+#: Rows of a segment from which all its cosines are made at once, and pairs of shorter ones that are looked at together.
+LONG, PAIRS = 128, 16_384
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -97,7 +99,7 @@ def _described(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
 def _placed(indexed: DataFrame, scratch: Scratch) -> DataFrame:
     """(c, len, i, j, own, x, y): the tasks that a vector is compared in. i is the pivot of a list, j a second one or -1 for all."""
     lists = indexed.select("c", "len", "near", F.explode("near").alias("i"))
-    sizes = scratch.save(lists.groupBy("len", "i").agg(F.count("*").alias("m")).where("m > 1"))
+    sizes = scratch.save(lists.groupBy("len", "i").agg(F.count("*").alias("m")).where("m > 1"), NEAREST * indexed.count())
     lists = lists.join(sizes, ["len", "i"])
     whole = (F.col("m") <= BLOCK) | (F.col("i") < 0)
     whole_lists = lists.where(whole).select("c", "len", "i", F.lit(-1).alias("j"))
@@ -109,17 +111,42 @@ def _placed(indexed: DataFrame, scratch: Scratch) -> DataFrame:
     return own.select("c", "len", "i", "j", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
 
-def _segments(near: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(second pivot, rows that share it and i). For j = -1 all second pivots above i; for i = -1 all rows."""
+def _segments(near: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, second pivots, starts): rows that share i and a second pivot above it, one segment for each; for j = -1 all of
+    these, else the rows as one. For i = -1 all rows are one segment."""
     if i < 0 or j >= 0:
-        yield j, np.arange(len(near))
-        return
+        return np.arange(len(near)), np.full(len(near), j), np.array([0, len(near)])
     row, col = np.nonzero(near > i)
     second = near[row, col]
     order = np.argsort(second, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(second[order])) + 1):
-        if len(part) > 1:
-            yield int(second[part[0]]), row[part]
+    row, second = row[order], second[order]
+    return row, second, np.concatenate([[0], np.flatnonzero(np.diff(second)) + 1, [len(row)]])
+
+
+def _candidates(near: np.ndarray, i: int, j: int, v: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, second): pairs of rows a < b of one segment with its second pivot, PAIRS at a time; those of long segments only
+    where their cosine is enough."""
+    rows, second, starts = _segments(near, i, j)
+    sizes = np.diff(starts)
+    for s in np.flatnonzero(sizes > LONG):
+        own = rows[starts[s] : starts[s + 1]]
+        for lo in range(0, len(own), 256):
+            a, b = np.nonzero(v[own[lo : lo + 256]] @ v[own].T >= cosine)
+            ok = a + lo < b
+            yield own[a[ok] + lo], own[b[ok]], np.full(int(ok.sum()), second[starts[s]])
+    short = np.repeat((sizes > 1) & (sizes <= LONG), sizes)
+    rows, second = rows[short], second[short]
+    ends = np.repeat(np.cumsum(sizes[(sizes > 1) & (sizes <= LONG)]), sizes[(sizes > 1) & (sizes <= LONG)])
+    after = ends - 1 - np.arange(len(rows))
+    at = np.cumsum(after)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(at, (at[lo - 1] if lo else 0) + PAIRS, side="right")))
+        n = after[lo:hi]
+        a = np.repeat(np.arange(lo, hi), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        yield rows[a], rows[b], second[a]
+        lo = hi
 
 
 def _compared(placed: DataFrame, kind: str, cosine: float) -> DataFrame:
@@ -131,21 +158,17 @@ def _compared(placed: DataFrame, kind: str, cosine: float) -> DataFrame:
         t = t.sort_by("c")
         ids, copies, own = (t.column(c).to_numpy() for c in ("c", "copies", "own"))
         v = _unit(np.frombuffer(b"".join(t.column("v").to_pylist()), kind).reshape(len(ids), -1))
-        near = np.sort(np.array(t.column("near").to_pylist(), np.int64), axis=1)
+        near = np.sort(t.column("near").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.int64), axis=1)
         low, links = ids.copy(), np.zeros(len(ids), np.int64)
         one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for second, rows in _segments(near, i, j):
-            for lo in range(0, len(rows), 256):
-                a, b = np.nonzero(v[rows[lo : lo + 256]] @ v[rows].T >= cosine)
-                ok = a + lo < b
-                a, b = rows[a[ok] + lo], rows[b[ok]]
-                ok = (own[a] != own[b]) | (x == y)
-                a, b = a[ok], b[ok]
-                if i >= 0:  # a pair counts once: where the two smallest pivots that it shares meet
-                    shared = np.sort(np.where((near[a][:, :, None] == near[b][:, None, :]).any(2), near[a], none), axis=1)
-                    ok = (shared[:, 0] == i) & (shared[:, 1] == second)
-                    a, b = a[ok], b[ok]
-                one.append(a), two.append(b)
+        for a, b, second in _candidates(near, i, j, v, cosine):
+            ok = (own[a] != own[b]) | (x == y)
+            if i >= 0:  # a pair counts once: where the two smallest pivots that it shares meet
+                shared = np.sort(np.where((near[a][:, :, None] == near[b][:, None, :]).any(2), near[a], none), axis=1)
+                ok &= (shared[:, 0] == i) & (shared[:, 1] == second)
+            a, b = a[ok], b[ok]
+            ok = np.einsum("ij,ij->i", v[a], v[b]) >= cosine
+            one.append(a[ok]), two.append(b[ok])
         a, b = np.concatenate(one), np.concatenate(two)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
@@ -179,15 +202,18 @@ def near_duplicates(rows: DataFrame, *, cosine: float = 0.9) -> DataFrame:
     # One row for each vector (by 128 bits), numbered by its smallest id.
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("rep")
     classes = base.where("v is not null").groupBy("k1", "k2").agg(rep, F.count("*").alias("copies"), F.first("v").alias("v"))
+    n = base.count()
     classes = scratch.save(running(classes, [F.col("rep"), F.col("k1"), F.col("k2")], [], scratch)[0].withColumnRenamed("nth", "c"))
     indexed = scratch.save(_described(classes, kind, cosine))
     placed = _placed(indexed, scratch).join(indexed.select("c", "copies", "v", "near"), "c")
     met = scratch.save(_compared(placed, kind, cosine))
     found = met.groupBy("c").agg(F.sum("links").alias("links"))
-    comp = components(met.select(F.col("c").alias("a"), F.col("low").alias("b")), scratch)
+    comp = components(met.select(F.col("c").alias("a"), F.col("low").alias("b")), scratch, met.count())
     names = classes.select("k1", "k2", "c", "copies").join(found, "c", "left").join(comp.withColumnRenamed("v", "c"), "c", "left")
     names = names.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "c").alias("c"))
-    names = scratch.save(names.join(classes.select("c", F.col("rep.id").alias("least")), "c").drop("c"))
-    out = base.select("id", "k1", "k2", F.col("v").isNotNull().alias("valid")).join(names, ["k1", "k2"], "left")
+    names = scratch.save(names.join(classes.select("c", F.col("rep.id").alias("least")), "c").drop("c"), n)
+    base = scratch.save(base.select("id", "k1", "k2", F.col("v").isNotNull().alias("valid")), n)
+    scratch.drop_but(base, names)
+    out = base.join(names, ["k1", "k2"], "left")
     out = out.select(F.col("id").alias("vec_id"), F.when(F.col("valid"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("valid"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
