@@ -33,6 +33,9 @@ ANNOUNCED = "((?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|au
 #: value; name and value between double quotes, between single quotes, or bare.
 QUOTED = "\"(?![^\"\\r\\n]*?(?:{0}))([^\"\\r\\n]{{6,}}+)\"|'(?![^'\\r\\n]*?(?:{0}))([^'\\r\\n]{{6,}}+)'|[\"']?+(?![^\\s\"'<>,;]*?(?:{0}))([^\\s\"'<>,;]{{6,}}+)"
 RULE = f"(?:{ANNOUNCED}[\"']?+)?+({ISSUED})|{ANNOUNCED}(?:{QUOTED.format(ISSUED)})"
+#: What a text must hold for the rule to find anything, in lower case and as it is: looked for first, as plain parts.
+HOLDS_ANY_CASE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "auth")
+HOLDS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxr-", "xoxs-", "xoxp-", "sk_live_", "AIza", "eyJ", "PRIVATE KEY")
 PLACEHOLDERS = "example|sample|dummy|test|fake|placeholder|changeme|change_me|your|xxxx|1234|abcd|foobar|none|null|password|secret"
 DOC_PATHS = "test|doc|example|fixture|sample|mock"
 #: A piece of a value that may be a word has so many letters; a word stands in so many documents.
@@ -46,6 +49,13 @@ EXAMPLES = "(?<![a-z])(?:examples?|e\\.g|sample|samples|dummy|fake|mock|placehol
 USES = "(?<![a-z])(?:prod|production|live|deploy|deployed|export|login|connect|curl|credentials?|private|confidential|real|leaked|bearer|authorization)(?![a-z])"
 
 
+def holds_any(text: Column) -> Column:
+    """Whether the rule finds anything: plain parts first, as most texts hold none of them."""
+    low = F.exists(F.array(F.lower(text)), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(k)) for k in HOLDS_ANY_CASE)))
+    own = reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in HOLDS))
+    return (own | low) & text.rlike(RULE)
+
+
 def candidates(docs: DataFrame, *, path: str = "source") -> DataFrame:
     """(doc_id, path, kind, value, before, left, right, found_at, times): each distinct finding of a document, from its whole
     text, with the name before it and the NEAR words on both sides; one row for each surrounding that it stands in.
@@ -57,7 +67,7 @@ def candidates(docs: DataFrame, *, path: str = "source") -> DataFrame:
     whole, between = F.regexp_extract_all(text, F.lit(RULE), F.lit(0)), F.split(text, RULE, -1)
     # What stands between the findings: the words left of one end a piece, those right of it begin the next.
     found = F.arrays_zip(whole.alias("whole"), F.transform(between, lambda x: F.right(x, F.lit(NEAR_CHARS))).alias("left"), F.transform(F.slice(between, 2, F.size(between)), lambda x: F.left(x, F.lit(NEAR_CHARS))).alias("right"))
-    rows = docs.where(text.rlike(RULE)).select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), text.alias("_text"), F.explode(found).alias("f")).where("f.whole is not null").select("doc_id", "path", "_text", "f.*")
+    rows = docs.where(holds_any(text)).select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), text.alias("_text"), F.explode(found).alias("f")).where("f.whole is not null").select("doc_id", "path", "_text", "f.*")
     name, issued, *value = (F.nullif(F.regexp_extract("whole", RULE, i), F.lit("")) for i in (1, 2, 4, 5, 6))
     kind = F.when(issued.isNotNull(), "issued").otherwise("announced")
     before = F.coalesce(name, F.nullif(F.regexp_extract("whole", RULE, 3), F.lit("")))
@@ -86,7 +96,7 @@ def coverage(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     own = scratch.save(pieces(found))
     wanted = scratch.save(own.select("piece").distinct())
     text = F.col("text").cast("string")
-    plain = F.when(text.rlike(RULE), F.regexp_replace(text, RULE, " ")).otherwise(text)
+    plain = F.when(holds_any(text), F.regexp_replace(text, RULE, " ")).otherwise(text)
     words = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower(plain), "[\\s\\p{Punct}]+"), lambda w: F.length(w) >= PIECE))).alias("w")).select(F.xxhash64("w").alias("piece"))
     known = words.join(wanted, "piece").groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_DOCS).select("piece")
     fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.xxhash64(F.lit(w)) for w in CODE_WORDS])).alias("piece"))
