@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import mixing, quality
+from lodestar.llm import embed_dedup, linedup, media, minhash, mixing, quality, secrets, toxicity, warc
 
 TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 STAGE = dict(pipeline.STAGES)
@@ -147,6 +147,33 @@ def test_edges(spark):
     assert STAGE["bpe"](spark, docs, TINY).count() == len(ROWS)
 
 
+def test_near_dedup_keeps_other_columns(spark):
+    docs = edge_table(spark, ROWS).withColumn("_key0", F.lit("k"))
+    out = minhash.one_of_each(docs)
+    assert out.columns == docs.columns and out.count() == 8 and out.where("_key = 'x' and _key0 = 'k' and kept = 'x'").count() == 8
+
+
+def test_operators_with_clashing_columns(spark):
+    """Columns that operators use inside or add do not disturb them; those that an operator adds are replaced."""
+    docs = edge_table(spark, ROWS)
+    out = linedup.dedup(docs)
+    assert out.columns == [c for c in docs.columns if c != "n_deleted"] + ["n_lines", "n_deleted", "n_runs", "longest_run"] and out.where("_cut = 'x' and _h = 'x'").count() == len(ROWS)
+    out = mixing.mix(docs)
+    assert out.columns == [c for c in docs.columns if c not in ("size", "target", "copies")] + ["size", "source_size", "target", "copies"] and out.where("text_hash = 'x'").count() == len(ROWS)
+    labels = spark.read.parquet(f"{TINY}/labels.parquet").withColumn("text", F.lit("x")).withColumn("score", F.lit(1))
+    out = quality.score(docs, quality.fit(docs, labels, F.lit(True)), held_out=F.lit(False))
+    assert out.columns == [c for c in docs.columns if c not in ("held_out", "score", "predicted")] + ["held_out", "score", "predicted"] and out.where("kept = 'x'").count() == len(ROWS)
+    assert toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True)), held_out=F.lit(False)).count() == len(ROWS)
+    for df in (media.digests(docs), media.tensors(docs).select("doc_id").distinct(), minhash.near_duplicates(docs)):
+        assert df.count() > 0
+    found = docs.withColumn("text", F.lit("token = b7db7aa4a5fcc7830591")).withColumns({c: F.lit("x") for c in ("path", "kind", "value", "before", "left", "right", "label", "dictionary", "piece", "_text")})
+    assert secrets.scan(found, secrets.made_findings(spark)).where("secret").count() == len({(i, s) for i, _, s in ROWS})
+    vectors = spark.createDataFrame([(1, [1.0, 2.0], "x", "x", "x"), (2, [2.0, 4.0], "x", "x", "x")], "vec_id long, embedding array<double>, kept string, c string, v string")
+    assert [tuple(r) for r in embed_dedup.near_duplicates(vectors).orderBy("vec_id").collect()] == [(1, 1, 1, True), (2, 1, 1, False)]
+    pages = spark.createDataFrame([(1, "u", "h", "x", "x")], "page_id long, url string, html string, file string, body string")
+    assert warc.audit(*[warc.records(pages, 1)] * 2).count() == 1
+
+
 def test_empty_table(spark):
     none = edge_table(spark, [])
     for name, stage in pipeline.STAGES:
