@@ -232,7 +232,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         t = _loaded(file.value)
         for b in lean(batches):
             n, i, d = zip(*map(t.digest, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
         t.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

@@ -179,7 +179,9 @@ def components(edges: DataFrame, scratch: Scratch, most: int | None = None, most
     e = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), most)
     for _ in range(most_rounds):
         # Settled: every vertex has one way down, and that ends there. One aggregation, summed map-side.
-        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("root")).unionAll(e.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("root")))
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("root")).unionAll(
+            e.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("root"))
+        )
         open_ = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down > 1 or down = 1 and root = 1")
         if not open_.agg(F.count("*")).first()[0]:
             break

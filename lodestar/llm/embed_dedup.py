@@ -91,7 +91,10 @@ def _described(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
                     order = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
                     for i, x in zip(own, order.tolist(), strict=True):
                         near[i] = x
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in v], pa.int32()), pa.array(near, pa.list_(pa.int32()))], [*b.schema.names, "len", "near"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([len(x) for x in v], pa.int32()), pa.array(near, pa.list_(pa.int32()))],
+                [*b.schema.names, "len", "near"]
+            )
 
     return classes.select("c", "copies", "v").mapInArrow(run, "c long, copies long, v binary, len int, near array<int>")
 
@@ -105,7 +108,9 @@ def _placed(indexed: DataFrame, scratch: Scratch) -> DataFrame:
     whole_lists = lists.where(whole).select("c", "len", "i", F.lit(-1).alias("j"))
     parts = lists.where(~whole).select("c", "len", "i", F.explode(F.filter("near", lambda p: p > F.col("i"))).alias("j"))
     rows = scratch.save(whole_lists.unionAll(parts))
-    blocks = scratch.save(rows.groupBy("len", "i", "j").agg(F.count("*").alias("m")).where("m > 1").select("len", "i", "j", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")))
+    blocks = scratch.save(
+        rows.groupBy("len", "i", "j").agg(F.count("*").alias("m")).where("m > 1").select("len", "i", "j", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
+    )
     own = rows.join(blocks, ["len", "i", "j"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("n")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return own.select("c", "len", "i", "j", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
@@ -215,5 +220,8 @@ def near_duplicates(rows: DataFrame, *, cosine: float = 0.9) -> DataFrame:
     base = scratch.save(base.select("id", "k1", "k2", F.col("v").isNotNull().alias("valid")), n)
     scratch.drop_but(base, names)
     out = base.join(names, ["k1", "k2"], "left")
-    out = out.select(F.col("id").alias("vec_id"), F.when(F.col("valid"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("valid"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    out = out.select(
+        F.col("id").alias("vec_id"), F.when(F.col("valid"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("valid"), F.col("least")).otherwise(F.col("id")).alias("component_id")
+    )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

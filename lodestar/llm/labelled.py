@@ -18,8 +18,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most:
     bounded by `most`, so they are broadcast and the texts are not shuffled.
     """
     tune(docs.sparkSession)
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(learn)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")
+    ).where(learn)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, most / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    ).join(F.broadcast(chosen), "doc_id")

@@ -107,7 +107,9 @@ def longest(levels: list[DataFrame], n: int, scratch: Scratch) -> DataFrame:
         far = levels[j].select(F.col("pos").alias("to"), F.col("rank").alias("next"))
         to = F.when(F.col("left") > F.col("len"), F.col("pos") + F.col("len"))
         seen = scratch.save(found.withColumn("to", to).join(far, "to", "left").drop("to"), 2 * n)
-        inner = seen.where("next is not null").groupBy("first", "len", "next").agg(F.min("pos").alias("head"), F.max("pos").alias("last")).where("head < last").drop("last")
+        inner = seen.where("next is not null").groupBy("first", "len", "next").agg(
+            F.min("pos").alias("head"), F.max("pos").alias("last")
+        ).where("head < last").drop("last")
         both = seen.join(scratch.save(inner, n), ["first", "len", "next"], "left")
         here, deeper = F.struct("first", "len"), F.struct(F.col("head").alias("first"), (F.col("len") + (1 << j)).alias("len"))
         goes = F.when(F.col("head").isNull(), F.array(here)).when(F.col("pos") > F.col("head"), F.array(deeper)).otherwise(F.array(here, deeper))
@@ -121,7 +123,10 @@ def maximal_runs(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     docs is (id, h, text). Equal rows are one document.
     """
     named = scratch.save(line_ids(docs))
-    often, total = running(named.groupBy("n1", "n2").agg(F.count("*").alias("m")).where("m > 1"), [F.col("n1"), F.col("n2")], ["m"], scratch, named.count() // 2)
+    often, total = running(
+        named.groupBy("n1", "n2").agg(F.count("*").alias("m")).where("m > 1"), [F.col("n1"), F.col("n2")], ["m"], scratch,
+        named.count() // 2
+    )
     if not total["nth"]:
         return None
     n = total["m"]
@@ -131,7 +136,9 @@ def maximal_runs(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     whole = lines.groupBy("id", "h").agg((F.max("s") + 1).alias("n"))
     start, _ = running(whole, [F.col("id").asc_nulls_first(), F.col("h")], ["n"], scratch, n)
     start = start.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "n", F.col("before_n").alias("start"))
-    lines = lines.join(start, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("id", "h", "s", (F.col("start") + F.col("s")).alias("pos"), (F.col("n") - F.col("s")).alias("left"), "line")
+    lines = lines.join(start, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select(
+        "id", "h", "s", (F.col("start") + F.col("s")).alias("pos"), (F.col("n") - F.col("s")).alias("left"), "line"
+    )
     lines = scratch.save(lines.distinct(), n)
     levels = doubled(lines.select("pos", "left", "line"), n, scratch)
     if not levels:
@@ -164,7 +171,11 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
         cuts = scratch.save(runs.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("_cut")), runs.count())
         scratch.drop_but(cuts)
         cuts = cuts.hint("shuffle_hash").alias("_cuts")
-        joined = keyed.join(cuts, F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_cuts.id")) & (F.xxhash64(F.col("_docs.text").cast("string")) == F.col("_cuts.h")), "left").select("_docs.*", "_cuts._cut")
+        joined = keyed.join(
+            cuts,
+            F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_cuts.id")) & (F.xxhash64(F.col("_docs.text").cast("string")) == F.col("_cuts.h")),
+            "left"
+        ).select("_docs.*", "_cuts._cut")
     at = rest.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

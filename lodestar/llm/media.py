@@ -137,9 +137,14 @@ def tensors(docs: DataFrame) -> DataFrame:
                 tensor, t0, t1 = spans(analyse(to_wav(payload(t)[1]))[0])
                 n = len(tensor)
                 mel = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SPAN * MELS), tensor.storage.flatten())
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(t0), pa.array(t1), mel], ["doc_id", "span", "t0", "t1", "mel"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, span int, t0 double, t1 double, mel array<float>")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(t0), pa.array(t1), mel],
+                    ["doc_id", "span", "t0", "t1", "mel"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, span int, t0 double, t1 double, mel array<float>"
+    )
 
 
 def as_tensor_column(mel: pa.Array) -> pa.ExtensionArray:

@@ -90,7 +90,10 @@ def _sketches(texts: DataFrame, k: int, bands: int) -> DataFrame:
                 g = signature(s, bands * BAND).reshape(bands, BAND)
                 sig.append(g.astype(np.uint8).tobytes())
                 keys.append([xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(g)])
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            cols = [
+                b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())
+            ]
             yield pa.RecordBatch.from_arrays(cols, ["id", "h", "n", "h1", "h2", "keys", "sig"])
 
     return texts.mapInArrow(run, "id long, h long, n long, h1 long, h2 long, keys array<long>, sig binary")
@@ -259,13 +262,20 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
     alike = scratch.save(_alike_pairs(scratch.save(led, met), signed, share, coordinates))
     # What is not alike to the smallest class of a bucket is compared with all of it.
     known = alike.select(F.col("a").alias("c"), F.col("b").alias("lead"), F.lit(True).alias("known"))
-    rest = members.where("m > 2").join(known, ["c", "lead"], "left").select("key", "c", F.lit(0).alias("w"), (F.col("known").isNull() & (F.col("c") != F.col("lead"))).alias("free"))
+    rest = members.where("m > 2").join(known, ["c", "lead"], "left").select(
+        "key", "c", F.lit(0).alias("w"), (F.col("known").isNull() & (F.col("c") != F.col("lead"))).alias("free")
+    )
     placed = _blocks(scratch.save(rest, met), met, "key", scratch).join(signed, "c")
     more = scratch.save(_alike(placed, share, coordinates))
     cluster = components(alike.unionAll(more.select(F.col("c").alias("a"), F.col("low").alias("b"))), scratch, 2 * met)
     one = F.lit(1).cast("long").alias("degree")
-    degree = more.select("c", "degree").unionAll(alike.select(F.col("a").alias("c"), one)).unionAll(alike.select(F.col("b").alias("c"), one)).groupBy("c").agg(F.sum("degree").alias("degree"))
-    clustered = scratch.save(cluster.withColumnsRenamed({"v": "c", "component": "cluster"}).join(degree, "c").join(classes.select("c", F.col("n").alias("w"), "rep"), "c"), n)
+    degree = more.select("c", "degree").unionAll(
+        alike.select(F.col("a").alias("c"), one)
+    ).unionAll(alike.select(F.col("b").alias("c"), one)).groupBy("c").agg(F.sum("degree").alias("degree"))
+    clustered = scratch.save(
+        cluster.withColumnsRenamed({"v": "c", "component": "cluster"}).join(degree, "c").join(classes.select("c", F.col("n").alias("w"), "rep"), "c"),
+        n
+    )
     leader = scratch.save(clustered.groupBy("cluster").agg(F.max_by("c", F.struct("degree", -F.col("c"))).alias("leader")), n)
     of = clustered.select("c", F.col("rep.id").alias("_i"), F.col("rep.h").alias("_h")).hint("shuffle_hash")
     sets = texts.join(of, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("c", "text")
@@ -278,12 +288,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
     rest = led.join(bound, "c", "left").select("c", "cluster", "w", (F.col("bound").isNull() & (F.col("c") != F.col("leader"))).alias("free"))
     others = scratch.save(_linked(_blocks(scratch.save(rest, n), n, "cluster", scratch).join(sets, "c"), share))
     comp = components(stars.unionAll(others), scratch, 2 * n)
-    names = classes.select("h1", "h2", "n", "c").join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
+    names = classes.select("h1", "h2", "n", "c").join(
+        comp.withColumnRenamed("v", "c"), "c", "left"
+    ).withColumn("c", F.coalesce("component", "c")).drop("component")
     names = scratch.save(names.join(classes.select("c", "rep"), "c").select("h1", "h2", "n", "rep"), n)
     scratch.drop_but(sketches, names)
     out = sketches.select("id", "h", "n", "h1", "h2").join(names, ["h1", "h2", "n"], "left")
     first = same((F.col("id"), F.col("rep.id")), (F.col("h"), F.col("rep.h"))) & F.col("rep").isNotNull()
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("rep.id")).alias("component_id"), F.col("h").alias("text_hash"), first.alias("first"))
+    out = out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("rep.id")).alias("component_id"), F.col("h").alias("text_hash"),
+        first.alias("first")
+    )
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "first")
 
 
@@ -300,7 +316,10 @@ def one_of_each(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFrame:
 
     def of(those: DataFrame) -> DataFrame:
         # The decisions are narrow and the built side of a hashed join: texts are moved once and never sorted.
-        return rows.join(those.hint("shuffle_hash").alias("_those"), F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_those.doc_id")) & (hashed == F.col("_those.text_hash")), "left_semi")
+        return rows.join(
+            those.hint("shuffle_hash").alias("_those"),
+            F.col("_docs.doc_id").cast("long").eqNullSafe(F.col("_those.doc_id")) & (hashed == F.col("_those.text_hash")), "left_semi"
+        )
 
     once = of(stays.where("not twice"))
     if not stays.where("twice").limit(1).count():

@@ -170,7 +170,9 @@ def decide(docs: DataFrame, *, seed: int = 11, most: float = MOST_COPIES) -> Dat
     by_size = r.where(is_open & (F.col("size") > 0)).groupBy("source", "size").agg(F.count("*").alias("m"))
     upto = F.sum("m").over(Window.partitionBy("source").orderBy("size"))
     by_size = by_size.withColumn("upto", upto).where(F.col("upto") - F.col("m") < SMALL)
-    edge = by_size.groupBy(F.col("source").alias("of")).agg(F.max("size").alias("edge"), F.max_by((F.lit(SMALL) - F.col("upto") + F.col("m")) / F.col("m"), "size").alias("part"))
+    edge = by_size.groupBy(F.col("source").alias("of")).agg(
+        F.max("size").alias("edge"), F.max_by((F.lit(SMALL) - F.col("upto") + F.col("m")) / F.col("m"), "size").alias("part")
+    )
     waits = (F.col("size") > 0) & ((F.col("size") < F.col("edge")) | (F.col("size") == F.col("edge")) & (F.pmod("tie", F.lit(PARTS)) < F.col("part") * PARTS))
     marked = r.where(is_open).join(F.broadcast(edge) if few else edge, F.col("source").eqNullSafe(F.col("of")), "left")
     marked = scratch.save(marked.select(*columns, F.coalesce(waits, F.lit(False)).alias("waits")), n_units)
@@ -191,7 +193,10 @@ def decide(docs: DataFrame, *, seed: int = 11, most: float = MOST_COPIES) -> Dat
         taken = taken.unionAll(s)
     taken = with_source(taken, totals.select(F.col("source").alias("of"), "source_size", "target"))
     copies = (F.col("whole") + F.round("p").cast("int")).alias("copies")
-    out = scratch.save(taken.select("doc_id", "source", "text_hash", "size", "n", "source_size", F.col("target").cast("double").alias("target"), copies), n_units)
+    out = scratch.save(
+        taken.select("doc_id", "source", "text_hash", "size", "n", "source_size", F.col("target").cast("double").alias("target"), copies),
+        n_units
+    )
     scratch.drop_but(out)
     return out
 

@@ -23,7 +23,10 @@ STATISTICS = 20
 _CLASS = np.zeros((256, 9))
 for _b in range(256):
     _c = chr(_b)
-    _CLASS[_b] = [_c.isupper() and _b < 128, _c.islower() and _b < 128, _c.isdigit() and _b < 128, _b in (9, 11, 12, 13, 32), _b == 10, _c in ".,;:?'\"-()", _c == "!", _b < 128 and _c in "#$%&*+/<=>@[\\]^_`{|}~", _b >= 128]
+    _CLASS[_b] = [
+        _c.isupper() and _b < 128, _c.islower() and _b < 128, _c.isdigit() and _b < 128, _b in (9, 11, 12, 13, 32), _b == 10,
+        _c in ".,;:?'\"-()", _c == "!", _b < 128 and _c in "#$%&*+/<=>@[\\]^_`{|}~", _b >= 128
+    ]
 
 
 def statistics(text: str) -> list[float]:
@@ -93,7 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABE
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))],
+                ["doc_id", "y", "x"]
+            )
 
     scratch = Scratch(spark, "quality")
     rows = scratch.save(sample(docs, labels, "quality", learn, most).mapInArrow(stats, "doc_id long, y int, x array<double>"))
@@ -116,7 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABE
         return Model(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros((STATISTICS, 1)), np.zeros(1), np.zeros(2), np.zeros(1), np.full(1, 0.5))
     mean = moments[1] / moments[0]
     scale = np.sqrt(np.maximum(moments[2] / moments[0] - mean**2, 0))
-    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(size=(STATISTICS, N_FOURIER)) / STATISTICS**0.5, rng.uniform(0, 2 * np.pi, N_FOURIER), np.zeros(N_FOURIER + 1), np.zeros(1), np.full(1, 0.5))
+    model = Model(
+        mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(size=(STATISTICS, N_FOURIER)) / STATISTICS**0.5,
+        rng.uniform(0, 2 * np.pi, N_FOURIER), np.zeros(N_FOURIER + 1), np.zeros(1), np.full(1, 0.5)
+    )
 
     def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         z = model.fourier(x)
@@ -144,7 +153,10 @@ def score(docs: DataFrame, model: Model, *, held_out: Column, threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
             s = model.score(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
+                [*b.schema.names[:-1], "score", "predicted"]
+            )
 
     out = rows.drop("_text").schema.add("score", DoubleType()).add("predicted", IntegerType())
     return rows.mapInArrow(run, out)

@@ -74,7 +74,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_embeddings, op4_minhash, op5_linedup, op6_secrets, op7_media, op8_quality, op9_warc, op10_mixing)}
+    return {
+        f.__name__: f for f in (op1_bpe, op2_toxicity, op3_embeddings, op4_minhash, op5_linedup, op6_secrets, op7_media, op8_quality, op9_warc, op10_mixing)
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -42,7 +42,9 @@ KEPT_WORDS = 400_000
 SHORTEST = 4
 #: Words before an occurrence that are looked at, and verbs of speaking (fixed values).
 WINDOW = 5
-SPEAKING = frozenset("said says saying wrote writes called calls quoted quotes quote word term dit disait appelle sagte schrieb nannte wort dijo llama palabra".split())
+SPEAKING = frozenset(
+    "said says saying wrote writes called calls quoted quotes quote word term dit disait appelle sagte schrieb nannte wort dijo llama palabra".split()
+)
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 FEATURES = ("exact", "begins", "misspelled", "quoted", "any_direct", "share")
 
@@ -187,7 +189,10 @@ class Model:
                     n[found[w][0]] += 1
             before = [*before[1 - WINDOW :], w]
         direct = sum(n.values())
-        return [math.log1p(n["exact"]), math.log1p(n["begins"]), math.log1p(n["misspelled"]), math.log1p(quoted), float(direct > 0), math.log1p(1000 * direct / total)]
+        return [
+            math.log1p(n["exact"]), math.log1p(n["begins"]), math.log1p(n["misspelled"]), math.log1p(quoted), float(direct > 0),
+            math.log1p(1000 * direct / total)
+        ]
 
     def score(self, text: str) -> float:
         z = self.weights[-1] + sum(a * b for a, b in zip(self.weights, self.features(text), strict=False))
@@ -294,7 +299,11 @@ def choose_terms(rows: DataFrame) -> dict[str, float]:
     often = term_counts(rows, 1).where(F.col("n") >= least).orderBy(F.desc("n"), F.length("term"), "term").collect()
     among = frozenset(r.term for r in often)
     clean = {r.term: r.n for r in term_counts(rows, 0, among).collect()}
-    good = [(r.term, r.n, clean.get(r.term, 0)) for r in often if r.n >= PRECISION * (r.n + clean.get(r.term, 0)) and surprise(r.n, clean.get(r.term, 0), usual) > math.log(len(often)) + 1]
+    good = [
+        (
+            r.term, r.n, clean.get(r.term, 0)
+        ) for r in often if r.n >= PRECISION * (r.n + clean.get(r.term, 0)) and surprise(r.n, clean.get(r.term, 0), usual) > math.log(len(often)) + 1
+    ]
     score = {t: (a + 0.5) / (a + b + 1) * a for t, a, b in good}
     # Of a word, its beginnings and theirs, the one with the most toxic documents says all; the longest of equals.
     kept: dict[str, float] = {}
@@ -407,7 +416,10 @@ def score(docs: DataFrame, model: Model, *, held_out: Column, threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
             s = [model.score(t or "") for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())],
+                ["doc_id", "held_out", "score", "predicted"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -27,8 +27,12 @@ def records(pages: DataFrame, n_files: int, *, date: str = DATE) -> DataFrame:
     name = F.md5(F.concat_ws("\n", F.coalesce(page_id.cast("string"), F.lit("")), url).cast("binary"))
     uuid = F.concat_ws("-", *[F.substring(name, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     lines = [
-        F.lit("WARC/1.0"), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), uuid, F.lit(">")), F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), url),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.sha2(html.cast("binary"), 256)), F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.octet_length(html).cast("string")),
+        F.lit("WARC/1.0"), F.lit("WARC-Type: resource"), F.concat(
+            F.lit("WARC-Record-ID: <urn:uuid:"), uuid, F.lit(">")
+        ), F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), url),
+        F.concat(
+            F.lit("WARC-Payload-Digest: sha256:"), F.sha2(html.cast("binary"), 256)
+        ), F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.octet_length(html).cast("string")),
     ]
     body = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
     file = F.pmod(F.crc32(F.concat_ws("\n", page_id.cast("string"), url).cast("binary")), F.lit(n_files)).cast("int")
@@ -40,12 +44,17 @@ def leaves(recs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Records are numbered over all files at once, by ranges, so that a long file does not stand in one task.
     """
-    hashed = scratch.save(recs.select("page_id", "file", F.sha2(F.col("body").cast("binary"), 256).alias("record"), F.octet_length("body").cast("long").alias("n")))
+    hashed = scratch.save(
+        recs.select("page_id", "file", F.sha2(F.col("body").cast("binary"), 256).alias("record"), F.octet_length("body").cast("long").alias("n"))
+    )
     n = hashed.count()
     placed = scratch.save(running(hashed, [F.col("file"), F.col("page_id").asc_nulls_first(), F.col("record")], ["n"], scratch, n)[0], n)
     start = placed.groupBy("file").agg(F.min("nth").alias("_first"), F.min("before_n").alias("_at"))
     placed = placed.join(start, "file").withColumn("lo", F.col("before_n") - F.col("_at")).withColumn("hi", F.col("lo") + F.col("n"))
-    return placed.select("file", F.lit(0).alias("level"), (F.col("nth") - F.col("_first")).alias("node"), _hash("record", "lo", "hi").alias("hash"), "lo", "hi", "page_id", "record")
+    return placed.select(
+        "file", F.lit(0).alias("level"), (F.col("nth") - F.col("_first")).alias("node"), _hash("record", "lo", "hi").alias("hash"), "lo",
+        "hi", "page_id", "record"
+    )
 
 
 def _hash(what: str | Column, lo: str | Column, hi: str | Column) -> Column:
@@ -93,14 +102,26 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     # Align what differs: first whole records, then those of one id, each of them with one of the other side.
     mine, theirs = (scratch.save(_numbered(t[0].join(bad, ["file", "node"], "left_semi"), "record"), n) for t in (one, two))
     moved = _paired(mine, theirs, "record")
-    mine, theirs = (scratch.save(_numbered(a.join(_paired(a, b, "record"), ["file", "node"], "left_anti"), "page_id"), n) for a, b in ((mine, theirs), (theirs, mine)))
+    mine, theirs = (
+        scratch.save(_numbered(a.join(_paired(a, b, "record"), ["file", "node"], "left_anti"), "page_id"), n) for a,
+        b in ((mine, theirs), (theirs, mine))
+    )
     surplus = theirs.join(_paired(theirs, mine, "page_id"), ["file", "node"], "left_anti")
-    marked = mine.select("file", "node", F.lit(True).alias("damaged"), F.lit(False).alias("moved")).unionAll(moved.select("file", "node", F.lit(False), F.lit(True)))
+    marked = mine.select(
+        "file", "node", F.lit(True).alias("damaged"), F.lit(False).alias("moved")
+    ).unionAll(moved.select("file", "node", F.lit(False), F.lit(True)))
     columns = ["page_id", "file", "lo", "hi", "record", "root", "root_matches", "damaged", "moved"]
     out = one[0].join(ends, "file").join(marked, ["file", "node"], "left").select(*columns)
-    out = out.unionAll(surplus.join(ends, "file").withColumn("root", F.lit(None).cast("string")).withColumn("damaged", F.lit(True)).withColumn("moved", F.lit(False)).select(*columns))
+    out = out.unionAll(
+        surplus.join(ends, "file").withColumn(
+            "root", F.lit(None).cast("string")
+        ).withColumn("damaged", F.lit(True)).withColumn("moved", F.lit(False)).select(*columns)
+    )
     no = F.lit(False)
-    out = out.select("page_id", "file", F.col("lo").alias("offset"), (F.col("hi") - F.col("lo")).alias("length"), F.col("record").alias("record_sha256"), "root", "root_matches", F.coalesce("damaged", no).alias("damaged"), F.coalesce("moved", no).alias("moved"))
+    out = out.select(
+        "page_id", "file", F.col("lo").alias("offset"), (F.col("hi") - F.col("lo")).alias("length"), F.col("record").alias("record_sha256"),
+        "root", "root_matches", F.coalesce("damaged", no).alias("damaged"), F.coalesce("moved", no).alias("moved")
+    )
     out = scratch.save(out, n)
     scratch.drop_but(out)
     return out
@@ -121,7 +142,10 @@ def _paired(mine: DataFrame, theirs: DataFrame, by: str) -> DataFrame:
 
 def roots(levels: list[DataFrame]) -> DataFrame:
     """(file, root, height): the hash at the top of a file's own tree, its first level of one node, whatever other files need."""
-    tops = [level.groupBy("file").agg(F.count("*").alias("n"), F.first("hash").alias("root")).where("n = 1").select("file", F.lit(i).alias("height"), "root") for i, level in enumerate(levels)]
+    tops = [
+        level.groupBy("file").agg(F.count("*").alias("n"), F.first("hash").alias("root")).where("n = 1").select("file", F.lit(i).alias("height"), "root") for i,
+        level in enumerate(levels)
+    ]
     return reduce(DataFrame.unionAll, tops).groupBy("file").agg(F.min_by("root", "height").alias("root"), F.min("height").alias("height"))
 
 
