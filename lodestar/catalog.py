@@ -36,7 +36,9 @@ SEARCH: dict[str, Query] = {
     "weekly_dropping": _fact(lambda f: search.weekly_dropping(f, AS_OF)),
     "weekly_ctr_triage": _fact(lambda f: search.weekly_ctr_triage(f, AS_OF)),
     "weekly_monopolies": _fact(lambda f: search.weekly_monopolies(f, AS_OF)),
-    "query_intent_counts": _fact(lambda f: search.query_intents(f).groupBy("intent").agg(F.count("*").alias("queries"), F.count_if("machine").alias("machine"))),
+    "query_intent_counts": _fact(
+        lambda f: search.query_intents(f).groupBy("intent").agg(F.count("*").alias("queries"), F.count_if("machine").alias("machine"))
+    ),
     "rewrite_candidates": _fact(lambda f: search.rewrite_candidates(f, AS_OF)),
     "cannibal_clusters": _fact(lambda f: search.cannibal_clusters(f, AS_OF)),
     "cannibal_losers": _fact(lambda f: search.cannibal_losers(f, AS_OF)),
@@ -46,10 +48,17 @@ SEARCH: dict[str, Query] = {
     "query_gaps_by_type": _fact(lambda f: search.query_gaps(f, None, AS_OF).groupBy("type").agg(F.count("*").alias("gaps"))),
     "query_gaps_without_pages": lambda s, d: search.query_gaps(search_analytics(s, d), search.topic_words(content(s, d)), AS_OF),
     "topic_words": lambda s, d: search.topic_words(content(s, d)),
-    "gsc_page_queries": _fact(lambda f: search.shown(search.scan(f, AS_OF - timedelta(28), AS_OF - timedelta(1), "query", page="https://site.example/blog/post-3", rows=20, start=5), "query")),
+    "gsc_page_queries": _fact(
+        lambda f: search.shown(
+            search.scan(f, AS_OF - timedelta(28), AS_OF - timedelta(1), "query", page="https://site.example/blog/post-3", rows=20, start=5),
+            "query"
+        )
+    ),
     "cannibal_totals": _fact(lambda f: search.cannibal_totals(search.cannibal_clusters(f, AS_OF))),
     "striking_totals": _fact(lambda f: search.striking_totals(search.striking_distance(f, AS_OF))),
-    "analyzer_findings": _fact(lambda f: rules.analyzer(search.metrics(search.window(f, AS_OF, 14, 1), "page"), search.metrics(search.window(f, AS_OF, 28, 15), "page"))),
+    "analyzer_findings": _fact(
+        lambda f: rules.analyzer(search.metrics(search.window(f, AS_OF, 14, 1), "page"), search.metrics(search.window(f, AS_OF, 28, 15), "page"))
+    ),
     "rewrite_impact": _fact(_impact),
     "rewrite_impact_summary": _fact(lambda f: search.impact_summary(_impact(f))),
 }
@@ -66,12 +75,17 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.file_dates(content(spark, sf_dir).withColumn("file_ord", F.col("doc_id")), AS_OF)
-    return corpus.refresh_status(search.baseline(search_analytics(spark, sf_dir), AS_OF), files).withColumn("last_updated", F.col("last_updated").cast("string"))
+    return corpus.refresh_status(
+        search.baseline(search_analytics(spark, sf_dir), AS_OF), files
+    ).withColumn("last_updated", F.col("last_updated").cast("string"))
 
 
 CORPUS: dict[str, Query] = {
     "content_features": _docs(corpus.content_features),
-    "content_audit": lambda s, d: _audit(s, d).select("path", "slug", "bucket", "clicks", "impressions", ctr_pct(F.col("ctr")).alias("ctr_pct"), pos1(F.col("position")).alias("position"), "word_count", "template_count"),
+    "content_audit": lambda s, d: _audit(s, d).select(
+        "path", "slug", "bucket", "clicks", "impressions", ctr_pct(F.col("ctr")).alias("ctr_pct"),
+        pos1(F.col("position")).alias("position"), "word_count", "template_count"
+    ),
     "content_audit_reasons": lambda s, d: _audit(s, d).select("path", "bucket", F.array_join("reasons", " | ").alias("reasons")),
     "audit_bucket_counts": lambda s, d: _audit(s, d).groupBy("bucket").agg(F.count("*").alias("files")),
     "refresh_candidates": _refresh,
@@ -135,7 +149,9 @@ def _content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _broken_link_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each broken url with each file that names it, one row each: such lists have no bound."""
-    broken = network.broken_links(_content_links(spark, sf_dir), _view(spark, sf_dir, derived.LINK_STATUS, "documents"), base_url="https://site.example").where("class = 'broken'")
+    broken = network.broken_links(
+        _content_links(spark, sf_dir), _view(spark, sf_dir, derived.LINK_STATUS, "documents"), base_url="https://site.example"
+    ).where("class = 'broken'")
     return corpus.link_places(content(spark, sf_dir)).distinct().join(broken.select("url", "status"), "url").select("url", "status", "path")
 
 
@@ -162,7 +178,12 @@ def _scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlap = F.when(F.col("n") == 1, 0).when(F.col("n") < 20, 1).otherwise(2)
     asked = F.concat(F.lit("acme topic "), (F.col("doc_id") % 40).cast("string"))
     no = F.lit(False)
-    return rules.scorecard(x.select("path", "words", "density", "internal", "external", F.coalesce("has_article", no).alias("has_article"), F.coalesce("has_faq", no).alias("has_faq"), asked.alias("target_query"), "title", "days", overlap.alias("overlap")))
+    return rules.scorecard(
+        x.select(
+            "path", "words", "density", "internal", "external", F.coalesce("has_article", no).alias("has_article"),
+            F.coalesce("has_faq", no).alias("has_faq"), asked.alias("target_query"), "title", "days", overlap.alias("overlap")
+        )
+    )
 
 
 def _redirect_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,11 +216,15 @@ RULES: dict[str, Query] = {
     "position_drop": _fact(lambda f: gates.position_drop(f, AS_OF)),
     "publish_gaps": _posts(gates.publish_gaps),
     "hourly_budget": _posts(gates.hourly_budget),
-    "sitemap_entries": _posts(lambda p: gates.sitemap_entries(p, "https://example.com", AS_OF).withColumn("last_modified", F.col("last_modified").cast("string"))),
+    "sitemap_entries": _posts(
+        lambda p: gates.sitemap_entries(p, "https://example.com", AS_OF).withColumn("last_modified", F.col("last_modified").cast("string"))
+    ),
     "news_window": _posts(lambda p: gates.news_window(p, datetime(2024, 1, 31))),
     "word_range_gate": _drafts(lambda p: rules.word_range_gate(p.select("slug", "format", F.size(T.words(F.col("text"))).cast("long").alias("word_count")))),
     "internal_link_gate": _docs(lambda c: rules.internal_link_gate(c, corpus.link_edges(c))),
-    "topic_gate": lambda s, d: rules.topic_gate(_view(s, d, derived.DRAFTS, "documents"), search.metrics(search.window(search_analytics(s, d), AS_OF, 28, 1), "query", "page")),
+    "topic_gate": lambda s, d: rules.topic_gate(
+        _view(s, d, derived.DRAFTS, "documents"), search.metrics(search.window(search_analytics(s, d), AS_OF, 28, 1), "query", "page")
+    ),
     "source_gate": lambda s, d: rules.source_gate(_view(s, d, derived.CITED_SOURCES, "pages"), _status(s, d)),
     "contradictions": lambda s, d: rules.contradictions(_view(s, d, derived.STATED_FACTS, "part")),
     "weekly_minimums": _drafts(lambda p: rules.weekly_minimums(p).withColumn("week", F.col("week").cast("string"))),
@@ -215,13 +240,27 @@ RULES: dict[str, Query] = {
     "scorecard": _scorecard,
     "redirect_plan": _redirect_plan,
     "answer_overview": lambda s, d: rules.answer_overview(_view(s, d, derived.OVERVIEWS, "pages")),
-    "submission_summary": lambda s, d: rules.submission_summary(network.submission_batch(table(s, d, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("ord"), "url")).select("url", F.when(F.col("ord") % 7 == 3, "FAIL").otherwise("OK").alias("status"))),
+    "submission_summary": lambda s, d: rules.submission_summary(
+        network.submission_batch(
+            table(s, d, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("ord"), "url")
+        ).select("url", F.when(F.col("ord") % 7 == 3, "FAIL").otherwise("OK").alias("status"))
+    ),
     "content_links": lambda s, d: network.broken_links(_content_links(s, d), _view(s, d, derived.LINK_STATUS, "documents"), base_url="https://site.example"),
-    "external_links": lambda s, d: network.broken_links(_content_links(s, d), _view(s, d, derived.LINK_STATUS, "documents"), base_url="https://site.example", only="external"),
+    "external_links": lambda s, d: network.broken_links(
+        _content_links(s, d), _view(s, d, derived.LINK_STATUS, "documents"), base_url="https://site.example", only="external"
+    ),
     "jsonld_sitemap_issues": _docs(lambda c: jsonld.issues(jsonld.items(c), sitemap=True).where("message LIKE 'Duplicate%'")),
     "broken_link_sources": _broken_link_sources,
     "dir_urls": _docs(lambda c: network.dir_urls(c, "https://site.example")),
-    "page_urls": _drafts(lambda p: p.select("slug", T.page_url(F.when(F.col("channel") < "src5", F.concat(F.lit("/blog/"), "slug")).otherwise(F.concat(F.lit("https://other.example/"), "slug")), "sc-domain:site.example").alias("url"))),
+    "page_urls": _drafts(
+        lambda p: p.select(
+            "slug",
+            T.page_url(
+                F.when(F.col("channel") < "src5", F.concat(F.lit("/blog/"), "slug")).otherwise(F.concat(F.lit("https://other.example/"), "slug")),
+                "sc-domain:site.example"
+            ).alias("url")
+        )
+    ),
     "answer_requests": lambda s, d: network.answer_requests(_answers(s, d), "https://answers.example/search?q="),
     "news_xml": _posts(lambda p: gates.news_xml(gates.news_window(p.withColumn("keywords", F.array("tag1", "tag2")), datetime(2024, 1, 31)), "Acme & Co")),
     "related_posts": _posts(lambda p: corpus.related_posts(p.select("slug", "date", F.array("tag1", "tag2").alias("tags")))),

@@ -39,7 +39,10 @@ TEMPLATES = (
     "(?:represents|marks|signals) a (?:significant|major|important|pivotal|crucial) (?:shift|moment|milestone|turning point)",
 )
 #: Phrases of the content audit (fixed values).
-AUDIT_PHRASES = ("the (?:short|quick) answer", "longer answer is (?:more )?interesting", "let's (?:dive|dig|break|unpack)", "it's worth noting", "what to watch:", "bottom line:", "only time will tell")
+AUDIT_PHRASES = (
+    "the (?:short|quick) answer", "longer answer is (?:more )?interesting", "let's (?:dive|dig|break|unpack)", "it's worth noting",
+    "what to watch:", "bottom line:", "only time will tell"
+)
 #: Facts, T16: entities (fixed values).
 FACTS = (
     r"(?i)\$[\d,.]+\s*(?:billion|million|trillion|B|M|T|K)?",
@@ -96,7 +99,10 @@ def file_text(raw: Column, ext: Column, *, fences: bool = False) -> Column:
     """Text by kind of file; HTML stays raw. `fences` also drops fenced code of markdown."""
     jsx = replaced(raw, ("(?m)^import\\s.+$", ""), ("(?m)^export\\s.+$", ""), ("<[^>]+>", " "), ("\\{[^}]*\\}", " "), ('className="[^"]*"', ""), ("\\s+", " "))
     drop = [("(?s)```.*?```", "")] if fences else []
-    md = replaced(raw, ("(?ms)\\A(.*?)^---.*?---", "$1"), *drop, ("!\\[.*?\\]\\(.*?\\)", ""), ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"), ("#{1,6}\\s", ""), ("[*_`~]", ""))
+    md = replaced(
+        raw, ("(?ms)\\A(.*?)^---.*?---", "$1"), *drop, ("!\\[.*?\\]\\(.*?\\)", ""), ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"), ("#{1,6}\\s", ""),
+        ("[*_`~]", "")
+    )
     return F.when(ext.isin(".tsx", ".jsx"), jsx).when(ext.isin(".md", ".mdx"), md).otherwise(raw)
 
 

@@ -21,7 +21,9 @@ def content_features(content: DataFrame, *, thin: int = 300, own_host: str = "ex
         "path", "slug", F.size(T.words(F.col("_t"), 2)).cast("long").alias("word_count"), (F.size(T.words(F.col("_t"), 2)) < thin).alias("is_thin"),
         T.count_all(F.col("_t"), tuple(f"(?i){p}" for p in T.AUDIT_PHRASES)).cast("long").alias("template_count"),
         F.regexp_count("raw", F.lit(f'href="https?://(?!{own_host})[^"]+"')).cast("long").alias("external_links"),
-        F.col("raw").rlike("application/ld\\+json|jsonLd|articleSchema|faqSchema").alias("has_schema"), F.regexp_count("raw", F.lit("<img |<Image |next/image")).cast("long").alias("image_count"),
+        F.col("raw").rlike(
+            "application/ld\\+json|jsonLd|articleSchema|faqSchema"
+        ).alias("has_schema"), F.regexp_count("raw", F.lit("<img |<Image |next/image")).cast("long").alias("image_count"),
     )
 
 
@@ -30,7 +32,9 @@ def content_audit(features: DataFrame, pages: DataFrame) -> DataFrame:
 
     Of several pages with one slug the last by page counts.
     """
-    by_slug = pages.withColumn("slug", T.url_slug(F.col("page"))).groupBy("slug").agg(F.max_by(F.struct("clicks", "impressions", "ctr", "position"), "page").alias("m")).select("slug", "m.*")
+    by_slug = pages.withColumn("slug", T.url_slug(F.col("page"))).groupBy("slug").agg(
+        F.max_by(F.struct("clicks", "impressions", "ctr", "position"), "page").alias("m")
+    ).select("slug", "m.*")
     x = features.join(by_slug, "slug", "left").na.fill(0, ["clicks", "impressions", "ctr", "position"])
     c = F.col
     bucket = (
@@ -45,10 +49,17 @@ def content_audit(features: DataFrame, pages: DataFrame) -> DataFrame:
     x = x.withColumn("bucket", bucket)
     # Messages (fixed values).
     reasons = F.array_compact(F.array(
-        F.when(c("is_thin"), F.concat(F.lit("Thin content: "), s(c("word_count")), F.lit(" words"))), F.when(c("template_count") >= 2, F.concat(s(c("template_count")), F.lit(" template phrases detected"))),
-        F.when(c("external_links") == 0, "No external links (citation gap)"), F.when(~c("has_schema"), "Missing structured data / schema"), F.when(c("image_count") == 0, "No images"),
+        F.when(c("is_thin"), F.concat(F.lit("Thin content: "), s(c("word_count")), F.lit(" words"))), F.when(
+            c("template_count") >= 2, F.concat(s(c("template_count")), F.lit(" template phrases detected"))
+        ),
+        F.when(
+            c("external_links") == 0, "No external links (citation gap)"
+        ), F.when(~c("has_schema"), "Missing structured data / schema"), F.when(c("image_count") == 0, "No images"),
         F.when((c("clicks") == 0) & (c("impressions") > 0), F.concat(s(c("impressions")), F.lit(" impressions, 0 clicks"))),
-        F.when(c("bucket") == "UPDATE", F.concat(F.lit("Title rewrite candidate: pos "), _number(pos1(c("position"))), F.lit(", "), _number(jsround(c("ctr") * 100.0, 2)), F.lit("% CTR"))),
+        F.when(
+            c("bucket") == "UPDATE",
+            F.concat(F.lit("Title rewrite candidate: pos "), _number(pos1(c("position"))), F.lit(", "), _number(jsround(c("ctr") * 100.0, 2)), F.lit("% CTR"))
+        ),
         F.when(c("bucket") == "PROMOTE", F.concat(F.lit("High performer: "), s(c("clicks")), F.lit(" clicks. Boost with internal links."))),
     ))
     return x.withColumn("reasons", reasons)
@@ -99,7 +110,11 @@ def refresh_status(pages: DataFrame, files: DataFrame, *, stale_days: int = 30,
     reason = F.when(F.size(reasons) == 0, "Page is stale and still getting traffic — refresh to maintain ranking").otherwise(F.array_join(reasons, ". "))
     x = x.withColumn("status", status)
     stale = c("status") == "STALE"
-    return x.select("page", "path", "impressions", "clicks", "ctr_pct", "position", "last_updated", days.cast("long").alias("days_since_update"), "status", F.when(stale, F.when(days >= 2 * stale_days, "CRITICAL").otherwise("HIGH")).alias("urgency"), F.when(stale, reason).alias("reason"))
+    return x.select(
+        "page", "path", "impressions", "clicks", "ctr_pct", "position", "last_updated", days.cast("long").alias("days_since_update"),
+        "status", F.when(stale, F.when(days >= 2 * stale_days, "CRITICAL").otherwise("HIGH")).alias("urgency"),
+        F.when(stale, reason).alias("reason")
+    )
 
 
 # Template fingerprints
@@ -118,7 +133,9 @@ def _template_hits(texts: DataFrame) -> DataFrame:
 
 def pattern_hits(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
     """Matches and files of each known pattern with at least `threshold` matches. One narrow pass counts all patterns."""
-    return _template_hits(texts).groupBy("pattern").agg(F.sum("n").cast("long").alias("matches"), F.countDistinct("path").alias("files")).where(F.col("matches") >= threshold)
+    return _template_hits(texts).groupBy("pattern").agg(
+        F.sum("n").cast("long").alias("matches"), F.countDistinct("path").alias("files")
+    ).where(F.col("matches") >= threshold)
 
 
 def template_summary(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
@@ -150,8 +167,13 @@ def shared_closers(texts: DataFrame, *, threshold: int = 3) -> DataFrame:
 
 def factual_density(content: DataFrame, *, threshold: float = 3, min_words: int = 50) -> DataFrame:
     """T15-T17, C13, P9."""
-    scored = F.transform(F.array(T.file_text(F.col("raw"), F.col("ext"), fences=True)), lambda t: F.struct(t.alias("t"), F.size(T.words(t)).cast("long").alias("n")))
-    x = content.select("path", F.explode(F.filter(scored, lambda s: s["n"] >= min_words)).alias("s")).select("path", F.col("s.n").alias("word_count"), F.col("s.t").alias("_t"))
+    scored = F.transform(
+        F.array(T.file_text(F.col("raw"), F.col("ext"), fences=True)),
+        lambda t: F.struct(t.alias("t"), F.size(T.words(t)).cast("long").alias("n"))
+    )
+    x = content.select(
+        "path", F.explode(F.filter(scored, lambda s: s["n"] >= min_words)).alias("s")
+    ).select("path", F.col("s.n").alias("word_count"), F.col("s.t").alias("_t"))
     x = x.withColumn("fact_count", T.count_all(F.col("_t"), T.FACTS).cast("long")).withColumn("entity_count", T.count_all(F.col("_t"), T.ENTITIES).cast("long"))
     x = x.withColumn("_p", T.paragraphs(F.col("_t"), 50)).withColumn("total_paragraphs", F.size("_p").cast("long"))
     x = x.withColumn("paragraphs_without_facts", F.size(F.filter("_p", lambda p: ~p.rlike(T.any_of(T.FACTS)))).cast("long"))
@@ -165,7 +187,11 @@ def density_summary(density: DataFrame, *, threshold: float = 3) -> DataFrame:
     """Sums of tenths are integers, so the mean does not depend on the order."""
     tenths = F.sum((F.col("density_per_1k") * 10 + 0.5).cast("long"))
     mean = F.floor(tenths.cast("double") / 10.0 / F.nullif(F.count("*"), F.lit(0)) * 10.0 + 0.5) / 10.0
-    return density.agg(F.count("*").alias("files_scored"), mean.alias("avg_density"), F.count_if(F.col("density_per_1k") < threshold).alias("below_threshold"), *[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"])
+    return density.agg(
+        F.count("*").alias("files_scored"), mean.alias("avg_density"),
+        F.count_if(F.col("density_per_1k") < threshold).alias("below_threshold"),
+        *[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"]
+    )
 
 
 # Link graph
@@ -178,13 +204,18 @@ def internal_links(raw: Column, base: str = "") -> Column:
         hrefs = F.transform(hrefs, lambda u: F.when(F.startswith(u, F.lit(base)), F.substr(u, F.lit(len(base) + 1))).otherwise(u))
     slugs = F.transform(F.filter(hrefs, lambda u: F.startswith(u, F.lit("/")) & ~F.startswith(u, F.lit("//"))), T.url_slug)
     slugs = F.filter(slugs, lambda s: s.isNotNull() & ~F.contains(s, F.lit(".")) & ~F.startswith(s, F.lit("#")))
-    quoted = F.filter(F.regexp_extract_all(raw, F.lit("['\"]([a-z0-9](?:[a-z0-9-]*[a-z0-9]))['\"]"), F.lit(1)), lambda s: (F.length(s) > 5) & F.contains(s, F.lit("-")))
+    quoted = F.filter(
+        F.regexp_extract_all(raw, F.lit("['\"]([a-z0-9](?:[a-z0-9-]*[a-z0-9]))['\"]"), F.lit(1)),
+        lambda s: (F.length(s) > 5) & F.contains(s, F.lit("-"))
+    )
     return F.array_union(slugs, quoted)
 
 
 def link_edges(content: DataFrame, base: str = "") -> DataFrame:
     """(src_path, src_slug, dst_slug), distinct for each file, to known slugs other than its own."""
-    edges = content.select(F.col("path").alias("src_path"), F.col("slug").alias("src_slug"), F.explode(internal_links(F.col("raw"), base)).alias("dst_slug")).where("dst_slug <> src_slug")
+    edges = content.select(
+        F.col("path").alias("src_path"), F.col("slug").alias("src_slug"), F.explode(internal_links(F.col("raw"), base)).alias("dst_slug")
+    ).where("dst_slug <> src_slug")
     return edges.join(content.select(F.col("slug").alias("dst_slug")).distinct(), "dst_slug", "left_semi").select("src_path", "src_slug", "dst_slug")
 
 
@@ -195,11 +226,17 @@ def link_degrees(content: DataFrame, base: str = "") -> DataFrame:
     out = edges.groupBy(F.col("src_path").alias("path")).agg(F.count("*").alias("n"))
     outbound = content.select("slug", "path").join(out, "path", "left").groupBy("slug").agg(F.max_by(F.coalesce("n", F.lit(0)), "path").alias("outbound"))
     x = outbound.join(inbound, "slug", "left").select("slug", F.coalesce("inbound", F.lit(0)).alias("inbound"), "outbound")
-    return x.withColumn("class", F.when(F.col("inbound") == 0, "orphan").when(F.col("inbound") == 1, "low").otherwise("linked")).withColumn("dead_end", F.col("outbound") == 0)
+    return x.withColumn(
+        "class", F.when(F.col("inbound") == 0, "orphan").when(F.col("inbound") == 1, "low").otherwise("linked")
+    ).withColumn("dead_end", F.col("outbound") == 0)
 
 
 def link_summary(degrees: DataFrame) -> DataFrame:
-    return degrees.agg(F.count("*").alias("pages"), F.count_if(F.col("class") == "orphan").alias("orphans"), F.count_if(F.col("class") == "low").alias("low_link"), F.count_if(F.col("class") == "linked").alias("well_linked"), F.count_if("dead_end").alias("dead_ends"), F.coalesce(F.sum("inbound"), F.lit(0)).alias("links"))
+    return degrees.agg(
+        F.count("*").alias("pages"), F.count_if(F.col("class") == "orphan").alias("orphans"),
+        F.count_if(F.col("class") == "low").alias("low_link"), F.count_if(F.col("class") == "linked").alias("well_linked"),
+        F.count_if("dead_end").alias("dead_ends"), F.coalesce(F.sum("inbound"), F.lit(0)).alias("links")
+    )
 
 
 def link_places(content: DataFrame) -> DataFrame:
@@ -233,7 +270,9 @@ def related_posts(posts: DataFrame, n: int = 4) -> DataFrame:
     offers = score.join(offered.select(F.col("tags").alias("theirs"), F.col("slug").alias("related"), F.col("date").alias("related_date")), "theirs")
     offers = offers.withColumn("r", best).where(F.col("r") <= n + 1).drop("r", "theirs")
     rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), F.desc("related_date"), "related"))
-    return tagged.drop("date").join(offers, "tags").where("slug <> related").withColumn("rank", rank).where(F.col("rank") <= n).select("slug", "rank", "related", "score")
+    return tagged.drop("date").join(offers, "tags").where("slug <> related").withColumn("rank", rank).where(F.col("rank") <= n).select(
+        "slug", "rank", "related", "score"
+    )
 
 
 def insert_links(content: DataFrame, targets: list[tuple[list[str], str]], *, text: str = "raw", most: int = 5) -> DataFrame:

@@ -11,13 +11,30 @@ from ..functions import text as T
 
 #: G1: blocked phrases by category; G2: phrases that reject; H3: parts of injected links; D1: words that titles avoid (fixed values).
 BLOCKED = {
-    "hedging": ["it's worth noting", "it's worth mentioning", "it's important to note", "it's crucial to understand", "it remains to be seen", "only time will tell", "there's no denying", "while it's too early to say", "whether this will succeed remains unclear"],
-    "templateOpeners": ["the short answer is", "the quick answer is", "that's the short answer", "the longer answer is more interesting", "let's dive in", "let's dig in", "let's unpack this", "let's break this down", "in this article, we'll explore", "in today's post", "if you've been following"],
+    "hedging": [
+        "it's worth noting", "it's worth mentioning", "it's important to note", "it's crucial to understand", "it remains to be seen",
+        "only time will tell", "there's no denying", "while it's too early to say", "whether this will succeed remains unclear"
+    ],
+    "templateOpeners": [
+        "the short answer is", "the quick answer is", "that's the short answer", "the longer answer is more interesting", "let's dive in",
+        "let's dig in", "let's unpack this", "let's break this down", "in this article, we'll explore", "in today's post",
+        "if you've been following"
+    ],
     "templateClosers": ["what to watch:", "the bottom line:", "the takeaway here is", "looking ahead,", "looking forward,"],
-    "filler": ["in an era of", "in a world where", "in today's landscape", "the rapidly evolving landscape", "the shifting landscape", "at the intersection of", "at the crossroads of", "represents a significant shift", "marks a pivotal moment", "signals a major milestone"],
-    "metaCommentary": ["in this article", "in this post", "in this piece", "we'll explore", "we'll examine", "we'll look at", "as we discussed", "as mentioned earlier"],
+    "filler": [
+        "in an era of", "in a world where", "in today's landscape", "the rapidly evolving landscape", "the shifting landscape",
+        "at the intersection of", "at the crossroads of", "represents a significant shift", "marks a pivotal moment",
+        "signals a major milestone"
+    ],
+    "metaCommentary": [
+        "in this article", "in this post", "in this piece", "we'll explore", "we'll examine", "we'll look at", "as we discussed",
+        "as mentioned earlier"
+    ],
 }
-REJECTED = ["the longer answer is more interesting", "that's the short answer", "let's dive in", "it's worth noting", "only time will tell", "it remains to be seen", "in this article, we'll explore"]
+REJECTED = [
+    "the longer answer is more interesting", "that's the short answer", "let's dive in", "it's worth noting", "only time will tell",
+    "it remains to be seen", "in this article, we'll explore"
+]
 INJECTED = ["_bhiiv=", "_bhlid=", "bhcl_id=", "ref.getviktor", "advertising.roku"]
 BANNED = ["guide", "ultimate", "complete", "comprehensive", "definitive", "everything you need to know", "beginner's guide", "deep dive", "a closer look"]
 
@@ -25,7 +42,12 @@ BANNED = ["guide", "ultimate", "complete", "comprehensive", "definitive", "every
 def blocklist_hits(content: DataFrame, blocked: dict[str, list[str]] = BLOCKED) -> DataFrame:
     """G1: files by category and phrase."""
     low = F.lower("raw")
-    hits = F.array(*[F.struct(F.lit(k).alias("category"), F.lit(p).alias("phrase"), F.contains(F.col("_l"), F.lit(p)).alias("hit")) for k, ps in blocked.items() for p in ps])
+    hits = F.array(
+        *[
+            F.struct(F.lit(k).alias("category"), F.lit(p).alias("phrase"), F.contains(F.col("_l"), F.lit(p)).alias("hit")) for k,
+            ps in blocked.items() for p in ps
+        ]
+    )
     rows = content.withColumn("_l", low).select("path", F.explode(F.filter(hits, lambda h: h["hit"])).alias("h"))
     return rows.groupBy("h.category", "h.phrase").agg(F.count("*").alias("files"))
 
@@ -45,7 +67,10 @@ def before(posts: DataFrame, order: list[str], bucket: Column, value: str, n: in
     tails = x.withColumn("_r", back).where(F.col("_r") <= n)
     upto = F.collect_list(value).over(Window.partitionBy("channel").orderBy(*order).rowsBetween(1 - n, 0))
     ends = tails.withColumn("_upto", upto).where("_r = 1").select("channel", "_b", "_upto")
-    carried = ends.select(F.col("channel").alias("_c"), F.col("_b").alias("_k"), F.lag("_upto").over(Window.partitionBy("channel").orderBy("_b")).alias("_carried")).where("_carried is not null")
+    carried = ends.select(
+        F.col("channel").alias("_c"), F.col("_b").alias("_k"),
+        F.lag("_upto").over(Window.partitionBy("channel").orderBy("_b")).alias("_carried")
+    ).where("_carried is not null")
     own = F.collect_list(value).over(Window.partitionBy("channel", "_b").orderBy(*order).rowsBetween(-n, -1))
     x = x.withColumn("_own", own).join(carried, F.col("channel").eqNullSafe(F.col("_c")) & F.col("_b").eqNullSafe(F.col("_k")), "left")
     both = F.concat(F.coalesce("_carried", F.slice("_own", 1, 0)), F.col("_own"))
@@ -82,16 +107,27 @@ def health_checks(content: DataFrame, *, thin: int = 300) -> DataFrame:
 def title_rules(titles: DataFrame) -> DataFrame:
     """Rules that each title (slug, title) meets."""
     low, first = F.lower("title"), F.regexp_extract("title", "^[^ ]+", 0)
-    hook = F.when(first.contains("$"), "dollar").when(first.contains("%"), "percentage").when(first.rlike("[0-9]x\\z"), "multiplier").when(first.rlike("^[0-9]"), "count")
+    hook = F.when(first.contains("$"), "dollar").when(first.contains("%"), "percentage").when(
+        first.rlike("[0-9]x\\z"), "multiplier"
+    ).when(first.rlike("^[0-9]"), "count")
     banned = F.exists(F.array(*map(F.lit, BANNED)), lambda p: F.contains(low, p))
-    return titles.select("slug", "title", (F.length("title") <= 60).alias("short"), F.col("title").rlike("^[$]?[0-9]").alias("number_first"), F.contains("title", F.lit(" — ")).alias("separated"), banned.alias("banned_word"), hook.alias("hook"))
+    return titles.select(
+        "slug", "title", (F.length("title") <= 60).alias("short"), F.col("title").rlike("^[$]?[0-9]").alias("number_first"),
+        F.contains("title", F.lit(" — ")).alias("separated"), banned.alias("banned_word"), hook.alias("hook")
+    )
 
 
 def expand_keywords(patterns: DataFrame, entities: DataFrame, years: list[int]) -> DataFrame:
     """Q1: patterns x entities x years; three small rule tables, so a cross product is the feature."""
-    y = patterns.select("pattern", F.explode(F.when(F.contains("pattern", F.lit("{year}")), F.array(*map(F.lit, years))).otherwise(F.array(F.lit(years[0])))).alias("year"))
+    y = patterns.select(
+        "pattern",
+        F.explode(F.when(F.contains("pattern", F.lit("{year}")), F.array(*map(F.lit, years))).otherwise(F.array(F.lit(years[0])))).alias("year")
+    )
     k = y.crossJoin(entities)
-    return k.select("pattern", "entity", F.replace(F.replace("pattern", F.lit("{company}"), F.col("entity")), F.lit("{year}"), F.col("year").cast("string")).alias("keyword"))
+    return k.select(
+        "pattern", "entity",
+        F.replace(F.replace("pattern", F.lit("{company}"), F.col("entity")), F.lit("{year}"), F.col("year").cast("string")).alias("keyword")
+    )
 
 
 def slug_jitter(slugs: DataFrame) -> DataFrame:
@@ -128,8 +164,13 @@ def hourly_budget(posts: DataFrame, *, most: int = 2) -> DataFrame:
 def sitemap_entries(posts: DataFrame, base_url: str, as_of: date) -> DataFrame:
     """K5: (url, last_modified, change_frequency, priority) of fixed pages and posts (slug, date, last_updated)."""
     spark = posts.sparkSession
-    fixed = spark.createDataFrame([(base_url, 1.0), (f"{base_url}/blog", 0.9), (f"{base_url}/blog/all", 0.8)], "url string, priority double").select("url", F.lit(as_of).alias("last_modified"), F.lit("daily").alias("change_frequency"), "priority")
-    own = posts.select(F.concat(F.lit(f"{base_url}/blog/"), F.col("slug")).alias("url"), F.coalesce("last_updated", "date").alias("last_modified"), F.lit("weekly").alias("change_frequency"), F.lit(0.7).alias("priority"))
+    fixed = spark.createDataFrame(
+        [(base_url, 1.0), (f"{base_url}/blog", 0.9), (f"{base_url}/blog/all", 0.8)], "url string, priority double"
+    ).select("url", F.lit(as_of).alias("last_modified"), F.lit("daily").alias("change_frequency"), "priority")
+    own = posts.select(
+        F.concat(F.lit(f"{base_url}/blog/"), F.col("slug")).alias("url"), F.coalesce("last_updated", "date").alias("last_modified"),
+        F.lit("weekly").alias("change_frequency"), F.lit(0.7).alias("priority")
+    )
     return fixed.unionByName(own)
 
 

@@ -38,7 +38,11 @@ def items(content: DataFrame) -> DataFrame:
     blocks = content.select("path", F.posexplode(F.regexp_extract_all("raw", F.lit(SCRIPT), F.lit(1))).alias("block", "body"))
     v = F.expr("try_parse_json(body)")
     graph = _get("_v", "@graph")
-    parts = F.expr(f"CASE WHEN _v IS NULL OR is_variant_null(_v) THEN array(cast(NULL AS variant)) WHEN try_variant_get(_v, '$', 'array<variant>') IS NOT NULL THEN try_variant_get(_v, '$', 'array<variant>') WHEN {_truthy(graph)} THEN coalesce({_get('_v', '@graph', 'array<variant>')}, array(cast(NULL AS variant))) ELSE array(_v) END")
+    parts = F.expr(
+        f"CASE WHEN _v IS NULL OR is_variant_null(_v) THEN array(cast(NULL AS variant)) WHEN try_variant_get(_v, '$', 'array<variant>') IS NOT NULL THEN try_variant_get(_v, '$', 'array<variant>') WHEN {_truthy(graph)} THEN coalesce({
+            _get('_v', '@graph', 'array<variant>')
+        }, array(cast(NULL AS variant))) ELSE array(_v) END"
+    )
     each = blocks.withColumn("_v", v).select("path", "block", F.posexplode(parts).alias("item", "v"))
     kind = F.expr("""coalesce(nullif(coalesce(try_variant_get(v, '$["@type"][0]', 'string'), try_variant_get(v, '$["@type"]', 'string')), ''), 'Unknown')""")
     return each.withColumn("type", F.when(F.expr("v IS NULL OR is_variant_null(v)"), "ParseError").otherwise(kind))
@@ -67,13 +71,25 @@ def issues(found: DataFrame, *, sitemap: bool = False) -> DataFrame:
     headline = F.expr(_get("v", "headline", "string"))
     rules += [
         _issue(article & weak, "warn", F.concat(kind, F.lit(" author missing sameAs/url (weakens E-E-A-T entity)"))),
-        _issue(article & (F.length(headline) > 110), "warn", F.concat(kind, F.lit(" headline too long ("), F.length(headline).cast("string"), F.lit(" chars, Google truncates at ~110)"))),
+        _issue(
+            article & (F.length(headline) > 110), "warn",
+            F.concat(kind, F.lit(" headline too long ("), F.length(headline).cast("string"), F.lit(" chars, Google truncates at ~110)"))
+        ),
         _issue((kind == "Dataset") & F.expr(no("temporalCoverage")), "warn", "Dataset missing temporalCoverage (helps Google Dataset Search)"),
         _issue((kind == "Dataset") & F.expr(no("variableMeasured")), "warn", "Dataset missing variableMeasured"),
     ]
-    questions = F.expr(f"CASE WHEN type = 'FAQPage' AND {_truthy(_get('v', 'mainEntity'))} THEN coalesce({_get('v', 'mainEntity', 'array<variant>')}, array({_get('v', 'mainEntity')})) ELSE array() END")
+    questions = F.expr(
+        f"CASE WHEN type = 'FAQPage' AND {_truthy(_get('v', 'mainEntity'))} THEN coalesce({
+            _get('v', 'mainEntity', 'array<variant>')
+        }, array({_get('v', 'mainEntity')})) ELSE array() END"
+    )
     x = found.withColumn("_q", questions)
-    rules.append(_issue(F.size("_q") > 5, "warn", F.concat(F.lit("FAQPage has "), F.size("_q").cast("string"), F.lit(" questions (max 5 — extras get ignored by Google's parser)"))))
+    rules.append(
+        _issue(
+            F.size("_q") > 5, "warn",
+            F.concat(F.lit("FAQPage has "), F.size("_q").cast("string"), F.lit(" questions (max 5 — extras get ignored by Google's parser)"))
+        )
+    )
     answer = """coalesce(try_variant_get(q, '$.acceptedAnswer.text', 'string'), '')"""
     n = f"size(filter(split({answer}, '\\\\s+'), w -> w <> ''))"
     none = "cast(NULL AS struct<severity: string, message: string>)"
@@ -86,7 +102,10 @@ def issues(found: DataFrame, *, sitemap: bool = False) -> DataFrame:
     often = found.where("type <> 'ParseError'").groupBy("path", "type").agg(F.count("*").alias("n")).where("n > 1")
     why = " — triggers rich result suppression" if sitemap else " — duplicate FAQPage triggers Google penalty suppressing ALL rich results"
     extra = F.when(kind == "FAQPage", why).otherwise("")
-    twice = often.select("path", "type", F.when(kind == "FAQPage", "error").otherwise("warn").alias("severity"), F.concat(F.lit("Duplicate "), kind, F.lit(" schema (found "), F.col("n").cast("string"), F.lit(")"), extra).alias("message"))
+    twice = often.select(
+        "path", "type", F.when(kind == "FAQPage", "error").otherwise("warn").alias("severity"),
+        F.concat(F.lit("Duplicate "), kind, F.lit(" schema (found "), F.col("n").cast("string"), F.lit(")"), extra).alias("message")
+    )
     return own.unionByName(twice)
 
 
@@ -98,4 +117,7 @@ def summary(content: DataFrame) -> DataFrame:
     missing = F.array_except(F.array(*map(F.lit, SITE_TYPES)), "t")
     scanned = content.agg(F.count("*").alias("total_scanned"))
     have = found.agg(F.countDistinct("path").alias("with_schemas"))
-    return reduce(lambda a, b: a.crossJoin(b), (scanned, have, i, types)).select("total_scanned", "with_schemas", "errors", "warnings", F.array_join("t", ",").alias("schema_types"), F.array_join(missing, ",").alias("missing_types"))
+    return reduce(lambda a, b: a.crossJoin(b), (scanned, have, i, types)).select(
+        "total_scanned", "with_schemas", "errors", "warnings", F.array_join("t", ",").alias("schema_types"),
+        F.array_join(missing, ",").alias("missing_types")
+    )

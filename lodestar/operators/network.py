@@ -23,7 +23,9 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
 def dir_urls(content: DataFrame, base_url: str, root: str = "/content") -> DataFrame:
     """Urls of files: path under root without extension and without a last /index."""
     rel = F.regexp_replace(F.regexp_replace("path", f"^{root}/?", ""), "\\.(mdx|md|tsx|jsx)\\z", "")
-    return content.where(F.col("path").rlike("\\.(mdx|md|tsx|jsx)\\z")).select(F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_replace(rel, "/index\\z", "")).alias("url"))
+    return content.where(F.col("path").rlike("\\.(mdx|md|tsx|jsx)\\z")).select(
+        F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_replace(rel, "/index\\z", "")).alias("url")
+    )
 
 
 def list_items(lines: DataFrame) -> DataFrame:
@@ -35,7 +37,9 @@ def list_items(lines: DataFrame) -> DataFrame:
 def redirect_report(urls: DataFrame, status: DataFrame) -> DataFrame:
     """Each url's class: ok, redirect (300-399), not_found (404), error (no status), other."""
     s = F.col("status")
-    kind = F.when(s.between(300, 399), "redirect").when(s == 404, "not_found").when(F.coalesce(s, F.lit(0)) == 0, "error").when(s == 200, "ok").otherwise("other")
+    kind = F.when(s.between(300, 399), "redirect").when(s == 404, "not_found").when(
+        F.coalesce(s, F.lit(0)) == 0, "error"
+    ).when(s == 200, "ok").otherwise("other")
     return urls.join(status, "url", "left").select("url", "status", kind.alias("class"), F.when(kind == "redirect", F.col("location")).alias("target"))
 
 
@@ -67,7 +71,9 @@ def citations(queries: DataFrame, answers: DataFrame, domain: str) -> DataFrame:
 def citation_rate(found: DataFrame) -> DataFrame:
     """NULL without queries."""
     rate = to_long(F.col("cited").cast("double") / F.nullif(F.col("queries_tested"), F.lit(0)) * 100.0)
-    return found.agg(F.count("*").alias("queries_tested"), F.count_if("cited").alias("cited"), F.count_if("linked").alias("linked")).withColumn("citation_rate", rate)
+    return found.agg(
+        F.count("*").alias("queries_tested"), F.count_if("cited").alias("cited"), F.count_if("linked").alias("linked")
+    ).withColumn("citation_rate", rate)
 
 
 def submission_batch(urls: DataFrame, *, quota: int = QUOTA) -> DataFrame:
@@ -81,7 +87,9 @@ def redirect_chains(status: DataFrame, *, most_hops: int = 10) -> DataFrame:
     now = hop.select("url", F.col("location").alias("at"), F.lit(1).alias("hops"))
     step = hop.select(F.col("url").alias("at"), F.col("location").alias("to"))
     for _ in range(most_hops - 1):
-        now = now.join(step, "at", "left").select("url", F.coalesce("to", "at").alias("at"), (F.col("hops") + F.col("to").isNotNull().cast("int")).alias("hops"))
+        now = now.join(step, "at", "left").select(
+            "url", F.coalesce("to", "at").alias("at"), (F.col("hops") + F.col("to").isNotNull().cast("int")).alias("hops")
+        )
     return now.select("url", F.col("at").alias("final_url"), "hops")
 
 
@@ -95,7 +103,10 @@ AGENT = {"User-Agent": "Mozilla/5.0 (compatible; lodestar)"}
 TIMEOUT = 15.0
 
 
-def request(url: str, *, method: str = "GET", follow: bool = True, timeout: float | None = TIMEOUT, body: bytes | None = None, headers: dict[str, str] | None = None) -> dict:
+def request(
+    url: str, *, method: str = "GET", follow: bool = True, timeout: float | None = TIMEOUT, body: bytes | None = None,
+    headers: dict[str, str] | None = None
+) -> dict:
     """One request as a row of URL_STATUS, with html for GET. Redirects are followed or reported; a request that takes
     too long has the error TIMEOUT, another that fails its message, and both no status."""
     import socket

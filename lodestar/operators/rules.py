@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a post by format, least and most; W7: posts of a format in a week at least (fixed values).
-WORD_RANGES = {"deep-explainer": (1200, 1700), "news-analysis": (900, 1200), "ranked-list": (850, 1200), "question-led": (850, 1100), "contrarian-take": (900, 1400)}
+WORD_RANGES = {
+    "deep-explainer": (1200, 1700), "news-analysis": (900, 1200), "ranked-list": (850, 1200), "question-led": (850, 1100),
+    "contrarian-take": (900, 1400)
+}
 WEEKLY_MINIMUM = {"ranked-list": 2, "question-led": 2, "deep-explainer": 1}
 #: Days after which a page of a kind is stale (fixed values).
 STALE_DAYS = {"newsContent": 7, "dataPages": 14, "companyProfiles": 30, "evergreenGuides": 60}
@@ -40,7 +43,9 @@ def word_range_gate(posts: DataFrame) -> DataFrame:
 def internal_link_gate(content: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:
     """Files (path) with the number of existing pages that they link to (edges: src_path), and a warning under `least`."""
     n = edges.groupBy(F.col("src_path").alias("path")).agg(F.count("*").alias("n"))
-    return content.select("path").join(n, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("links"), (F.coalesce("n", F.lit(0)) < least).alias("warn"))
+    return content.select("path").join(n, "path", "left").select(
+        "path", F.coalesce("n", F.lit(0)).alias("links"), (F.coalesce("n", F.lit(0)) < least).alias("warn")
+    )
 
 
 def topic_gate(drafts: DataFrame, ranking: DataFrame) -> DataFrame:
@@ -65,7 +70,10 @@ def source_gate(sources: DataFrame, status: DataFrame) -> DataFrame:
 
 def contradictions(facts: DataFrame) -> DataFrame:
     """(entity, metric) for which posts state several values; facts is (slug, entity, metric, value)."""
-    g = facts.groupBy("entity", "metric").agg(F.countDistinct("value").alias("stated"), F.countDistinct("slug").alias("posts"), F.min("value").alias("least"), F.max("value").alias("most"))
+    g = facts.groupBy("entity", "metric").agg(
+        F.countDistinct("value").alias("stated"), F.countDistinct("slug").alias("posts"), F.min("value").alias("least"),
+        F.max("value").alias("most")
+    )
     return g.where("stated > 1")
 
 
@@ -87,7 +95,9 @@ def build_days(builds: DataFrame, *, most: int = 8) -> DataFrame:
 def build_decision(commits: DataFrame) -> DataFrame:
     """Whether a commit (id, subject, files: array, NULL where unknown) calls for a build."""
     code = F.exists("files", lambda f: ~f.rlike(CONTENT_FILES))
-    decision = F.when(F.contains("subject", F.lit(SKIP_TAG)), False).when(F.contains("subject", F.lit(BUILD_TAG)), True).otherwise(F.coalesce(code, F.lit(True)))
+    decision = F.when(
+        F.contains("subject", F.lit(SKIP_TAG)), False
+    ).when(F.contains("subject", F.lit(BUILD_TAG)), True).otherwise(F.coalesce(code, F.lit(True)))
     return commits.select("id", decision.alias("build"))
 
 
@@ -109,7 +119,9 @@ def dead_pages(urls: DataFrame, status: DataFrame) -> DataFrame:
 
 def old_news(stories: DataFrame, as_of: datetime, *, hours: int = 48) -> DataFrame:
     """H4, O2: entries of a news sitemap (slug, published_at) older than `hours`."""
-    return stories.where(F.col("published_at") <= F.lit(as_of - timedelta(hours=hours)).cast("timestamp_ntz")).select("slug", F.col("published_at").cast("string").alias("published_at"))
+    return stories.where(
+        F.col("published_at") <= F.lit(as_of - timedelta(hours=hours)).cast("timestamp_ntz")
+    ).select("slug", F.col("published_at").cast("string").alias("published_at"))
 
 
 def slug_collisions(posts: DataFrame, redirects: DataFrame, *, prefix: str = "/blog/") -> DataFrame:
@@ -159,9 +171,13 @@ def scorecard(pages: DataFrame) -> DataFrame:
     asked = F.filter(F.split(F.lower("target_query"), "\\s+"), lambda w: w != "")
     found = F.size(F.filter(asked, lambda w: F.array_contains(F.split(F.lower("title"), "[^a-z0-9]+"), w)))
     marks = {
-        "words": mark(c("words") >= 800, c("words") >= 400), "density": mark(c("density") >= 3, c("density") >= 1), "internal": mark(c("internal") >= 2, c("internal") == 1),
+        "words": mark(c("words") >= 800, c("words") >= 400), "density": mark(c("density") >= 3, c("density") >= 1), "internal": mark(
+            c("internal") >= 2, c("internal") == 1
+        ),
         "external": mark(c("external") >= 2, c("external") == 1), "schema": mark(c("has_article") & c("has_faq"), c("has_article")),
-        "keyword": mark((found == F.size(asked)) & (found > 0), found > 0), "freshness": mark(c("days") < 90, c("days") <= 180), "unique": mark(c("overlap") == 0, c("overlap") == 1),
+        "keyword": mark(
+            (found == F.size(asked)) & (found > 0), found > 0
+        ), "freshness": mark(c("days") < 90, c("days") <= 180), "unique": mark(c("overlap") == 0, c("overlap") == 1),
     }
     x = pages.select("path", *[m.alias(f"{k}_mark") for k, m in marks.items()])
     return x.withColumn("total", sum((F.col(f"{k}_mark") for k in list(marks)[1:]), F.col("words_mark")))
@@ -175,13 +191,17 @@ def analyzer(now: DataFrame, before: DataFrame, *, min_impressions: int = 1000)
         ((c("impressions") >= min_impressions) & (c("ctr") < 0.02), "low_ctr"), (c("position").between(4, 10), "quick_win"),
         (c("position") - c("_was") > 3, "declining"), ((c("impressions") > 0) & (c("clicks") == 0), "zero_click"),
     ]
-    return x.select("page", "impressions", F.array_join(F.array_compact(F.array(*[F.when(k, v) for k, v in holds])), ",").alias("findings")).where("findings <> ''")
+    return x.select(
+        "page", "impressions", F.array_join(F.array_compact(F.array(*[F.when(k, v) for k, v in holds])), ",").alias("findings")
+    ).where("findings <> ''")
 
 
 def redirect_plan(pages: DataFrame) -> DataFrame:
     """L3: pages (path, words, days, impressions) to remove, and paths with a version number in them to rename."""
     c = F.col
-    action = F.when((c("words") < 400) & (c("days") > 180) & (c("impressions") < 50), "remove").when(c("path").rlike("[-/]v[0-9]+(?:[-./]|$)"), "drop the version")
+    action = F.when(
+        (c("words") < 400) & (c("days") > 180) & (c("impressions") < 50), "remove"
+    ).when(c("path").rlike("[-/]v[0-9]+(?:[-./]|$)"), "drop the version")
     return pages.select("path", action.alias("action")).where("action is not null")
 
 

@@ -51,7 +51,9 @@ REFRESH = f"""{FILES},
  r AS (SELECT pg.*, m.path, m.last_updated, m.days AS days_since_update, CASE WHEN m.path IS NULL THEN 'UNMATCHED' WHEN m.days >= 30 THEN 'STALE' ELSE 'HEALTHY' END AS status FROM pg LEFT JOIN m ON m.page = pg.page AND m.rn = 1)"""
 REASON = """coalesce(nullif(concat_ws('. ', CASE WHEN days_since_update >= 60 THEN 'Content is significantly outdated — Google may be deprioritizing for freshness' END, CASE WHEN impressions > 5000 AND ctr_pct < 0.5e0 THEN 'High impressions but very low CTR — title may need refreshing alongside content' END,
  CASE WHEN position BETWEEN 4 AND 10 THEN 'Ranking on page 1 — a refresh could push to top 3' END, CASE WHEN position > 10 AND position <= 20 THEN 'Page 2 — a content refresh with updated data could break back to page 1' END), ''), 'Page is stale and still getting traffic — refresh to maintain ranking')"""
-HITS = f"{C}, t AS (SELECT path, {TEXT} AS text FROM c), h AS (" + " UNION ALL ".join(f"SELECT path, {q(p)} AS pattern, len(regexp_extract_all(text, {q('(?i)' + p)})) AS n FROM t" for p in TEMPLATES) + ")"
+HITS = f"{C}, t AS (SELECT path, {TEXT} AS text FROM c), h AS (" + " UNION ALL ".join(
+    f"SELECT path, {q(p)} AS pattern, len(regexp_extract_all(text, {q('(?i)' + p)})) AS n FROM t" for p in TEMPLATES
+) + ")"
 GRAMS = f"""{C}, t AS (SELECT path, {TEXT} AS text FROM c), s AS (SELECT path, unnest(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: lower({trim('x')})), lambda x: length(x) > 20)) AS s FROM t),
  w AS (SELECT path, string_split_regex(s, '\\s+') AS w FROM s), g AS (SELECT DISTINCT path, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS ngram FROM w WHERE len(w) >= 5)"""
 PARAS = "list_filter(list_transform(string_split_regex({t}, '\\n\\n+'), lambda p: {trim}), lambda p: length(p) > {n})"
@@ -77,9 +79,13 @@ def oracles() -> dict[str, str]:
         "template_pattern_hits": f"{HITS} SELECT pattern, cast(sum(n) AS bigint) AS matches, count(DISTINCT path) AS files FROM h WHERE n > 0 GROUP BY pattern HAVING sum(n) >= 3",
         "template_summary": f"{HITS}, o AS (SELECT pattern FROM h GROUP BY pattern HAVING sum(n) >= 3), f AS (SELECT count(DISTINCT path) AS files_with_hits FROM h WHERE n > 0 AND pattern IN (SELECT pattern FROM o)) SELECT (SELECT count(*) FROM c) AS files_scanned, files_with_hits, cast(floor(cast(files_with_hits AS double) / (SELECT count(*) FROM c) * 1e2 + 0.5e0) AS bigint) AS pct_affected FROM f",
         "repeated_ngrams": f"{GRAMS} SELECT ngram, count(*) AS files FROM g GROUP BY ngram HAVING count(*) >= 3",
-        "shared_closers": f"{C}, t AS (SELECT path, {TEXT} AS text FROM c), p AS (SELECT path, {PARAS.format(t='text', trim=trim('p'), n=30)} AS ps FROM t), k AS (SELECT path, {trim('lower(right(ps[-1], 60))')} AS closer FROM p WHERE len(ps) > 0) SELECT closer, count(*) AS files FROM k GROUP BY closer HAVING count(*) >= 3",
+        "shared_closers": f"{C}, t AS (SELECT path, {TEXT} AS text FROM c), p AS (SELECT path, {
+            PARAS.format(t='text', trim=trim('p'), n=30)
+        } AS ps FROM t), k AS (SELECT path, {trim('lower(right(ps[-1], 60))')} AS closer FROM p WHERE len(ps) > 0) SELECT closer, count(*) AS files FROM k GROUP BY closer HAVING count(*) >= 3",
         "factual_density": f"{DENSITY} SELECT * FROM e",
-        "density_grades": f"{DENSITY} SELECT count(*) AS files_scored, floor(cast(sum(cast(floor(density_per_1k * 10 + 0.5e0) AS bigint)) AS double) / 1e1 / count(*) * 1e1 + 0.5e0) / 1e1 AS avg_density, count(*) FILTER (density_per_1k < 3) AS below_threshold, " + ", ".join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in "ABCDF") + " FROM e",
+        "density_grades": f"{DENSITY} SELECT count(*) AS files_scored, floor(cast(sum(cast(floor(density_per_1k * 10 + 0.5e0) AS bigint)) AS double) / 1e1 / count(*) * 1e1 + 0.5e0) / 1e1 AS avg_density, count(*) FILTER (density_per_1k < 3) AS below_threshold, " + ", ".join(
+            f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in "ABCDF"
+        ) + " FROM e",
         "link_edges": f"{EDGES} SELECT * FROM e",
         "link_degrees": f"{DEGREES} SELECT * FROM k",
         "orphan_pages": f"{DEGREES} SELECT slug, outbound FROM k WHERE class = 'orphan'",

@@ -36,7 +36,10 @@ def any_of(x: str, phrases: list[str]) -> str:
 
 
 def oracles() -> dict[str, str]:
-    hits = " UNION ALL ".join(f"SELECT {q(k)} AS category, {q(p)} AS phrase, count(*) AS files FROM l WHERE contains(t, {q(p)})" for k, ps in BLOCKED.items() for p in ps)
+    hits = " UNION ALL ".join(
+        f"SELECT {q(k)} AS category, {q(p)} AS phrase, count(*) AS files FROM l WHERE contains(t, {q(p)})" for k,
+        ps in BLOCKED.items() for p in ps
+    )
     hexfold = "(SELECT list_reduce(list_prepend(0, list_transform(range(1, 41), lambda i: cast(strpos('0123456789abcdef', substr(sha1(slug), i, 1)) - 1 AS bigint))), lambda a, h: (a * 16 + h) % 14))"
     return {
         "jsonld_items": f"{ITEMS} SELECT path, block, 0 AS item, type FROM k",
@@ -54,8 +57,12 @@ def oracles() -> dict[str, str]:
         "blocklist_hits": f"{C}, l AS (SELECT lower(raw) AS t FROM c), h AS ({hits}) SELECT * FROM h WHERE files > 0",
         "closer_gate": f"{P}, w AS (SELECT channel, slug, closer, list(closer) OVER (PARTITION BY channel ORDER BY ord ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS b FROM p), s AS (SELECT channel, slug, coalesce(len(list_filter(b, lambda c: c = closer)), 0) AS same, coalesce(len(b), 0) AS looked_at FROM w) SELECT *, CASE WHEN looked_at = 0 THEN false ELSE cast(same AS double) / looked_at > 0.4e0 END AS reject FROM s",
         "format_gate": f"{P} SELECT channel, slug, format, coalesce(lag(format) OVER (PARTITION BY channel ORDER BY ord) = format, false) AS repeats FROM p",
-        "health_checks": f"""{C} SELECT path, regexp_matches(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '\\$\\{{[A-Za-z_]+\\}}|\\[object Object\\]') AS variable_leak, {any_of('raw', INJECTED)} AS injected_link, regexp_matches(raw, '<p></p>|<p><p>') AS empty_paragraph, NOT contains(raw, 'application/ld+json') AS missing_schema, len(list_filter(string_split_regex({AUDIT_TEXT}, '\\s+'), lambda w: length(w) > 1)) < 300 AS thin, {any_of('lower(raw)', REJECTED)} AS template_phrase FROM c""",
-        "title_rules": f"""{P} SELECT slug, headline AS title, length(headline) <= 60 AS short, regexp_matches(headline, '^[$]?[0-9]') AS number_first, contains(headline, ' — ') AS separated, {any_of('lower(headline)', BANNED)} AS banned_word, CASE WHEN contains(string_split(headline, ' ')[1], '$') THEN 'dollar' WHEN contains(string_split(headline, ' ')[1], '%') THEN 'percentage' WHEN regexp_matches(string_split(headline, ' ')[1], '[0-9]x$') THEN 'multiplier' WHEN regexp_matches(headline, '^[0-9]') THEN 'count' END AS hook FROM p""",
+        "health_checks": f"""{C} SELECT path, regexp_matches(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '\\$\\{{[A-Za-z_]+\\}}|\\[object Object\\]') AS variable_leak, {any_of('raw', INJECTED)} AS injected_link, regexp_matches(raw, '<p></p>|<p><p>') AS empty_paragraph, NOT contains(raw, 'application/ld+json') AS missing_schema, len(list_filter(string_split_regex({AUDIT_TEXT}, '\\s+'), lambda w: length(w) > 1)) < 300 AS thin, {
+            any_of('lower(raw)', REJECTED)
+        } AS template_phrase FROM c""",
+        "title_rules": f"""{P} SELECT slug, headline AS title, length(headline) <= 60 AS short, regexp_matches(headline, '^[$]?[0-9]') AS number_first, contains(headline, ' — ') AS separated, {
+            any_of('lower(headline)', BANNED)
+        } AS banned_word, CASE WHEN contains(string_split(headline, ' ')[1], '$') THEN 'dollar' WHEN contains(string_split(headline, ' ')[1], '%') THEN 'percentage' WHEN regexp_matches(string_split(headline, ' ')[1], '[0-9]x$') THEN 'multiplier' WHEN regexp_matches(headline, '^[0-9]') THEN 'count' END AS hook FROM p""",
         "keyword_expansion": """WITH k AS (SELECT * FROM (VALUES ('{company} IPO'), ('{company} IPO date {year}'), ('{company} revenue {year}')) t(pattern)), y AS (SELECT pattern, unnest(CASE WHEN contains(pattern, '{year}') THEN [2025, 2026] ELSE [2025] END) AS year FROM k) SELECT pattern, n_name AS entity, replace(replace(pattern, '{company}', n_name), '{year}', cast(year AS varchar)) AS keyword FROM y, nation""",
         "slug_jitter": f"{P} SELECT slug, 1 + {hexfold} AS minutes_back FROM p",
         "position_drop": f"WITH sa AS ({SEARCH_ANALYTICS}) SELECT page, floor(b.position * 1e1 + 0.5e0) / 1e1 AS before, floor(n.position * 1e1 + 0.5e0) / 1e1 AS now FROM {agg('page', 7, 1)} n JOIN {agg('page', 14, 8)} b USING (page) WHERE b.position <= 10 AND n.position > 10",
@@ -88,8 +95,12 @@ def rule_oracles() -> dict[str, str]:
     mark = lambda high, middle: f"CASE WHEN {high} THEN 3 WHEN {middle} THEN 2 ELSE 1 END"
     found = "len(list_filter(asked, lambda w: list_contains(named, w)))"
     marks = {
-        "words": mark("words >= 800", "words >= 400"), "density": mark("density >= 3", "density >= 1"), "internal": mark("internal >= 2", "internal = 1"), "external": mark("external >= 2", "external = 1"),
-        "schema": mark("article AND faq", "article"), "keyword": mark(f"{found} = len(asked)", f"{found} > 0"), "freshness": mark("days < 90", "days <= 180"), "unique": mark("n = 1", "n < 20"),
+        "words": mark("words >= 800", "words >= 400"), "density": mark("density >= 3", "density >= 1"), "internal": mark(
+            "internal >= 2", "internal = 1"
+        ), "external": mark("external >= 2", "external = 1"),
+        "schema": mark("article AND faq", "article"), "keyword": mark(
+            f"{found} = len(asked)", f"{found} > 0"
+        ), "freshness": mark("days < 90", "days <= 180"), "unique": mark("n = 1", "n < 20"),
     }
     word = lambda phrase: f"(?is)\\A(|.*?[^A-Za-z0-9_\\[<])({phrase})([^A-Za-z0-9_\\]>]|\\z)"
     linked = "raw"

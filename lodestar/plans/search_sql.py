@@ -62,8 +62,12 @@ def oracles() -> dict[str, str]:
         "weekly_dropping": f"""{SA}, t AS (SELECT f.page, f.clicks AS prior_clicks, coalesce(s.clicks, 0) AS recent_clicks, f.impressions FROM {top(agg('page', 28, 15), 200, 'page')} f LEFT JOIN {top(agg('page', 14, 1), 200, 'page')} s USING (page) WHERE f.clicks >= 5),
  d AS (SELECT *, cast(floor(cast(prior_clicks - recent_clicks AS double) / prior_clicks * 1e2 + 0.5e0) AS bigint) AS drop_pct FROM t)
  SELECT page, prior_clicks, recent_clicks, drop_pct FROM d WHERE drop_pct >= 30 ORDER BY drop_pct DESC, prior_clicks DESC, impressions DESC, page LIMIT 15""",
-        "weekly_ctr_triage": f"{SA} SELECT page, clicks, impressions, {CTR}, {POS} FROM (SELECT * FROM {top(agg('page', 28, 1), 50, 'page')} WHERE impressions >= 1000 AND ctr < 0.02e0 AND position BETWEEN 3 AND 20 ORDER BY impressions DESC, clicks DESC, page LIMIT 15)",
-        "weekly_monopolies": f"{SA} SELECT query, clicks, impressions, {CTR}, {POS} FROM (SELECT * FROM {top(agg('query', 7, 1), 500, 'query')} WHERE position <= 3 AND impressions >= 100 ORDER BY impressions DESC, clicks DESC, query LIMIT 20)",
+        "weekly_ctr_triage": f"{SA} SELECT page, clicks, impressions, {CTR}, {POS} FROM (SELECT * FROM {
+            top(agg('page', 28, 1), 50, 'page')
+        } WHERE impressions >= 1000 AND ctr < 0.02e0 AND position BETWEEN 3 AND 20 ORDER BY impressions DESC, clicks DESC, page LIMIT 15)",
+        "weekly_monopolies": f"{SA} SELECT query, clicks, impressions, {CTR}, {POS} FROM (SELECT * FROM {
+            top(agg('query', 7, 1), 500, 'query')
+        } WHERE position <= 3 AND impressions >= 100 ORDER BY impressions DESC, clicks DESC, query LIMIT 20)",
         "query_intent_counts": f"{SA} SELECT {INTENT} AS intent, count(*) AS queries, count(*) FILTER ({AI_Q}) AS machine FROM (SELECT DISTINCT query FROM sa) GROUP BY 1",
         "rewrite_candidates": f"""{SA}, {rewrite} SELECT p.page, p.clicks, p.impressions, floor(p.ctr * 1e4 + 0.5e0) / 1e2 AS ctr_pct, floor(p.position * 1e1 + 0.5e0) / 1e1 AS position,
  cast(floor(log10(p.impressions) * 2e1 + CASE WHEN p.position <= 10 THEN 3e1 WHEN p.position <= 15 THEN 15e0 ELSE 0e0 END + CASE WHEN p.ctr < 0.005e0 THEN 2e1 WHEN p.ctr < 0.01e0 THEN 1e1 ELSE 0e0 END - CASE WHEN cast(c.n_ai AS double) / c.n_queries > 0.5e0 THEN 4e1 ELSE 0e0 END + 0.5e0) AS bigint) AS rewrite_score,

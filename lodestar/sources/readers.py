@@ -10,8 +10,19 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from ..functions import text as T
 
-PAGE = StructType([StructField("page", StringType()), StructField("url", StringType()), StructField("clicks", LongType()), StructField("impressions", LongType()), StructField("ctr", DoubleType()), StructField("position", DoubleType())])
-BASELINE = StructType([StructField("created", StringType()), StructField("site", StringType()), StructField("window", StructType([StructField("startDate", StringType()), StructField("endDate", StringType()), StructField("days", LongType())])), StructField("pages", ArrayType(PAGE))])
+PAGE = StructType(
+    [
+        StructField("page", StringType()), StructField("url", StringType()), StructField("clicks", LongType()),
+        StructField("impressions", LongType()), StructField("ctr", DoubleType()), StructField("position", DoubleType())
+    ]
+)
+BASELINE = StructType(
+    [
+        StructField("created", StringType()), StructField("site", StringType()),
+        StructField("window", StructType([StructField("startDate", StringType()), StructField("endDate", StringType()), StructField("days", LongType())])),
+        StructField("pages", ArrayType(PAGE))
+    ]
+)
 FACT = "date date, page string, query string, clicks bigint, impressions bigint, position_x10 bigint"
 
 
@@ -25,7 +36,9 @@ def files(spark: SparkSession, path: str, *, extensions: tuple[str, ...] = (), s
     read = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if extensions:
         read = read.option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}")
-    rows = read.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("mtime"))
+    rows = read.load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("mtime")
+    )
     rows = rows.select("path", T.file_slug(F.col("path")).alias("slug"), F.regexp_extract("path", "(\\.[^./]+)\\z", 1).alias("ext"), "raw", "mtime")
     if not skip_dot_folders:
         return rows

@@ -12,5 +12,11 @@ def weekly_windows(facts: DataFrame, *, late: str = "3 days", window: str = "7 d
     A fact of one page, query and time counts once; facts later than `late` are dropped, and so is the state behind them.
     """
     once = facts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["ts", "page", "query"])
-    sums = once.groupBy(F.window("ts", window, slide), "page").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum(F.col("impressions") * F.col("position_x10")).alias("w"))
-    return sums.select(F.col("window.start").alias("start"), "page", "clicks", "impressions", (F.col("w").cast("double") / (F.col("impressions") * 10.0)).alias("position"))
+    sums = once.groupBy(F.window("ts", window, slide), "page").agg(
+        F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
+        F.sum(F.col("impressions") * F.col("position_x10")).alias("w")
+    )
+    return sums.select(
+        F.col("window.start").alias("start"), "page", "clicks", "impressions",
+        (F.col("w").cast("double") / (F.col("impressions") * 10.0)).alias("position")
+    )
