@@ -105,7 +105,8 @@ def coverage(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     findings. Only those that are pieces of values are counted; the pieces are broadcast where Spark finds them small.
     """
     own = scratch.save(pieces(found))
-    wanted = scratch.save(own.select("piece").distinct())
+    n = own.count()
+    wanted = scratch.save(own.select("piece").distinct(), n)
     text = F.col("text").cast("string")
     plain = F.when(holds_any(text), F.regexp_replace(text, RULE, " ")).otherwise(text)
     words = docs.select(
@@ -113,8 +114,10 @@ def coverage(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     ).select(F.xxhash64("w").alias("piece"))
     known = words.join(wanted, "piece").groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_DOCS).select("piece")
     fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.xxhash64(F.lit(w)) for w in CODE_WORDS])).alias("piece"))
-    known = scratch.save(known.unionAll(fixed).distinct())
-    return scratch.save(own.join(known, "piece").groupBy("value_sha256").agg((F.sum("size") / F.max("letters")).alias("dictionary")))
+    known = scratch.save(known.unionAll(fixed).distinct(), n + len(CODE_WORDS))
+    covered = scratch.save(own.join(known, "piece").groupBy("value_sha256").agg((F.sum("size") / F.max("letters")).alias("dictionary")), n)
+    scratch.drop_but(covered)
+    return covered
 
 
 def features(found: DataFrame, covered: DataFrame) -> DataFrame:
