@@ -161,7 +161,8 @@ def running(rows: DataFrame, by: list[Column], sums: list[str], scratch: Scratch
     own = Window.partitionBy("_range").orderBy(*by)
     out = dealt.withColumn("nth", (F.row_number().over(own) - 1).cast("long"))
     for c in sums:
-        out = out.withColumn(f"before_{c}", F.sum(c).over(own) - F.col(c))
+        # By rows, as rows that are equal in `by` stand one after another all the same.
+        out = out.withColumn(f"before_{c}", F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c))
     for c, to in [("_nth", "nth"), *[(c, f"before_{c}") for c in sums]]:
         ahead = accumulate((r[c] for r in totals[:-1]), initial=0 * totals[0][c]) if totals else ()
         start = F.create_map(*[F.lit(x) for r, a in zip(totals, ahead, strict=True) for x in (r["_range"], a)]) if totals else None
