@@ -58,6 +58,34 @@ FACTS = (
 ENTITIES = (r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Inc|Corp|Ltd|LLC|Co)\b", r"\b(?:NASDAQ|NYSE|S&P|SEC|IPO|SPAC)\b")
 
 
+#: What a text in lower case must hold for each pattern of FACTS and ENTITIES to be found in it: one of some parts, or a
+#: match of a pattern that starts at a digit and so is soon told. Edges of words are looked for at every place of a text.
+FACT_NEEDS = (
+    ("$",), ("%",), (), r"\d,\d\d\d", ("billion", "million", "trillion", "thousand", "hundred"), ("20",),
+    ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"), r"\d(?::\d|-to-\d)", ("series",),
+)
+ENTITY_NEEDS = (("inc", "corp", "ltd", "llc", "co"), ("nasdaq", "nyse", "s&p", "sec", "ipo", "spac"))
+
+
+def needs(pattern: str) -> tuple[str, ...]:
+    """Parts of which a text in lower case must hold one for a pattern of TEMPLATES to be found in it: a run of plain letters
+    or the choices of a group, whichever is longest at its shortest."""
+    best: tuple[str, ...] = ()
+    for m in re.finditer(r"\(\?:([^()]*)\)(\?)?|((?:[a-z' :,-](?!\?))+)", pattern):
+        choices = tuple(m[1].split("|")) if m[1] and not m[2] else (m[3],) if m[3] else ()
+        plain = choices and all(re.fullmatch("[a-z' :,-]+", c) for c in choices)
+        if plain and min(map(len, choices)) >= min(map(len, best), default=0):
+            best = choices
+    return best
+
+
+def holds(low: Column, parts: tuple[str, ...] | str) -> Column:
+    """Whether a text in lower case holds any of the parts, or matches a pattern; true where nothing is asked for."""
+    if isinstance(parts, str):
+        return low.rlike(parts)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in parts)) if parts else F.lit(True)
+
+
 def edges(pattern: str) -> str:
     """The pattern with ASCII edges of words: Spark's engine takes letters like é for parts of words at \\b, though not in \\w.
 
@@ -66,20 +94,17 @@ def edges(pattern: str) -> str:
     return re.sub(r"(^|\(\?i\)|[(|:])\\b", lambda m: m[1] + B, pattern).replace("\\b", E)
 
 
-def count_all(x: Column, patterns: tuple[str, ...]) -> Column:
-    """Matches of each pattern, summed."""
-    return reduce(lambda a, b: a + b, (F.regexp_count(x, F.lit(edges(p))) for p in patterns))
-
-
-def any_of(patterns: tuple[str, ...]) -> str:
-    """One pattern that is found where any of them is; each keeps its own flags."""
-    return "|".join(f"(?:{edges(p)})" for p in patterns)
+def count_all(x: Column, patterns: tuple[str, ...], low: Column | None = None, asked: tuple = ()) -> Column:
+    """Matches of each pattern, summed. Where `low` (x in lower case) lacks what is asked for, a pattern is not looked for."""
+    counts = [F.regexp_count(x, F.lit(edges(p))) for p in patterns]
+    if low is not None:
+        counts = [F.when(holds(low, a), n).otherwise(F.lit(0)) for n, a in zip(counts, asked, strict=True)]
+    return reduce(lambda a, b: a + b, counts)
 
 
-def where_each(x: Column, keep) -> Column:
-    """An array of x alone, or of nothing where `keep` of it is false. Exploded, it filters rows by what is made of a costly x,
-    which is then worked out once: a filter on a column would be pushed below it and repeat it."""
-    return F.filter(F.array(x), keep)
+def finds_any(x: Column, low: Column, patterns: tuple[str, ...], asked: tuple) -> Column:
+    """Whether any pattern is found; `low` and `asked` as in count_all."""
+    return reduce(lambda a, b: a | b, (holds(low, a) & x.rlike(edges(p)) for p, a in zip(patterns, asked, strict=True)))
 
 
 def trim_all(x: Column) -> Column:

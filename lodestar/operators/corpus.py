@@ -125,9 +125,13 @@ def extracted(content: DataFrame) -> DataFrame:
 
 
 def _template_hits(texts: DataFrame) -> DataFrame:
-    """(path, pattern, n): matches of each known pattern in each text. Texts without any are told by one pattern of all."""
-    t = texts.select("path", F.explode(T.where_each(F.col("text"), lambda t: t.rlike(f"(?i){T.any_of(T.TEMPLATES)}"))).alias("t"))
-    counts = F.array(*[F.struct(F.lit(p).alias("pattern"), F.regexp_count("t", F.lit(f"(?i){p}")).alias("n")) for p in T.TEMPLATES])
+    """(path, pattern, n): matches of each known pattern in each text. A pattern is looked for where plain parts of it stand."""
+    needed = {p: T.needs(p) for p in T.TEMPLATES}
+    every = tuple(dict.fromkeys(x for parts in needed.values() for x in parts))
+    both = F.transform(F.array("text"), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    t = texts.select("path", F.explode(F.filter(both, lambda s: T.holds(s["low"], every))).alias("s")).select("path", "s.*")
+    one = lambda p: F.when(T.holds(F.col("low"), needed[p]), F.regexp_count("t", F.lit(f"(?i){p}"))).otherwise(F.lit(0))
+    counts = F.array(*[F.struct(F.lit(p).alias("pattern"), one(p).alias("n")) for p in T.TEMPLATES])
     return t.select("path", F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("h")).select("path", "h.*")
 
 
@@ -169,14 +173,19 @@ def factual_density(content: DataFrame, *, threshold: float = 3, min_words: int
     """T15-T17, C13, P9."""
     scored = F.transform(
         F.array(T.file_text(F.col("raw"), F.col("ext"), fences=True)),
-        lambda t: F.struct(t.alias("t"), F.size(T.words(t)).cast("long").alias("n"))
+        lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"), F.size(T.words(t)).cast("long").alias("n"))
     )
     x = content.select(
         "path", F.explode(F.filter(scored, lambda s: s["n"] >= min_words)).alias("s")
-    ).select("path", F.col("s.n").alias("word_count"), F.col("s.t").alias("_t"))
-    x = x.withColumn("fact_count", T.count_all(F.col("_t"), T.FACTS).cast("long")).withColumn("entity_count", T.count_all(F.col("_t"), T.ENTITIES).cast("long"))
+    ).select("path", F.col("s.n").alias("word_count"), F.col("s.t").alias("_t"), F.col("s.low").alias("_low"))
+    t, low = F.col("_t"), F.col("_low")
+    x = x.withColumn("fact_count", T.count_all(t, T.FACTS, low, T.FACT_NEEDS).cast("long"))
+    x = x.withColumn("entity_count", T.count_all(t, T.ENTITIES, low, T.ENTITY_NEEDS).cast("long"))
     x = x.withColumn("_p", T.paragraphs(F.col("_t"), 50)).withColumn("total_paragraphs", F.size("_p").cast("long"))
-    x = x.withColumn("paragraphs_without_facts", F.size(F.filter("_p", lambda p: ~p.rlike(T.any_of(T.FACTS)))).cast("long"))
+    # A text without facts has no paragraph with any.
+    each = F.transform("_p", lambda p: F.struct(p.alias("p"), F.lower(p).alias("low")))
+    without = F.size(F.filter(each, lambda s: ~T.finds_any(s["p"], s["low"], T.FACTS, T.FACT_NEEDS)))
+    x = x.withColumn("paragraphs_without_facts", F.when(F.col("fact_count") == 0, F.size("_p")).otherwise(without).cast("long"))
     x = x.withColumn("density_per_1k", F.floor(F.col("fact_count").cast("double") / F.col("word_count") * 10000.0 + 0.5) / 10.0)
     d = F.col("density_per_1k")
     grade = F.when(d >= threshold * 2, "A").when(d >= threshold, "B").when(d >= threshold * 0.5, "C").when(d > 0, "D").otherwise("F")
